@@ -90,3 +90,86 @@ oracle("data_gates", with_corpus(
     "WHEN n_classes < 2 THEN 'single_class' ELSE 'ok' END AS status FROM "
     "(SELECT lang, aspect, count(*) AS n_rows, count(DISTINCT polarity) AS n_classes "
     "FROM corpus GROUP BY lang, aspect)"))
+
+# 2.9
+from aspectra import fixtures as fx  # noqa: E402
+from aspectra.functions import text as T  # noqa: E402
+from aspectra.plans.queries import RAW_MODEL_LABELS  # noqa: E402
+
+oracle("strip_accents", with_reviews(
+    "SELECT review_id, strip_accents(lower(text)) AS text_out FROM reviews WHERE lang = 'en'"))
+oracle("remove_urls", with_reviews(f"SELECT review_id, {S.rx('text', T.URL_PATTERN)} AS text_out FROM reviews"))
+oracle("remove_mentions_hashtags", with_reviews(
+    f"SELECT review_id, {S.rx(S.rx('text', T.MENTION_PATTERN), T.HASHTAG_PATTERN)} AS text_out FROM reviews"))
+oracle("remove_punctuation", with_reviews(
+    f"SELECT review_id, CASE WHEN lang = 'fr' THEN {S.rx('text', T.PUNCT_PATTERN_FR)} "
+    f"ELSE {S.rx('text', T.PUNCT_PATTERN)} END AS text_out FROM reviews"))
+oracle("remove_digits", with_reviews(
+    f"SELECT review_id, CASE WHEN coalesce(lang, '') = 'ru' THEN text "
+    f"ELSE {S.rx('text', T.DIGITS_PATTERN)} END AS text_out FROM reviews"))
+oracle("collapse_whitespace", with_reviews(
+    f"SELECT review_id, trim({S.rx('text', T.SPACE + '+', ' ')}) AS text_out FROM reviews"))
+oracle("normalize_text", with_reviews(
+    f"SELECT review_id, lang, {S.normalize_text('text', 'lang')} AS text_processed FROM reviews"))
+oracle("remove_stopwords", with_reviews(
+    f", n AS (SELECT review_id, lang, {S.normalize_text('text', 'lang')} AS t FROM reviews) "
+    f"SELECT review_id, {S.remove_stopwords('t', 'lang')} AS text_out FROM n"))
+
+
+def _lemma_sql(text: str, lang: str) -> str:
+    lem = S.lookup([(f"{lg}|{tok}", lm) for lg, tok, lm in fx.LEMMAS], f"{lang} || '|' || x")
+    return (f"(CASE WHEN coalesce({lang} = 'ru', false) THEN {text} ELSE "
+            f"array_to_string(list_transform(CASE WHEN {text} = '' THEN []::VARCHAR[] "
+            f"ELSE string_split({text}, ' ') END, lambda x: coalesce({lem}, x)), ' ') END)")
+
+
+oracle("lemma_lookup", with_reviews(
+    f", n AS (SELECT review_id, lang, {S.normalize_text('text', 'lang')} AS t FROM reviews) "
+    f"SELECT review_id, {_lemma_sql('t', 'lang')} AS text_out FROM n"))
+
+_CLASSIC = (f", n1 AS (SELECT review_id, lang, polarity, {S.normalize_text('text', 'lang')} AS t FROM corpus), "
+            f"n2 AS (SELECT review_id, lang, polarity, {S.remove_stopwords('t', 'lang')} AS t FROM n1), "
+            f"n3 AS (SELECT review_id, lang, polarity, trim({S.rx(_lemma_sql('t', 'lang'), T.SPACE + '+', ' ')}) AS t FROM n2) ")
+oracle("preprocess_classic", with_corpus(
+    _CLASSIC + "SELECT review_id, lang, polarity, t AS text_processed FROM n3 WHERE length(t) > 0"))
+
+oracle("preprocess_light", with_corpus(
+    f"SELECT review_id, lang, text_processed FROM (SELECT review_id, lang, "
+    f"{S.normalize_text('text', 'lang')} AS text_processed FROM corpus) WHERE length(text_processed) > 0"))
+
+oracle("texts_labels_by_lang", with_corpus(
+    f", n1 AS (SELECT lang, polarity, {S.normalize_text('text', 'lang')} AS t FROM corpus), "
+    f"n2 AS (SELECT lang, polarity, trim({S.rx(S.remove_stopwords('t', 'lang'), T.SPACE + '+', ' ')}) AS t FROM n1) "
+    "SELECT lang, polarity, count(*) AS n FROM n2 WHERE length(t) > 0 GROUP BY lang, polarity"))
+
+oracle("keyword_emotion", with_corpus(f"SELECT review_id, {_EMO} AS emotion FROM corpus"))
+oracle("keyword_emotion_short", with_corpus(
+    f"SELECT review_id, {S.keyword_emotion_short('text', 'polarity')} AS emotion FROM corpus"))
+oracle("label_emotions_silver", with_corpus(
+    f"SELECT review_id, {S.keyword_emotion_short('text', 'polarity')} AS emotion FROM corpus"))
+oracle("map_model_label", with_corpus(
+    f", r AS (SELECT *, ({S.lst(RAW_MODEL_LABELS)})[review_id % {len(RAW_MODEL_LABELS)} + 1] AS raw_label FROM corpus) "
+    f"SELECT review_id, coalesce({S.lookup(dicts.MODEL_LABELS, 'lower(raw_label)')}, "
+    f"{S.keyword_emotion_short('text', 'polarity')}) AS emotion FROM r"))
+
+# 2.5 counts, 2.8 set operations
+_CE = f", ce AS (SELECT *, {_EMO} AS emotion FROM corpus) "
+oracle("value_counts", with_corpus(
+    _CE + "SELECT dimension, value, count(*) AS n FROM ("
+    "SELECT 'lang' AS dimension, lang AS value FROM ce UNION ALL "
+    "SELECT 'polarity', polarity FROM ce UNION ALL SELECT 'aspect', aspect FROM ce UNION ALL "
+    "SELECT 'emotion', emotion FROM ce) GROUP BY dimension, value"))
+oracle("crosstab_lang_polarity", with_corpus(
+    "SELECT lang, " + ", ".join(f"count(*) FILTER (WHERE polarity = {S.q(p)}) AS \"{p}\""
+                                for p in dicts.POLARITIES) + " FROM corpus GROUP BY lang"))
+oracle("crosstab_lang_aspect", with_corpus(
+    "SELECT lang, " + ", ".join(f"count(*) FILTER (WHERE aspect = {S.q(a)}) AS \"{a}\""
+                                for a in dicts.ASPECTS) + " FROM corpus GROUP BY lang"))
+oracle("missing_classes", with_corpus(
+    _CE + f"SELECT l.lang, e.emotion FROM (SELECT DISTINCT lang FROM ce) l, "
+    f"(SELECT unnest({S.lst(dicts.EMOTIONS)}) AS emotion) e "
+    "WHERE NOT EXISTS (SELECT 1 FROM ce WHERE ce.lang IS NOT DISTINCT FROM l.lang AND ce.emotion = e.emotion)"))
+oracle("union_corpora", with_reviews(
+    f"SELECT 'documents' AS source, review_id, lang, {S.normalize_target('aspect_raw')} AS aspect, polarity "
+    f"FROM (SELECT *, {S.normalize_polarity('polarity_raw')} AS polarity FROM reviews) WHERE polarity IS NOT NULL "
+    "UNION ALL SELECT 'conversations', conv_id * 1000 + turn, 'en', 'general', 'neutral' FROM conversations"))

@@ -132,3 +132,152 @@ def q_drop_empty_text(spark, sf):
 @query("data_gates")
 def q_data_gates(spark, sf):
     return LB.data_gates(corpus(spark, sf))
+
+
+# --------------------------------------------------------------------------
+# 2.9 string functions and preprocessing
+# --------------------------------------------------------------------------
+
+from aspectra.operators import counts as C  # noqa: E402
+from aspectra.operators import preprocess as P  # noqa: E402
+
+RAW_MODEL_LABELS = ["joy", "love", "optimism", "neutral", "surprise", "anger",
+                    "disgust", "fear", "sadness", "UNKNOWN", None, "Sadness"]
+
+
+@query("strip_accents")
+def q_strip_accents(spark, sf):
+    r = fx.reviews(spark, sf).filter(F.col("lang") == "en")
+    return r.select("review_id", T.strip_accents(F.lower("text")).alias("text_out"))
+
+
+@query("remove_urls")
+def q_remove_urls(spark, sf):
+    return fx.reviews(spark, sf).select("review_id", T.remove_urls("text").alias("text_out"))
+
+
+@query("remove_mentions_hashtags")
+def q_remove_mentions_hashtags(spark, sf):
+    return fx.reviews(spark, sf).select("review_id", T.remove_mentions_hashtags("text").alias("text_out"))
+
+
+@query("remove_punctuation")
+def q_remove_punctuation(spark, sf):
+    return fx.reviews(spark, sf).select("review_id", T.remove_punctuation("text", "lang").alias("text_out"))
+
+
+@query("remove_digits")
+def q_remove_digits(spark, sf):
+    return fx.reviews(spark, sf).select("review_id", T.remove_digits("text", "lang").alias("text_out"))
+
+
+@query("collapse_whitespace")
+def q_collapse_whitespace(spark, sf):
+    return fx.reviews(spark, sf).select("review_id", T.collapse_whitespace("text").alias("text_out"))
+
+
+@query("normalize_text")
+def q_normalize_text(spark, sf):
+    return fx.reviews(spark, sf).select("review_id", "lang",
+                                        T.normalize_text("text", "lang").alias("text_processed"))
+
+
+@query("remove_stopwords")
+def q_remove_stopwords(spark, sf):
+    r = fx.reviews(spark, sf).withColumn("t", T.normalize_text("text", "lang"))
+    return r.select("review_id", T.remove_stopwords("t", "lang", dicts.STOPWORDS).alias("text_out"))
+
+
+@query("lemma_lookup")
+def q_lemma_lookup(spark, sf):
+    r = fx.reviews(spark, sf).withColumn("text_processed", T.normalize_text("text", "lang"))
+    return (P.lemma_lookup(r, fx.lemma_frame(spark), out="text_out")
+            .select("review_id", "text_out"))
+
+
+@query("preprocess_classic")
+def q_preprocess_classic(spark, sf):
+    return (P.preprocess_classic(corpus(spark, sf), lemmas=fx.lemma_frame(spark))
+            .select("review_id", "lang", "polarity", "text_processed"))
+
+
+@query("preprocess_light")
+def q_preprocess_light(spark, sf):
+    return P.preprocess_light(corpus(spark, sf)).select("review_id", "lang", "text_processed")
+
+
+@query("texts_labels_by_lang")
+def q_texts_labels_by_lang(spark, sf):
+    return P.texts_labels_by_lang(P.preprocess_classic(corpus(spark, sf)))
+
+
+@query("keyword_emotion")
+def q_keyword_emotion(spark, sf):
+    return corpus(spark, sf).transform(E.keyword_emotion).select("review_id", "emotion")
+
+
+@query("keyword_emotion_short")
+def q_keyword_emotion_short(spark, sf):
+    return corpus(spark, sf).transform(E.keyword_emotion_short).select("review_id", "emotion")
+
+
+@query("map_model_label")
+def q_map_model_label(spark, sf):
+    df = corpus(spark, sf).withColumn(
+        "raw_label", fx._pick(RAW_MODEL_LABELS, F.col("review_id") % len(RAW_MODEL_LABELS) + 1))
+    return df.select("review_id", L.map_model_label("raw_label", "text", "polarity").alias("emotion"))
+
+
+@query("label_emotions_silver")
+def q_label_emotions_silver(spark, sf):
+    return E.label_emotions_silver(corpus(spark, sf)).select("review_id", "emotion")
+
+
+# --------------------------------------------------------------------------
+# 2.5 counts, 2.8 set operations
+# --------------------------------------------------------------------------
+
+def corpus_emotion(spark, sf):
+    return corpus(spark, sf).transform(E.keyword_emotion)
+
+
+@query("value_counts")
+def q_value_counts(spark, sf):
+    return C.value_counts(corpus_emotion(spark, sf))
+
+
+@query("crosstab_lang_polarity")
+def q_crosstab_lang_polarity(spark, sf):
+    return C.crosstab_lang_polarity(corpus(spark, sf))
+
+
+@query("crosstab_lang_aspect")
+def q_crosstab_lang_aspect(spark, sf):
+    return C.crosstab_lang_aspect(corpus(spark, sf))
+
+
+@query("missing_classes")
+def q_missing_classes(spark, sf):
+    df = corpus_emotion(spark, sf)
+    langs = df.select("lang").distinct()
+    expected = langs.select("lang", F.explode(dicts.array_literal(dicts.EMOTIONS)).alias("emotion"))
+    present = df.select("lang", "emotion").distinct()
+    return expected.join(present, ["lang", "emotion"], "left_anti")
+
+
+def conversation_reviews(spark, sf):
+    """A second review source: conversation turns as whole-text opinions
+    (aspect 'general', polarity 'neutral', language English)."""
+    c = fx.table(spark, sf, "conversations")
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("review_id"),
+                    F.lit("en").alias("lang"), "text",
+                    F.lit("general").alias("aspect"), F.lit("neutral").alias("polarity"))
+
+
+@query("union_corpora")
+def q_union_corpora(spark, sf):
+    a = fx.reviews(spark, sf).transform(LB.normalize_polarity, col="polarity_raw", out="polarity") \
+          .select("review_id", "lang", "text", L.normalize_target("aspect_raw").alias("aspect"), "polarity")
+    b = conversation_reviews(spark, sf)
+    u = a.withColumn("source", F.lit("documents")).unionByName(b.withColumn("source", F.lit("conversations")))
+    return u.select("source", "review_id", "lang", "aspect", "polarity")

@@ -96,7 +96,7 @@ def stop_list(lang: str, custom=()) -> str:
 def remove_stopwords(text: str, lang: str) -> str:
     return (f"array_to_string(list_filter(CASE WHEN {text} = '' THEN []::VARCHAR[] "
             f"ELSE string_split({text}, ' ') END, "
-            f"x -> NOT list_contains({stop_list(lang)}, x)), ' ')")
+            f"lambda x: NOT list_contains({stop_list(lang)}, x)), ' ')")
 
 
 def reviews_cte() -> str:
