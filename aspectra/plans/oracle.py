@@ -173,3 +173,168 @@ oracle("union_corpora", with_reviews(
     f"SELECT 'documents' AS source, review_id, lang, {S.normalize_target('aspect_raw')} AS aspect, polarity "
     f"FROM (SELECT *, {S.normalize_polarity('polarity_raw')} AS polarity FROM reviews) WHERE polarity IS NOT NULL "
     "UNION ALL SELECT 'conversations', conv_id * 1000 + turn, 'en', 'general', 'neutral' FROM conversations"))
+
+# 2.6 / 2.10
+from aspectra.functions import text as _T  # noqa: E402,F401
+from aspectra.plans.queries import AUG_SYNONYMS  # noqa: E402
+
+_POLREV = (f", prev AS (SELECT review_id, lang, text, aspect_raw, polarity FROM (SELECT *, "
+           f"{S.normalize_polarity('polarity_raw')} AS polarity FROM reviews) WHERE polarity IS NOT NULL) ")
+
+
+def _topk(src: str, part: str, k: str, salt: str, cols: str) -> str:
+    return (f"SELECT {cols} FROM (SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY "
+            f"{S.md5_key(salt, 'review_id')}, review_id) AS rn FROM {src}) WHERE rn <= {k}")
+
+
+oracle("sample_per_lang", with_reviews(_POLREV + _topk("prev", "lang", "800", "sample_per_lang", "review_id, lang")))
+oracle("sample_per_lang_100", with_reviews(_POLREV + _topk("prev", "lang", "100", "sample_per_lang", "review_id, lang")))
+
+
+def _quota_values(target: int) -> str:
+    return "(VALUES " + ", ".join(f"({S.q(p)}, {int(target * r)})" for p, r in dicts.POLARITY_QUOTA) + ") q(polarity, quota)"
+
+
+def _balance(target: int) -> str:
+    return with_corpus(f", cq AS (SELECT c.*, q.quota FROM corpus c JOIN {_quota_values(target)} USING (polarity)) "
+                       + _topk("cq", "lang, polarity", "quota", "balance_corpus", "review_id, lang, polarity"))
+
+
+oracle("balance_corpus", _balance(800))
+oracle("balance_corpus_100", _balance(100))
+oracle("balance_shortfall", with_corpus(
+    f", g AS (SELECT l.lang, q.polarity, q.quota AS target FROM (SELECT DISTINCT lang FROM corpus) l, {_quota_values(800)}), "
+    "a AS (SELECT lang, polarity, count(*) AS actual FROM corpus GROUP BY lang, polarity) "
+    "SELECT g.lang, g.polarity, g.target, CAST(coalesce(a.actual, 0) AS BIGINT) AS actual FROM g "
+    "LEFT JOIN a ON g.lang IS NOT DISTINCT FROM a.lang AND g.polarity = a.polarity "
+    "WHERE coalesce(a.actual, 0) < g.target"))
+
+
+def _rank(src: str, part: str, salt: str, idcol: str = "review_id") -> str:
+    return (f"SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY {S.md5_key(salt, idcol)}, {idcol}) AS rk, "
+            f"count(*) OVER (PARTITION BY {part}) AS ns FROM {src}")
+
+
+oracle("split_train_val_test", with_corpus(
+    f", r AS ({_rank('corpus', 'polarity', 'split')}) SELECT review_id, polarity, "
+    "CASE WHEN rk <= round(ns * 0.15) THEN 'test' WHEN rk <= round(ns * 0.15) + round(ns * 0.15) THEN 'val' "
+    "ELSE 'train' END AS split FROM r"))
+oracle("stratified_kfold", with_corpus(
+    f", r AS ({_rank('corpus', 'polarity', 'kfold')}) SELECT review_id, polarity, "
+    "CAST((rk - 1) % 5 + 1 AS INTEGER) AS fold FROM r"))
+
+_LIGHT = (f", light AS (SELECT * FROM (SELECT review_id, lang, text, aspect, polarity, "
+          f"{S.normalize_text('text', 'lang')} AS text_processed FROM corpus) WHERE length(text_processed) > 0) ")
+_SIZES = (", sizes AS (SELECT n_target, n_others, CAST(greatest(floor(n_others / 2) - n_target, 0) AS BIGINT) "
+          "AS n_generate FROM (SELECT count(*) FILTER (WHERE polarity = 'neutral') AS n_target, "
+          "count(*) FILTER (WHERE NOT coalesce(polarity = 'neutral', false)) AS n_others FROM light)) ")
+oracle("augment_size", with_corpus(_LIGHT + _SIZES + "SELECT * FROM sizes"))
+
+
+def _syn_sql(text: str, lang: str, rid: str) -> str:
+    alts = ("(CASE " + f"{lang} || '|' || x " + " ".join(
+        f"WHEN {S.q(f'{lg}|{w}')} THEN {S.lst(a)}" for lg, w, a in AUG_SYNONYMS) + " END)")
+    u = f"({S.hex_int(f'md5(concat_ws(' + chr(39) + '|' + chr(39) + f', {S.q(str(dicts.SEED))}, ' + chr(39) + 'syn-u' + chr(39) + f', CAST({rid} AS VARCHAR), CAST(i - 1 AS VARCHAR)))')} / 4294967296.0)"
+    pick = S.hex_int(f"md5(concat_ws('|', {S.q(str(dicts.SEED))}, 'syn-pick', CAST({rid} AS VARCHAR), CAST(i - 1 AS VARCHAR)))")
+    return (f"array_to_string(list_transform(CASE WHEN {text} = '' THEN []::VARCHAR[] ELSE string_split({text}, ' ') END, "
+            f"lambda x, i: CASE WHEN {u} < {dicts.SYNONYM_PROB} AND {alts} IS NOT NULL "
+            f"THEN ({alts})[{pick} % len({alts}) + 1] ELSE x END), ' ')")
+
+
+_GEN = (", tgt AS (SELECT *, row_number() OVER (ORDER BY " + S.md5_key("augment-order", "review_id")
+        + ", review_id) - 1 AS idx FROM light WHERE polarity = 'neutral'), "
+        "gen AS (SELECT unnest(range(n_generate)) AS aug_id, n_target FROM sizes WHERE n_target > 0), "
+        f"pick AS (SELECT aug_id, {S.hex_int(S.md5_key('augment-pick', 'aug_id'))} % n_target AS idx FROM gen), "
+        f"g AS (SELECT p.aug_id, t.review_id, t.lang, t.polarity, {_syn_sql('t.text_processed', 't.lang', 'p.aug_id')} AS tp "
+        "FROM pick p JOIN tgt t USING (idx)) ")
+oracle("augment_class", with_corpus(
+    _LIGHT + _SIZES + _GEN + "SELECT aug_id, review_id, lang, polarity, tp AS text, tp AS text_processed FROM g"))
+oracle("replace_synonyms", with_corpus(
+    _LIGHT + f"SELECT review_id, {_syn_sql('text_processed', 'lang', 'review_id')} AS text_out FROM light"))
+oracle("balanced_union", with_corpus(
+    _LIGHT + _SIZES + _GEN + "SELECT polarity, generated, count(*) AS n FROM (SELECT polarity, false AS generated FROM light "
+    "UNION ALL SELECT polarity, true FROM g) GROUP BY polarity, generated"))
+
+
+# 2.5 metrics
+def macro_sql(src: str, keys: list[str], extra_final: str = "") -> str:
+    k = ", ".join(keys)
+    kc = (k + ", ") if keys else ""
+    gb = f"GROUP BY {k}" if keys else ""
+    return (
+        f", pc AS (SELECT {kc}y_true, y_pred, count(*) AS n FROM {src} GROUP BY {kc}y_true, y_pred), "
+        f"ls AS (SELECT {kc}label, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(sup) AS BIGINT) AS support, "
+        f"CAST(sum(pred) AS BIGINT) AS predicted FROM (SELECT {kc}y_true AS label, n AS sup, "
+        "CASE WHEN y_true = y_pred THEN n ELSE 0 END AS tp, 0 AS pred FROM pc UNION ALL "
+        f"SELECT {kc}y_pred, 0, 0, n FROM pc) GROUP BY {kc}label), "
+        "st AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS precision, "
+        "CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall, "
+        "CASE WHEN support + predicted > 0 THEN 2 * tp / (support + predicted) ELSE 0.0 END AS f1 FROM ls) "
+    ), k, kc, gb
+
+
+def macro_select(k, kc, gb, acc=True) -> str:
+    return (f"SELECT {kc}{S.r6('avg(f1)')} AS f1_macro, {S.r6('avg(precision)')} AS precision_macro, "
+            f"{S.r6('avg(recall)')} AS recall_macro, "
+            + (f"{S.r6('sum(tp) / sum(support)')} AS accuracy, " if acc else "")
+            + f"CAST(sum(support) AS BIGINT) AS n_samples FROM st {gb}")
+
+
+def with_preds(body: str) -> str:
+    return f"WITH {S.predictions_cte()} {body}"
+
+
+_ms, _k, _kc, _gb = macro_sql("predictions", ["model", "lang", "aspect"])
+oracle("macro_metrics", with_preds(_ms + macro_select(_k, _kc, _gb)))
+
+_ms, _k, _kc, _gb = macro_sql("predictions", ["model"])
+oracle("classification_report", with_preds(
+    _ms + f"SELECT model, label, {S.r6('precision')} AS precision, {S.r6('recall')} AS recall, "
+    f"{S.r6('f1')} AS f1, support FROM st UNION ALL "
+    f"SELECT model, 'macro avg', {S.r6('avg(precision)')}, {S.r6('avg(recall)')}, {S.r6('avg(f1)')}, "
+    "CAST(sum(support) AS BIGINT) FROM st GROUP BY model UNION ALL "
+    f"SELECT model, 'weighted avg', {S.r6('sum(precision * support) / sum(support)')}, "
+    f"{S.r6('sum(recall * support) / sum(support)')}, {S.r6('sum(f1 * support) / sum(support)')}, "
+    "CAST(sum(support) AS BIGINT) FROM st GROUP BY model UNION ALL "
+    f"SELECT model, 'accuracy', NULL, NULL, {S.r6('sum(tp) / sum(support)')}, CAST(sum(support) AS BIGINT) "
+    "FROM st GROUP BY model"))
+
+oracle("confusion_matrix", with_preds(
+    ", pc AS (SELECT model, y_true, y_pred, count(*) AS n FROM predictions GROUP BY ALL), "
+    f"lab AS (SELECT unnest({S.lst(dicts.POLARITIES)}) AS l) "
+    "SELECT m.model, t.l AS y_true, p.l AS y_pred, CAST(coalesce(pc.n, 0) AS BIGINT) AS n "
+    "FROM (SELECT DISTINCT model FROM pc) m, lab t, lab p LEFT JOIN pc ON pc.model = m.model "
+    "AND pc.y_true = t.l AND pc.y_pred = p.l"))
+
+_FOLDS = (f", pf AS (SELECT *, CAST((row_number() OVER (PARTITION BY model, y_true ORDER BY "
+          f"{S.md5_key('kfold', 'row_id')}, row_id) - 1) % 5 + 1 AS INTEGER) AS fold FROM predictions) ")
+_ms1, _, _, _ = macro_sql("pf", ["model", "fold"])
+_fold_cte = (_FOLDS + _ms1 + ", perfold AS (" + macro_select("model, fold", "model, fold, ", "GROUP BY model, fold")
+             + ") ")
+_ms2 = _ms1.replace("pc AS", "pc2 AS").replace("FROM pf GROUP BY model, fold, y_true, y_pred",
+                                                "FROM pf GROUP BY model, y_true, y_pred")
+oracle("fold_metrics", with_preds(
+    _fold_cte
+    + ", pooled_pc AS (SELECT model, y_true, y_pred, count(*) AS n FROM pf GROUP BY model, y_true, y_pred), "
+    "pls AS (SELECT model, label, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(sup) AS BIGINT) AS support, "
+    "CAST(sum(pred) AS BIGINT) AS predicted FROM (SELECT model, y_true AS label, n AS sup, "
+    "CASE WHEN y_true = y_pred THEN n ELSE 0 END AS tp, 0 AS pred FROM pooled_pc UNION ALL "
+    "SELECT model, y_pred, 0, 0, n FROM pooled_pc) GROUP BY model, label), "
+    "pst AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS precision, "
+    "CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall, "
+    "CASE WHEN support + predicted > 0 THEN 2 * tp / (support + predicted) ELSE 0.0 END AS f1 FROM pls), "
+    f"pooled AS (SELECT model, {S.r6('avg(f1)')} AS f1_pooled, {S.r6('avg(precision)')} AS precision_pooled, "
+    f"{S.r6('avg(recall)')} AS recall_pooled, CAST(sum(support) AS BIGINT) AS n_samples FROM pst GROUP BY model), "
+    f"fs AS (SELECT model, count(*) AS n_folds, {S.r6('avg(f1_macro)')} AS f1_fold_mean, "
+    f"{S.r6('stddev_pop(f1_macro)')} AS f1_fold_std, {S.r6('avg(precision_macro)')} AS precision_fold_mean, "
+    f"{S.r6('avg(recall_macro)')} AS recall_fold_mean FROM perfold GROUP BY model) "
+    "SELECT * FROM fs JOIN pooled USING (model)"))
+
+oracle("class_weights", with_corpus(
+    ", c AS (SELECT polarity, count(*) AS n_c FROM corpus GROUP BY polarity) "
+    f"SELECT polarity, n_c, {S.r6('(SELECT sum(n_c) FROM c) / ((SELECT count(*) FROM c) * n_c)')} AS weight FROM c"))
+
+_ms, _k, _kc, _gb = macro_sql("gp", ["lang", "aspect"])
+oracle("grid_summary", with_preds(
+    ", gp AS (SELECT unnest([lang, 'all']) AS lang, aspect, y_true, y_pred FROM predictions WHERE model = 'SVM') "
+    + _ms + macro_select(_k, _kc, _gb, acc=False)))

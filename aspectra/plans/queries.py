@@ -281,3 +281,132 @@ def q_union_corpora(spark, sf):
     b = conversation_reviews(spark, sf)
     u = a.withColumn("source", F.lit("documents")).unionByName(b.withColumn("source", F.lit("conversations")))
     return u.select("source", "review_id", "lang", "aspect", "polarity")
+
+
+# --------------------------------------------------------------------------
+# 2.6 windows: sampling, quotas, splits, folds; 2.10 augmentation
+# --------------------------------------------------------------------------
+
+from aspectra.operators import augment as AU  # noqa: E402
+from aspectra.operators import metrics as M  # noqa: E402
+from aspectra.operators import sampling as SA  # noqa: E402
+
+
+def polarity_reviews(spark, sf):
+    """All fixture reviews with a valid polarity (aspects not yet mapped)."""
+    return (fx.reviews(spark, sf)
+            .transform(LB.normalize_polarity, col="polarity_raw", out="polarity")
+            .select("review_id", "lang", "text", "aspect_raw", "polarity"))
+
+
+@query("sample_per_lang")
+def q_sample_per_lang(spark, sf):
+    return SA.sample_per_lang(polarity_reviews(spark, sf)).select("review_id", "lang")
+
+
+@query("sample_per_lang_100")
+def q_sample_per_lang_100(spark, sf):
+    return SA.sample_per_lang(polarity_reviews(spark, sf), n=100).select("review_id", "lang")
+
+
+@query("balance_corpus")
+def q_balance_corpus(spark, sf):
+    return SA.balance_corpus(corpus(spark, sf)).select("review_id", "lang", "polarity")
+
+
+@query("balance_corpus_100")
+def q_balance_corpus_100(spark, sf):
+    return SA.balance_corpus(corpus(spark, sf), target_per_lang=100).select("review_id", "lang", "polarity")
+
+
+@query("balance_shortfall")
+def q_balance_shortfall(spark, sf):
+    return SA.balance_shortfall(corpus(spark, sf))
+
+
+@query("split_train_val_test")
+def q_split_train_val_test(spark, sf):
+    return SA.split_train_val_test(corpus(spark, sf)).select("review_id", "polarity", "split")
+
+
+@query("stratified_kfold")
+def q_stratified_kfold(spark, sf):
+    return SA.stratified_kfold(corpus(spark, sf)).select("review_id", "polarity", "fold")
+
+
+def light_corpus(spark, sf):
+    return P.preprocess_light(corpus(spark, sf))
+
+
+AUG_SYNONYMS = dicts.SYNONYMS + fx.EN_SYNONYMS
+
+
+@query("augment_size")
+def q_augment_size(spark, sf):
+    return AU.augment_size(light_corpus(spark, sf))
+
+
+@query("augment_class")
+def q_augment_class(spark, sf):
+    g = AU.augment_class(light_corpus(spark, sf), synonyms=AUG_SYNONYMS)
+    return g.select("aug_id", "review_id", "lang", "polarity", "text", "text_processed")
+
+
+@query("replace_synonyms")
+def q_replace_synonyms(spark, sf):
+    d = light_corpus(spark, sf)
+    return d.select("review_id", AU.replace_synonyms("text_processed", "lang", "review_id",
+                                                     AUG_SYNONYMS).alias("text_out"))
+
+
+@query("balanced_union")
+def q_balanced_union(spark, sf):
+    d = light_corpus(spark, sf)
+    u = AU.balanced_union(d, AU.augment_class(d, synonyms=AUG_SYNONYMS))
+    return u.groupBy("polarity", F.col("aug_id").isNotNull().alias("generated")) \
+            .agg(F.count(F.lit(1)).alias("n"))
+
+
+# --------------------------------------------------------------------------
+# 2.5 metrics on the prediction fixture (lineitem scale)
+# --------------------------------------------------------------------------
+
+def preds(spark, sf):
+    return fx.predictions(spark, sf)
+
+
+@query("confusion_matrix")
+def q_confusion_matrix(spark, sf):
+    return M.confusion_matrix(preds(spark, sf), keys=["model"])
+
+
+@query("classification_report")
+def q_classification_report(spark, sf):
+    return M.classification_report(preds(spark, sf), keys=["model"])
+
+
+@query("macro_metrics")
+def q_macro_metrics(spark, sf):
+    return M.macro_metrics(preds(spark, sf), keys=["model", "lang", "aspect"])
+
+
+def preds_with_folds(spark, sf):
+    return SA.stratified_kfold(preds(spark, sf), label="y_true", id_col="row_id",
+                               strata_extra=["model"])
+
+
+@query("fold_metrics")
+def q_fold_metrics(spark, sf):
+    return M.fold_metrics(preds_with_folds(spark, sf), keys=["model"])
+
+
+@query("class_weights")
+def q_class_weights(spark, sf):
+    return M.class_weights(corpus(spark, sf), label="polarity")
+
+
+@query("grid_summary")
+def q_grid_summary(spark, sf):
+    p = preds(spark, sf).filter(F.col("model") == "SVM")
+    p = p.withColumn("lang", F.explode(F.array(F.col("lang"), F.lit("all"))))
+    return M.macro_metrics(p, keys=["lang", "aspect"]).drop("accuracy")

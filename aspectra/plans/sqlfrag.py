@@ -123,7 +123,8 @@ def corpus_cte(name: str = "corpus", src: str = "reviews", terms=dicts.ASPECT_TE
 def predictions_cte() -> str:
     y_true = lookup(fx.FLAG_TO_POLARITY, "l_returnflag")
     return (
-        "predictions AS (SELECT l_orderkey AS row_key, l_linenumber AS row_sub, "
+        "predictions AS (SELECT concat_ws('-', CAST(l_orderkey AS VARCHAR), CAST(l_partkey AS VARCHAR), "
+        "CAST(l_suppkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), l_returnflag) AS row_id, "
         f"({lst(fx.PRED_MODELS)})[l_orderkey % 4 + 1] AS model, "
         f"({lst(fx.PRED_LANGS)})[l_suppkey % 3 + 1] AS lang, "
         f"({lst(dicts.ASPECTS)})[l_partkey % 5 + 1] AS aspect, "
