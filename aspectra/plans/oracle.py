@@ -338,3 +338,70 @@ _ms, _k, _kc, _gb = macro_sql("gp", ["lang", "aspect"])
 oracle("grid_summary", with_preds(
     ", gp AS (SELECT unnest([lang, 'all']) AS lang, aspect, y_true, y_pred FROM predictions WHERE model = 'SVM') "
     + _ms + macro_select(_k, _kc, _gb, acc=False)))
+
+# METRIC and matrices
+_SHORT = f"coalesce({S.lookup(dicts.MODEL_SHORT, 'model')}, substring(model, 1, 8))"
+_METRIC = (
+    f", pe AS (SELECT model, {S.eval_lang('model', 'lang')} AS lang, aspect, y_true, y_pred FROM predictions), "
+    "mpc AS (SELECT model, lang, aspect, y_true, y_pred, count(*) AS n FROM pe GROUP BY ALL), "
+    "mpca AS (SELECT * FROM mpc UNION ALL SELECT model, lang, NULL, y_true, y_pred, CAST(sum(n) AS BIGINT) "
+    "FROM mpc GROUP BY model, lang, y_true, y_pred), "
+    "mls AS (SELECT model, lang, aspect, label, sum(tp) AS tp, sum(sup) AS support, sum(pred) AS predicted FROM ("
+    "SELECT model, lang, aspect, y_true AS label, n AS sup, CASE WHEN y_true = y_pred THEN n ELSE 0 END AS tp, "
+    "0 AS pred FROM mpca UNION ALL SELECT model, lang, aspect, y_pred, 0, 0, n FROM mpca) "
+    "GROUP BY model, lang, aspect, label), "
+    "mst AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS precision, "
+    "CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall, "
+    "CASE WHEN support + predicted > 0 THEN 2 * tp / (support + predicted) ELSE 0.0 END AS f1 FROM mls), "
+    f"m0 AS (SELECT model, lang, aspect, {S.r4('avg(f1)')} AS f1_macro, {S.r4('avg(precision)')} AS precision_macro, "
+    f"{S.r4('avg(recall)')} AS recall_macro, CAST(sum(support) AS BIGINT) AS n_samples FROM mst "
+    "GROUP BY model, lang, aspect), "
+    f"m1 AS (SELECT *, {_SHORT} AS model_short FROM m0), "
+    "metric AS (SELECT *, CASE WHEN model_short = 'SVM' THEN 'svm' ELSE 'transformer' END AS family FROM m1) ")
+
+
+def with_metric(body: str) -> str:
+    return with_preds(_METRIC + body)
+
+
+oracle("consolidate_metrics", with_metric(
+    "SELECT model, model_short, family, lang, aspect, f1_macro, precision_macro, recall_macro, n_samples FROM metric"))
+oracle("global_matrix", with_metric(
+    "SELECT model_short, " + ", ".join(f"max(f1_macro) FILTER (WHERE lang = {S.q(l)}) AS {lab}"
+                                       for l, lab in dicts.LANG_LABEL)
+    + " FROM metric WHERE aspect IS NULL GROUP BY model_short"))
+_EXP = (", mexp AS (SELECT model, model_short, family, unnest(CASE WHEN lang = 'all' THEN "
+        f"{S.lst(dicts.LANGUAGES)} ELSE [lang] END) AS lang, aspect, f1_macro FROM metric WHERE aspect IS NOT NULL) ")
+oracle("expand_all_lang", with_metric(_EXP + "SELECT model_short, lang, aspect, f1_macro FROM mexp"))
+_ALONG = (_EXP + ", along AS (SELECT aspect, lang, model_short, model_short || '(' || upper(lang) || ')' AS col_label, "
+          f"max(f1_macro) AS f1_macro FROM mexp WHERE aspect IN ({', '.join(S.q(a) for a in dicts.ASPECTS)}) "
+          "GROUP BY ALL) ")
+from aspectra.operators.matrices import matrix_columns  # noqa: E402
+oracle("absa_matrix", with_metric(
+    _ALONG + "SELECT aspect, " + ", ".join(f"max(f1_macro) FILTER (WHERE col_label = {S.q(c)}) AS \"{c}\""
+                                          for c in matrix_columns()) + " FROM along GROUP BY aspect"))
+oracle("gain_vs_baseline", with_metric(
+    _ALONG + "SELECT a.aspect, a.lang, a.model_short, a.col_label, "
+    f"{S.r4('a.f1_macro - b.f1_macro')} AS gain FROM along a JOIN along b ON a.aspect = b.aspect "
+    "AND a.lang = b.lang AND b.model_short = 'SVM' WHERE a.model_short <> 'SVM'"))
+_CMP = (", cmp AS (SELECT concat_ws('_', family, replace(model, '/', '_'), coalesce(lang, 'N/A')) AS name, "
+        "coalesce(lang, 'N/A') AS lang, coalesce(f1_macro, 0.0) AS macro_f1, coalesce(precision_macro, 0.0) AS precision, "
+        "coalesce(recall_macro, 0.0) AS recall, CAST(coalesce(n_samples, 0) AS BIGINT) AS n_samples, "
+        "model AS model_name, family FROM metric WHERE aspect IS NULL) ")
+oracle("comparison_table", with_metric(_CMP + "SELECT * FROM cmp"))
+oracle("best_model", with_metric(_CMP + "SELECT * FROM cmp ORDER BY macro_f1 DESC, name LIMIT 1"))
+_FS = (", fs AS (SELECT family, " + S.r4("avg(macro_f1)") + " AS mean_f1, "
+       "first(name ORDER BY macro_f1 DESC, name) AS best_name, max(macro_f1) AS best_f1, count(*) AS n_results "
+       "FROM cmp GROUP BY family) ")
+oracle("family_summary", with_metric(_CMP + _FS + "SELECT * FROM fs"))
+oracle("best_per_lang", with_metric(
+    _CMP + ", l AS (SELECT DISTINCT lang FROM cmp WHERE lang <> 'N/A'), "
+    f"f AS (SELECT unnest({S.lst(['svm', 'transformer'])}) AS family), "
+    "b AS (SELECT lang, family, max(macro_f1) AS best_f1 FROM cmp WHERE lang <> 'N/A' GROUP BY ALL) "
+    "SELECT l.lang, f.family, coalesce(b.best_f1, 0.0) AS best_f1 FROM l, f "
+    "LEFT JOIN b ON b.lang = l.lang AND b.family = f.family"))
+oracle("evaluation_report", with_metric(
+    _CMP + _FS + "SELECT * FROM (SELECT 'best_model' AS section, NULL::VARCHAR AS family, name, macro_f1 AS value "
+    "FROM cmp ORDER BY macro_f1 DESC, name LIMIT 1) UNION ALL "
+    "SELECT 'family_mean', family, NULL, mean_f1 FROM fs UNION ALL "
+    "SELECT 'family_best', family, best_name, best_f1 FROM fs"))

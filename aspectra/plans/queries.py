@@ -410,3 +410,77 @@ def q_grid_summary(spark, sf):
     p = preds(spark, sf).filter(F.col("model") == "SVM")
     p = p.withColumn("lang", F.explode(F.array(F.col("lang"), F.lit("all"))))
     return M.macro_metrics(p, keys=["lang", "aspect"]).drop("accuracy")
+
+
+# --------------------------------------------------------------------------
+# METRIC table and comparison matrices (2.1 end, 2.4, 2.5, 2.6, 2.7)
+# --------------------------------------------------------------------------
+
+from aspectra.operators import matrices as MX  # noqa: E402
+
+
+def metric(spark, sf):
+    p = preds(spark, sf)
+    return MX.metric_table(p, fx.eval_lang(F.col("model"), F.col("lang")))
+
+
+METRIC_COLS = ["model", "model_short", "family", "lang", "aspect", "f1_macro",
+               "precision_macro", "recall_macro", "n_samples"]
+
+
+@query("consolidate_metrics")
+def q_consolidate_metrics(spark, sf):
+    m = metric(spark, sf)
+    svm = m.filter(F.col("model") == "SVM").drop("model_short", "family")
+    other = m.filter(F.col("model") != "SVM").drop("family")
+    return MX.consolidate_metrics(svm, other).select(*METRIC_COLS)
+
+
+@query("global_matrix")
+def q_global_matrix(spark, sf):
+    return MX.global_matrix(metric(spark, sf))
+
+
+@query("expand_all_lang")
+def q_expand_all_lang(spark, sf):
+    m = metric(spark, sf).filter(F.col("aspect").isNotNull())
+    return MX.expand_all_lang(m).select("model_short", "lang", "aspect", "f1_macro")
+
+
+@query("absa_matrix")
+def q_absa_matrix(spark, sf):
+    return MX.absa_matrix(metric(spark, sf))
+
+
+@query("gain_vs_baseline")
+def q_gain_vs_baseline(spark, sf):
+    return MX.gain_vs_baseline(metric(spark, sf))
+
+
+def comparison(spark, sf):
+    return MX.comparison_table(metric(spark, sf))
+
+
+@query("comparison_table")
+def q_comparison_table(spark, sf):
+    return comparison(spark, sf)
+
+
+@query("best_model")
+def q_best_model(spark, sf):
+    return MX.best_model(comparison(spark, sf))
+
+
+@query("family_summary")
+def q_family_summary(spark, sf):
+    return MX.family_summary(comparison(spark, sf))
+
+
+@query("best_per_lang")
+def q_best_per_lang(spark, sf):
+    return MX.best_per_lang(comparison(spark, sf))
+
+
+@query("evaluation_report")
+def q_evaluation_report(spark, sf):
+    return MX.evaluation_report(comparison(spark, sf))
