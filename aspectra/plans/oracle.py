@@ -405,3 +405,20 @@ oracle("evaluation_report", with_metric(
     "FROM cmp ORDER BY macro_f1 DESC, name LIMIT 1) UNION ALL "
     "SELECT 'family_mean', family, NULL, mean_f1 FROM fs UNION ALL "
     "SELECT 'family_best', family, best_name, best_f1 FROM fs"))
+
+# TF-IDF
+from aspectra.operators.features import TOKEN_PATTERN  # noqa: E402
+_TF = (_CLASSIC + ", docs AS (SELECT review_id, t FROM n3 WHERE length(t) > 0), "
+       f"toks AS (SELECT review_id, regexp_extract_all(t, {S.q(TOKEN_PATTERN)}) AS tk FROM docs), "
+       "terms AS (SELECT review_id, unnest(list_concat(tk, list_transform(range(1, len(tk)), "
+       "lambda i: tk[i] || ' ' || tk[i + 1]))) AS term FROM toks), "
+       "tf AS (SELECT review_id, term, count(*) AS tf FROM terms GROUP BY ALL), "
+       "dfq AS (SELECT term, count(review_id) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM tf GROUP BY term), "
+       f"vocab AS (SELECT term, df, cf FROM dfq WHERE df >= {dicts.TFIDF_MIN_DF} ORDER BY cf DESC, term "
+       f"LIMIT {dicts.TFIDF_MAX_FEATURES}) ")
+oracle("vocabulary_topk", with_corpus(_TF + "SELECT term, df, cf FROM vocab"))
+oracle("tfidf_terms", with_corpus(
+    _TF + ", nd AS (SELECT count(*) AS n FROM docs), "
+    "w AS (SELECT tf.review_id, tf.term, tf.tf, tf.tf * (ln((1.0 + n) / (1.0 + df)) + 1.0) AS w "
+    "FROM tf JOIN vocab USING (term), nd) "
+    f"SELECT review_id, term, tf, {S.r6('w / sqrt(sum(w * w) OVER (PARTITION BY review_id))')} AS weight FROM w"))

@@ -484,3 +484,24 @@ def q_best_per_lang(spark, sf):
 @query("evaluation_report")
 def q_evaluation_report(spark, sf):
     return MX.evaluation_report(comparison(spark, sf))
+
+
+# --------------------------------------------------------------------------
+# 2.7 / 2.10 TF-IDF
+# --------------------------------------------------------------------------
+
+from aspectra.operators import features as FE  # noqa: E402
+
+
+def classic_corpus(spark, sf):
+    return P.preprocess_classic(corpus(spark, sf), lemmas=fx.lemma_frame(spark))
+
+
+@query("tfidf_terms")
+def q_tfidf_terms(spark, sf):
+    return FE.tfidf_terms(classic_corpus(spark, sf))
+
+
+@query("vocabulary_topk")
+def q_vocabulary_topk(spark, sf):
+    return FE.vocabulary_topk(classic_corpus(spark, sf))
