@@ -422,3 +422,93 @@ oracle("tfidf_terms", with_corpus(
     "w AS (SELECT tf.review_id, tf.term, tf.tf, tf.tf * (ln((1.0 + n) / (1.0 + df)) + 1.0) AS w "
     "FROM tf JOIN vocab USING (term), nd) "
     f"SELECT review_id, term, tf, {S.r6('w / sqrt(sum(w * w) OVER (PARTITION BY review_id))')} AS weight FROM w"))
+
+# 2.1 sources / 2.2 sinks
+from aspectra.plans.derived import CSV_LABELS  # noqa: E402
+
+
+def macro_cte(p: str, src: str, keys: list[str]) -> str:
+    """CTEs {p}pc, {p}ls, {p}st, {p}m: macro metrics (6 decimals) per keys."""
+    k = ", ".join(keys)
+    return (
+        f", {p}pc AS (SELECT {k}, y_true, y_pred, count(*) AS n FROM {src} GROUP BY {k}, y_true, y_pred), "
+        f"{p}ls AS (SELECT {k}, label, sum(tp) AS tp, sum(sup) AS support, sum(pred) AS predicted FROM ("
+        f"SELECT {k}, y_true AS label, n AS sup, CASE WHEN y_true = y_pred THEN n ELSE 0 END AS tp, 0 AS pred "
+        f"FROM {p}pc UNION ALL SELECT {k}, y_pred, 0, 0, n FROM {p}pc) GROUP BY {k}, label), "
+        f"{p}st AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS precision, "
+        "CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall, "
+        f"CASE WHEN support + predicted > 0 THEN 2 * tp / (support + predicted) ELSE 0.0 END AS f1 FROM {p}ls), "
+        f"{p}m AS (SELECT {k}, {S.r6('avg(f1)')} AS f1_macro, {S.r6('avg(precision)')} AS precision_macro, "
+        f"{S.r6('avg(recall)')} AS recall_macro, {S.r6('sum(tp) / sum(support)')} AS accuracy, "
+        f"CAST(sum(support) AS BIGINT) AS n_samples FROM {p}st GROUP BY {k}) ")
+
+
+_OPS = (
+    ", s AS (SELECT review_id % 5 AS bucket, text, aspect_raw AS t1, "
+    "CASE WHEN review_id % 5 = 4 THEN 'conflict' ELSE polarity_raw END AS p1, "
+    f"({S.lst(fx.RAW_ASPECTS)})[(review_id + 5) % 12 + 1] AS t2, "
+    f"CASE WHEN review_id % 5 = 4 THEN 'conflict' ELSE ({S.lst(fx.RAW_POLARITIES)})[((review_id // 12) + 3) % 8 + 1] END AS p2 "
+    "FROM reviews), "
+    f"st AS (SELECT bucket, {S.py_strip('text')} AS text, t1, p1, t2, p2 FROM s WHERE text IS NOT NULL AND text <> ''), "
+    "ops AS (SELECT bucket, text, t1 AS t, p1 AS p FROM st UNION ALL SELECT bucket, text, t2, p2 FROM st), "
+    f"valid AS (SELECT * FROM (SELECT bucket, text, {S.normalize_target('t')} AS aspect, "
+    f"{S.normalize_polarity('p')} AS polarity FROM ops) WHERE polarity IS NOT NULL), "
+    "fb AS (SELECT text FROM st WHERE bucket NOT IN (SELECT DISTINCT bucket FROM valid)) ")
+_OP_ROWS = ("SELECT text, aspect, polarity, 'fr' AS lang FROM valid UNION ALL "
+            "SELECT text, 'general', 'neutral', 'fr' FROM fb")
+oracle("read_opinion_xml", with_reviews(_OPS + _OP_ROWS))
+oracle("whole_text_fallback", with_reviews(_OPS + "SELECT text, 'general' AS aspect, 'neutral' AS polarity, 'fr' AS lang FROM fb"))
+
+_TERMS = (
+    ", ts AS (SELECT CASE review_id % 3 WHEN 0 THEN 'fr_reviews' WHEN 1 THEN 'en_laptops' ELSE 'en_conflicts' END AS src, "
+    "text, aspect_raw AS term, CASE WHEN review_id % 3 = 2 THEN 'conflict' ELSE polarity_raw END AS p, "
+    "review_id % 7 = 0 AS noterms FROM reviews), "
+    f"tst AS (SELECT src, {S.py_strip('text')} AS text, term, p, noterms FROM ts WHERE text IS NOT NULL AND text <> ''), "
+    f"tvalid AS (SELECT * FROM (SELECT src, text, {S.py_strip('term')} AS aspect, {S.normalize_polarity('p')} AS polarity "
+    "FROM tst WHERE NOT noterms AND term IS NOT NULL AND term <> '') WHERE polarity IS NOT NULL), "
+    "tfb AS (SELECT src, text FROM tst WHERE src NOT IN (SELECT DISTINCT src FROM tvalid)) ")
+oracle("read_aspect_term_xml", with_reviews(
+    _TERMS + "SELECT text, aspect, polarity, 'en' AS lang FROM tvalid UNION ALL "
+    "SELECT text, 'general', 'neutral', 'en' FROM tfb"))
+
+_CSV = (f", cs AS (SELECT {S.py_strip('text')} AS text, ({S.lst(CSV_LABELS)})[review_id % {len(CSV_LABELS)} + 1] AS label "
+        "FROM reviews), "
+        f"crow AS (SELECT * FROM (SELECT text, 'general' AS aspect, {S.normalize_polarity('label', strip=True)} AS polarity, "
+        "'ru' AS lang FROM cs) WHERE polarity IS NOT NULL AND text IS NOT NULL AND length(text) > 0) ")
+oracle("read_labelled_csv", with_reviews(_CSV + "SELECT * FROM crow"))
+oracle("detect_columns", "SELECT 'Text' AS text_col, 'Label' AS label_col FROM (SELECT 1 FROM documents LIMIT 1)")
+oracle("route_inputs", with_reviews(
+    _OPS + _TERMS + _CSV + _OP_ROWS + " UNION ALL "
+    "SELECT text, aspect, polarity, CASE WHEN src = 'fr_reviews' THEN 'fr' ELSE 'en' END FROM tvalid UNION ALL "
+    "SELECT text, 'general', 'neutral', CASE WHEN src = 'fr_reviews' THEN 'fr' ELSE 'en' END FROM tfb "
+    "UNION ALL SELECT * FROM crow"))
+
+_CORPUS_ROWS = "SELECT review_id, lang, text, aspect, polarity FROM corpus"
+oracle("write_corpus", with_corpus(_CORPUS_ROWS))
+oracle("write_corpus_csv", with_corpus(_CORPUS_ROWS))
+oracle("scan_corpus", with_corpus(_CORPUS_ROWS + " WHERE lang = 'fr'"))
+oracle("scan_first_available", with_corpus(_CORPUS_ROWS))
+
+_SVMP = (", svmp AS (SELECT unnest([lang, 'all']) AS lang, aspect, y_true, y_pred FROM predictions "
+         "WHERE model = 'SVM') " + macro_cte("s_", "svmp", ["lang", "aspect"]))
+oracle("write_results", with_preds(
+    _SVMP + "SELECT m.lang, m.aspect, m.f1_macro AS global_f1_macro, m.precision_macro AS global_precision_macro, "
+    "m.recall_macro AS global_recall_macro, m.n_samples, 5 AS n_folds, m.n_samples AS cm_total, "
+    f"{S.r6('st.f1')} AS report_pos_f1 FROM s_m m LEFT JOIN s_st st ON st.lang = m.lang AND st.aspect = m.aspect "
+    "AND st.label = 'pos'"))
+oracle("scan_svm_metrics", with_preds(
+    _SVMP + f"SELECT 'SVM' AS model, lang, aspect, {S.r4('f1_macro')} AS f1_macro, "
+    f"{S.r4('precision_macro')} AS precision_macro, {S.r4('recall_macro')} AS recall_macro, n_samples FROM s_m"))
+_MODP = (f", modp AS (SELECT model, {S.eval_lang('model', 'lang')} AS lang, aspect, y_true, y_pred FROM predictions "
+         "WHERE model <> 'SVM') " + macro_cte("o_", "modp", ["model", "lang"])
+         + macro_cte("a_", "modp", ["model", "lang", "aspect"]))
+oracle("scan_model_metrics", with_preds(
+    _MODP + f"SELECT model, lang, NULL::VARCHAR AS aspect, {S.r4('f1_macro')} AS f1_macro, "
+    f"{S.r4('precision_macro')} AS precision_macro, {S.r4('recall_macro')} AS recall_macro, n_samples FROM o_m "
+    f"UNION ALL SELECT model, lang, aspect, {S.r4('f1_macro')}, NULL::DOUBLE, NULL::DOUBLE, NULL::BIGINT FROM a_m"))
+oracle("scan_results", with_preds(
+    _SVMP + _MODP + "SELECT 'svm_' || lang || '_' || aspect AS name, lang, f1_macro AS macro_f1, "
+    "precision_macro AS precision, recall_macro AS recall, n_samples, '' AS model_name, 'svm' AS family FROM s_m "
+    "UNION ALL SELECT 'transformer_' || replace(model, '/', '_') || '_' || lang, lang, f1_macro, precision_macro, "
+    "recall_macro, n_samples, model, 'transformer' FROM o_m"))
+oracle("write_matrix", ORACLE["absa_matrix"])

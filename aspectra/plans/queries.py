@@ -505,3 +505,145 @@ def q_tfidf_terms(spark, sf):
 @query("vocabulary_topk")
 def q_vocabulary_topk(spark, sf):
     return FE.vocabulary_topk(classic_corpus(spark, sf))
+
+
+# --------------------------------------------------------------------------
+# 2.1 sources and 2.2 sinks (files derived from the tables by Spark)
+# --------------------------------------------------------------------------
+
+from aspectra.plans import derived as DV  # noqa: E402
+from aspectra.session import scratch_path  # noqa: E402
+from aspectra.sources import corpus as SC  # noqa: E402
+from aspectra.sources import csv as SCSV  # noqa: E402
+from aspectra.sources import results as SR  # noqa: E402
+from aspectra.sources import xml as SX  # noqa: E402
+
+REVIEW_OUT = ["text", "aspect", "polarity", "lang"]
+
+
+@query("read_opinion_xml")
+def q_read_opinion_xml(spark, sf):
+    return SX.read_opinion_xml(spark, DV.opinion_xml(spark, sf)).select(*REVIEW_OUT)
+
+
+@query("whole_text_fallback")
+def q_whole_text_fallback(spark, sf):
+    s = SX.read_sentences(spark, DV.opinion_xml(spark, sf))
+    return SX.whole_text_fallback(s, SX.opinion_rows(s, "fr"), "fr").select(*REVIEW_OUT)
+
+
+@query("read_aspect_term_xml")
+def q_read_aspect_term_xml(spark, sf):
+    return SX.read_aspect_term_xml(spark, DV.term_xml(spark, sf)).select(*REVIEW_OUT)
+
+
+@query("route_inputs")
+def q_route_inputs(spark, sf):
+    root = scratch_path(spark, "raw")
+    DV.opinion_xml(spark, sf, f"{root}/xml/opinions")
+    DV.term_xml(spark, sf, f"{root}/xml/terms")
+    DV.labelled_csv(spark, sf, f"{root}/csv/rusentiment")
+    x = SX.route_xml(spark, f"{root}/xml").select(*REVIEW_OUT)
+    c = SCSV.read_labelled_csv(spark, f"{root}/csv/rusentiment").select(*REVIEW_OUT)
+    return x.unionByName(c)
+
+
+@query("read_labelled_csv")
+def q_read_labelled_csv(spark, sf):
+    return SCSV.read_labelled_csv(spark, DV.labelled_csv(spark, sf)).select(*REVIEW_OUT)
+
+
+@query("detect_columns")
+def q_detect_columns(spark, sf):
+    raw = SCSV.read_csv_raw(spark, DV.labelled_csv(spark, sf))
+    t, lab = SCSV.detect_columns(raw.columns)
+    # schema-level decision; returned as a one-row frame of the chosen names
+    return raw.limit(1).select(F.lit(t).alias("text_col"), F.lit(lab).alias("label_col"))
+
+
+@query("write_corpus")
+def q_write_corpus(spark, sf):
+    path = SC.write_corpus(corpus(spark, sf), scratch_path(spark, "corpus"))
+    return spark.read.parquet(path).select("review_id", "lang", "text", "aspect", "polarity")
+
+
+@query("write_corpus_csv")
+def q_write_corpus_csv(spark, sf):
+    path = SC.write_corpus(corpus(spark, sf), scratch_path(spark, "corpus-csv"), fmt="csv")
+    schema = "review_id bigint, text string, aspect string, polarity string"
+    d = (spark.read.schema(schema).option("header", True).option("multiLine", True)
+         .option("escape", '"').csv(path))
+    return d.select("review_id", "lang", "text", "aspect", "polarity")
+
+
+@query("scan_corpus")
+def q_scan_corpus(spark, sf):
+    path = SC.write_corpus(corpus(spark, sf), scratch_path(spark, "corpus"))
+    return SC.scan_corpus(spark, path).filter(F.col("lang") == "fr") \
+             .select("review_id", "lang", "text", "aspect", "polarity")
+
+
+@query("scan_first_available")
+def q_scan_first_available(spark, sf):
+    path = SC.write_corpus(corpus(spark, sf), scratch_path(spark, "corpus"))
+    missing = scratch_path(spark, "absent")
+    return SC.scan_first_available(spark, [missing, path]).select("review_id", "lang", "text", "aspect", "polarity")
+
+
+def svm_records(spark, sf):
+    p = preds(spark, sf).filter(F.col("model") == "SVM")
+    p = p.withColumn("lang", F.explode(F.array(F.col("lang"), F.lit("all"))))
+    p = SA.stratified_kfold(p, label="y_true", id_col="row_id", strata_extra=["lang", "aspect"])
+    return SR.svm_result_records(p, ["lang", "aspect"])
+
+
+def model_records(spark, sf, nested: bool):
+    p = preds(spark, sf).filter(F.col("model") != "SVM")
+    p = p.withColumn("lang", fx.eval_lang(F.col("model"), F.col("lang")))
+    keep = F.col("model") != "DeepPavlov/rubert-base-cased"
+    return SR.model_result_records(p.filter(keep if nested else ~keep), nested=nested)
+
+
+def write_all_results(spark, sf):
+    root = scratch_path(spark, "results")
+    SR.write_results(svm_records(spark, sf), f"{root}/svm_results")
+    SR.write_results(model_records(spark, sf, True), f"{root}/transformer_results", mode="overwrite")
+    SR.write_results(model_records(spark, sf, False), f"{root}/transformer_results", mode="append")
+    return root
+
+
+@query("write_results")
+def q_write_results(spark, sf):
+    root = scratch_path(spark, "results")
+    SR.write_results(svm_records(spark, sf), f"{root}/svm_results")
+    d = spark.read.schema(SR.SVM_RESULT).json(f"{root}/svm_results")
+    return d.select("lang", "aspect", "global_f1_macro", "global_precision_macro", "global_recall_macro",
+                    "n_samples", F.size("fold_results").alias("n_folds"),
+                    F.aggregate("confusion_matrix", F.lit(0).cast("bigint"),
+                                lambda acc, r: acc + F.aggregate(r, F.lit(0).cast("bigint"), lambda a, x: a + x))
+                    .alias("cm_total"),
+                    F.col("classification_report")["pos"]["f1-score"].alias("report_pos_f1"))
+
+
+@query("scan_svm_metrics")
+def q_scan_svm_metrics(spark, sf):
+    root = write_all_results(spark, sf)
+    return SR.scan_svm_metrics(spark, f"{root}/svm_results")
+
+
+@query("scan_model_metrics")
+def q_scan_model_metrics(spark, sf):
+    root = write_all_results(spark, sf)
+    return SR.scan_model_metrics(spark, f"{root}/transformer_results")
+
+
+@query("scan_results")
+def q_scan_results(spark, sf):
+    return SR.scan_results(spark, write_all_results(spark, sf))
+
+
+@query("write_matrix")
+def q_write_matrix(spark, sf):
+    path = SC.write_matrix(MX.absa_matrix(metric(spark, sf)), scratch_path(spark, "matrix"))
+    schema = "aspect string, " + ", ".join(f"`{c}` double" for c in MX.matrix_columns())
+    return spark.read.schema(schema).option("header", True).csv(path)
