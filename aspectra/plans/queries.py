@@ -647,3 +647,78 @@ def q_write_matrix(spark, sf):
     path = SC.write_matrix(MX.absa_matrix(metric(spark, sf)), scratch_path(spark, "matrix"))
     schema = "aspect string, " + ", ".join(f"`{c}` double" for c in MX.matrix_columns())
     return spark.read.schema(schema).option("header", True).csv(path)
+
+
+# --------------------------------------------------------------------------
+# 2.10 classifiers (rows-only checks; trained many-at-once)
+# --------------------------------------------------------------------------
+
+from aspectra.operators import models as MD  # noqa: E402
+
+
+def training_rows(spark, sf):
+    """Classic-preprocessed corpus as (row_id, lang, aspect, text, y_true)."""
+    c = classic_corpus(spark, sf)
+    return c.select(F.col("review_id").alias("row_id"), "lang", "aspect",
+                    F.col("text_processed").alias("text"), F.col("polarity").alias("y_true"))
+
+
+@query("train_linear_svm")
+def q_train_linear_svm(spark, sf):
+    met, _ = MD.holdout_evaluate(training_rows(spark, sf), [], kind="svm")
+    return met
+
+
+@query("cross_validate_svm")
+def q_cross_validate_svm(spark, sf):
+    pred, _ = MD.cross_validate(training_rows(spark, sf), [], final=False)
+    return M.fold_metrics(pred)
+
+
+@query("svm_grid")
+def q_svm_grid(spark, sf):
+    summary, _, _ = MD.svm_grid(training_rows(spark, sf))
+    return summary
+
+
+def run_langs(df, runs=("fr", "all", "ru"), min_rows: int = 0):
+    """Rows replicated into the runs they belong to (a language, or 'all')."""
+    d = df.withColumn("run", F.explode(F.array(F.col("lang"), F.lit("all"))))
+    d = d.filter(F.col("run").isin(list(runs)))
+    if min_rows:
+        ok = d.groupBy("run").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_rows).select("run")
+        d = d.join(ok, "run")
+    return d
+
+
+@query("emotion_classifier")
+def q_emotion_classifier(spark, sf):
+    c = corpus(spark, sf).transform(E.keyword_emotion).transform(LB.add_absa_input) \
+                         .transform(LB.choose_model_text)
+    d = c.select(F.col("review_id").alias("row_id"), "lang", F.col("model_input").alias("text"),
+                 F.col("emotion").alias("y_true"))
+    d = run_langs(d, min_rows=dicts.MIN_ROWS_EMOTION)
+    met, _ = MD.holdout_evaluate(d, ["run"], kind="logreg", labels=dicts.EMOTION_CODES)
+    return met
+
+
+@query("sentiment_classifier")
+def q_sentiment_classifier(spark, sf):
+    c = P.preprocess_light(corpus(spark, sf)).transform(LB.add_aspect_tagged_text)
+    d = c.select(F.col("review_id").alias("row_id"), "lang", F.col("model_text").alias("text"),
+                 F.col("polarity").alias("y_true"))
+    met, _ = MD.holdout_evaluate(run_langs(d), ["run"], kind="logreg")
+    return met
+
+
+@query("save_classifier")
+def q_save_classifier(spark, sf):
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.classification import OneVsRestModel
+    d = training_rows(spark, sf)
+    pred, model = MD.cross_validate(d, [], final=True)
+    path = model.save(scratch_path(spark, "svm-model"))
+    loaded = MD.TaskModel(PipelineModel.load(f"{path}/vectorizer"), OneVsRestModel.load(f"{path}/classifier"),
+                          model.tasks, model.labels)
+    final = d.withColumn("task", F.lit("0"))
+    return loaded.transform(final).select("row_id", "y_true", "y_pred")
