@@ -21,9 +21,23 @@ def value_counts(df: DataFrame, cols=("lang", "polarity", "aspect", "emotion"))
               .agg(F.count(F.lit(1)).alias("n")))
 
 
+def pivot_count(df: DataFrame, keys, col: str, values) -> DataFrame:
+    """keys x values counts (0 for missing cells) as ONE partial/final
+    aggregation: a conditional count per explicit value, instead of
+    ``pivot`` (which plans two aggregations and two shuffles)."""
+    return df.groupBy(*keys).agg(*[F.count_if(F.col(col) == F.lit(v)).alias(v) for v in values])
+
+
+def pivot_max(df: DataFrame, keys, col: str, values, value: str, names=None) -> DataFrame:
+    """keys x values max(value) (null for missing cells), one aggregation."""
+    names = names or list(values)
+    return df.groupBy(*keys).agg(*[F.max(F.when(F.col(col) == F.lit(v), F.col(value))).alias(nm)
+                                   for v, nm in zip(values, names)])
+
+
 def crosstab(df: DataFrame, row: str, col: str, values) -> DataFrame:
     """row x col counts, missing cells 0; pivot values are explicit."""
-    return df.groupBy(row).pivot(col, list(values)).count().fillna(0, subset=list(values))
+    return pivot_count(df, [row], col, values)
 
 
 def crosstab_lang_polarity(df: DataFrame) -> DataFrame:

@@ -33,9 +33,10 @@ def metric_table(preds: DataFrame, lang_expr: Column | None = None) -> DataFrame
     small per-aspect count table, not from a second pass over predictions."""
     p = preds if lang_expr is None else preds.withColumn("lang", lang_expr)
     c = pair_counts(p, ["model", "lang", "aspect"])
-    overall = c.groupBy("model", "lang", "y_true", "y_pred").agg(F.sum("n").alias("n")) \
-               .withColumn("aspect", F.lit(None).cast("string"))
-    counts = c.unionByName(overall)
+    # every count row also feeds the overall row (aspect null) of its group
+    both = F.explode(F.array(F.col("aspect"), F.lit(None).cast("string")))
+    counts = c.select("model", "lang", both.alias("aspect"), "y_true", "y_pred", "n") \
+              .groupBy("model", "lang", "aspect", "y_true", "y_pred").agg(F.sum("n").alias("n"))
     keys = ["model", "lang", "aspect"]
     st = label_stats(counts, keys)
     m = st.groupBy(*keys).agg(
@@ -64,12 +65,11 @@ def lang_label(lang: Column) -> Column:
 
 def global_matrix(metric: DataFrame) -> DataFrame:
     """model_short x language, max overall F1."""
+    from aspectra.operators.counts import pivot_max
     langs = [l for l, _ in dicts.LANG_LABEL]
-    g = (metric.filter(F.col("aspect").isNull())
-               .groupBy("model_short").pivot("lang", langs).agg(F.max("f1_macro")))
-    for l, lab in dicts.LANG_LABEL:
-        g = g.withColumnRenamed(l, lab)
-    return g
+    names = [lab for _, lab in dicts.LANG_LABEL]
+    return pivot_max(metric.filter(F.col("aspect").isNull()), ["model_short"], "lang", langs,
+                     "f1_macro", names)
 
 
 def expand_all_lang(metric: DataFrame) -> DataFrame:
@@ -95,8 +95,8 @@ def absa_long(metric: DataFrame) -> DataFrame:
 def absa_matrix(metric: DataFrame) -> DataFrame:
     """aspect x MODEL(LANG) matrix of max F1 (explicit column order: per
     language SVM, XLM-R, CamemBERT, RuBERT)."""
-    cols = matrix_columns()
-    return absa_long(metric).groupBy("aspect").pivot("col_label", cols).agg(F.max("f1_macro"))
+    from aspectra.operators.counts import pivot_max
+    return pivot_max(absa_long(metric), ["aspect"], "col_label", matrix_columns(), "f1_macro")
 
 
 def gain_vs_baseline(metric: DataFrame, baseline: str = dicts.BASELINE_MODEL) -> DataFrame:

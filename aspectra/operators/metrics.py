@@ -27,14 +27,17 @@ def pair_counts(df: DataFrame, keys=(), y_true: str = "y_true", y_pred: str = "y
 
 
 def label_stats(counts: DataFrame, keys=()) -> DataFrame:
-    """Per (keys, label): tp, support (true count), predicted count."""
+    """Per (keys, label): tp, support (true count), predicted count.  Each
+    count row contributes to its true label and to its predicted label
+    through one ``explode`` (a single pass, no union of two scans)."""
     keys = list(keys)
-    a = counts.select(*keys, F.col("y_true").alias("label"), F.col("n").alias("support"),
-                      F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0).alias("tp"),
-                      F.lit(0).cast("bigint").alias("predicted"))
-    b = counts.select(*keys, F.col("y_pred").alias("label"), F.lit(0).cast("bigint").alias("support"),
-                      F.lit(0).cast("bigint").alias("tp"), F.col("n").alias("predicted"))
-    s = a.unionByName(b).groupBy(*keys, "label").agg(
+    n = F.col("n").cast("bigint")
+    zero = F.lit(0).cast("bigint")
+    tp = F.when(F.col("y_true") == F.col("y_pred"), n).otherwise(zero)
+    sides = F.explode(F.array(
+        F.struct(F.col("y_true").alias("label"), n.alias("support"), tp.alias("tp"), zero.alias("predicted")),
+        F.struct(F.col("y_pred").alias("label"), zero.alias("support"), zero.alias("tp"), n.alias("predicted"))))
+    s = counts.select(*keys, sides.alias("s")).select(*keys, "s.*").groupBy(*keys, "label").agg(
         F.sum("tp").alias("tp"), F.sum("support").alias("support"), F.sum("predicted").alias("predicted"))
     return (s.withColumn("precision", _ratio(F.col("tp"), F.col("predicted")))
              .withColumn("recall", _ratio(F.col("tp"), F.col("support")))
@@ -101,25 +104,36 @@ def fold_metrics(df: DataFrame, keys=(), fold: str = "fold", y_true: str = "y_tr
                  y_pred: str = "y_pred") -> DataFrame:
     """Per group: mean and population std of the per-fold macro metrics, and
     the metrics pooled over all folds (computed on the concatenated
-    predictions, not averaged).  One count pass serves both."""
+    predictions, not averaged).  Each count row feeds its fold and the pooled
+    pseudo-fold 0, so per-fold and pooled metrics come from one count table
+    and one final aggregation."""
     keys = list(keys)
     if not keys:
         df, keys = df.withColumn("__all", F.lit(0)), ["__all"]
         return fold_metrics(df, keys, fold, y_true, y_pred).drop("__all")
     c = pair_counts(df, keys + [fold], y_true, y_pred)
-    per_fold = macro_from_stats(label_stats(c, keys + [fold]), keys + [fold])
-    pooled_counts = c.groupBy(*keys, "y_true", "y_pred").agg(F.sum("n").alias("n"))
-    pooled = macro_from_stats(label_stats(pooled_counts, keys), keys)
-    folds = per_fold.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_folds"),
-        F.bround(F.avg("f1_macro"), R).alias("f1_fold_mean"),
-        F.bround(F.stddev_pop("f1_macro"), R).alias("f1_fold_std"),
-        F.bround(F.avg("precision_macro"), R).alias("precision_fold_mean"),
-        F.bround(F.avg("recall_macro"), R).alias("recall_fold_mean"))
-    pooled = pooled.select(*keys, F.col("f1_macro").alias("f1_pooled"),
-                           F.col("precision_macro").alias("precision_pooled"),
-                           F.col("recall_macro").alias("recall_pooled"), "n_samples")
-    return folds.join(pooled, keys)
+    both = F.explode(F.array(F.col(fold).cast("int"), F.lit(0)))
+    c = c.select(*keys, both.alias("__f"), "y_true", "y_pred", "n") \
+         .groupBy(*keys, "__f", "y_true", "y_pred").agg(F.sum("n").alias("n"))
+    m = macro_from_stats(label_stats(c, keys + ["__f"]), keys + ["__f"])
+    is_fold = F.col("__f") != 0
+
+    def per_fold(x):
+        return F.when(is_fold, F.col(x))
+
+    def pooled(x):
+        return F.max(F.when(~is_fold, F.col(x)))
+
+    return m.groupBy(*keys).agg(
+        F.count_if(is_fold).alias("n_folds"),
+        F.bround(F.avg(per_fold("f1_macro")), R).alias("f1_fold_mean"),
+        F.bround(F.stddev_pop(per_fold("f1_macro")), R).alias("f1_fold_std"),
+        F.bround(F.avg(per_fold("precision_macro")), R).alias("precision_fold_mean"),
+        F.bround(F.avg(per_fold("recall_macro")), R).alias("recall_fold_mean"),
+        pooled("f1_macro").alias("f1_pooled"),
+        pooled("precision_macro").alias("precision_pooled"),
+        pooled("recall_macro").alias("recall_pooled"),
+        pooled("n_samples").alias("n_samples"))
 
 
 def class_weights(df: DataFrame, label: str = "polarity", keys=()) -> DataFrame:
