@@ -112,7 +112,10 @@ def _read(spark: SparkSession, path, schema, multi_line: bool = False) -> DataFr
 
 
 def corrupt_count(df: DataFrame) -> DataFrame:
-    return df.agg(F.count_if(F.col("_corrupt_record").isNotNull()).alias("n_corrupt"))
+    """Number of malformed records.  Spark refuses queries that read only the
+    corrupt-record column from raw files, so the parsed records (one small
+    row per model run) are cached first, as Spark recommends."""
+    return df.cache().agg(F.count_if(F.col("_corrupt_record").isNotNull()).alias("n_corrupt"))
 
 
 def scan_svm_metrics(spark: SparkSession, path, multi_line: bool = False) -> DataFrame:
