@@ -74,8 +74,9 @@ def collapse_whitespace(text) -> Column:
 # --- NFKD accent stripping: the one Python step (no JVM built-in exists) ---
 
 def _combining_class_pattern() -> re.Pattern:
-    # Built by rule: every code point with a non-zero canonical combining class.
-    chars = [chr(i) for i in range(sys.maxunicode + 1) if unicodedata.combining(chr(i))]
+    # Built by rule: every code point with a non-zero canonical combining
+    # class.  All of them lie in planes 0-1 of the Unicode database.
+    chars = [chr(i) for i in range(min(sys.maxunicode + 1, 0x20000)) if unicodedata.combining(chr(i))]
     return re.compile("[" + "".join(re.escape(c) for c in chars) + "]")
 
 

@@ -512,3 +512,9 @@ oracle("scan_results", with_preds(
     "UNION ALL SELECT 'transformer_' || replace(model, '/', '_') || '_' || lang, lang, f1_macro, precision_macro, "
     "recall_macro, n_samples, model, 'transformer' FROM o_m"))
 oracle("write_matrix", ORACLE["absa_matrix"])
+
+oracle("tfidf_vectors", with_corpus(
+    _TF + ", nd AS (SELECT count(*) AS n FROM docs), "
+    "w AS (SELECT tf.review_id, tf.term, tf.tf * (ln((1.0 + n) / (1.0 + df)) + 1.0) AS w "
+    "FROM tf JOIN vocab USING (term), nd) "
+    f"SELECT review_id, term, {S.r6('w / sqrt(sum(w * w) OVER (PARTITION BY review_id))')} AS weight FROM w"))

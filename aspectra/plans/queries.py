@@ -722,3 +722,12 @@ def q_save_classifier(spark, sf):
                           model.tasks, model.labels)
     final = d.withColumn("task", F.lit("0"))
     return loaded.transform(final).select("row_id", "y_true", "y_pred")
+
+
+@query("tfidf_vectors")
+def q_tfidf_vectors(spark, sf):
+    """ML sparse vectors, exploded back to (id, term, weight): must equal the
+    relational ``tfidf_terms`` weights."""
+    d = classic_corpus(spark, sf)
+    model, v = FE.tfidf_vectors(d)
+    return FE.vector_terms(model, v, "review_id")

@@ -34,3 +34,14 @@ def test_entry_and_registry(spark):
     qs, sqls = E2.queries(), E2.oracle_sql()
     assert set(sqls) <= set(qs)
     assert len(qs) >= 80 and len(sqls) >= 75
+
+
+def test_label_stream_module(spark, tmpdir_path):
+    from aspectra.streaming.labeling import start_label_stream
+    src = spark.createDataFrame([(1, "fr", "Dommage, horrible !", "neg"), (2, "en", "Great", "pos")],
+                                "review_id long, lang string, text string, polarity string")
+    src.write.parquet(f"{tmpdir_path}/in")
+    q = start_label_stream(spark, f"{tmpdir_path}/in", src.schema, f"{tmpdir_path}/out", f"{tmpdir_path}/ck")
+    q.awaitTermination(120)
+    out = {r.review_id: (r.text_processed, r.emotion) for r in spark.read.parquet(f"{tmpdir_path}/out").collect()}
+    assert out == {1: ("dommage horrible", "colère"), 2: ("great", "joie")}
