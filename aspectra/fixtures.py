@@ -43,7 +43,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    from aspectra.session import spread
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     doc = F.col("doc_id")
     return d.select(
         doc.alias("review_id"),

@@ -66,3 +66,14 @@ def cut_lineage(df, eager: bool = True):
     """Materialise ``df`` reliably (survives executor loss) and cut its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def spread(df, factor: int = 2):
+    """Round-robin ``df`` over about ``factor`` x cores partitions when it has
+    fewer (e.g. one small file = one scan task), so CPU-heavy row work (regex
+    chains, the NFKD UDF) uses the whole cluster.  On large inputs the scan
+    already has enough partitions and nothing is added (no extra shuffle)."""
+    target = factor * df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
