@@ -75,3 +75,18 @@ def test_split_disjoint_complete(spark):
     by = {r.split: r["count"] for r in s.groupBy("split").count().collect()}
     assert set(by) == {"train", "val", "test"}
     assert abs(by["test"] - 150) <= 3 and abs(by["val"] - 150) <= 3
+
+
+def test_hot_stratum_ranked_exactly_without_one_big_window(spark):
+    # one label holds ~2/3 of the rows: ranks must still equal the brute force
+    rows = [(i, "hot" if i % 3 else "cold") for i in range(3000)]
+    df = spark.createDataFrame(rows, "review_id long, polarity string").repartition(5)
+    r = SA.rank_in_strata(df, ["polarity"], order_key("h", "review_id"), ["review_id"], digits=3)
+    plan = r._jdf.queryExecution().executedPlan().toString()
+    assert "__b" in plan  # the ranking window is partitioned by (stratum, bucket)
+    got = {x.review_id: x["__rank"] for x in r.collect()}
+    pdf = df.toPandas()
+    pdf["k"] = [md5key("h", i) for i in pdf.review_id]
+    for _, g in pdf.groupby("polarity"):
+        for rank, i in enumerate(g.sort_values(["k", "review_id"]).review_id, start=1):
+            assert got[i] == rank
