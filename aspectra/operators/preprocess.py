@@ -61,7 +61,8 @@ def lemma_lookup(df: DataFrame, lemmas: DataFrame, text: str = "text_processed",
 def preprocess_light(df: DataFrame, text: str = "text", lang: str = "lang",
                      out: str = "text_processed") -> DataFrame:
     """Normalisation only; rows whose processed text is empty are dropped."""
-    return df.withColumn(out, T.normalize_text(text, lang)).filter(F.length(out) > 0)
+    from aspectra.operators.labeling import keep_nonempty
+    return keep_nonempty(df.withColumn(out, T.normalize_text(text, lang)), out)
 
 
 def preprocess_classic(df: DataFrame, text: str = "text", lang: str = "lang",
@@ -75,8 +76,8 @@ def preprocess_classic(df: DataFrame, text: str = "text", lang: str = "lang",
         d = d.withColumn(out, T.remove_stopwords(out, lang, dicts.STOPWORDS, custom_stopwords))
     if lemmas is not None:
         d = lemma_lookup(d, lemmas, text=out, lang=lang, id_col=id_col)
-    d = d.withColumn(out, T.collapse_whitespace(out))
-    return d.filter(F.length(out) > 0)
+    from aspectra.operators.labeling import keep_nonempty
+    return keep_nonempty(d.withColumn(out, T.collapse_whitespace(out)), out)
 
 
 def texts_labels_by_lang(df: DataFrame, lang: str = "lang", label: str = "polarity") -> DataFrame:
