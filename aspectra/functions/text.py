@@ -99,11 +99,49 @@ def _strip_accents_udf(s: pd.Series) -> pd.Series:
 _NON_ASCII = r"[^\x00-\x7f]"
 
 
+def _combining_regex_class() -> str:
+    """Java regex class of every code point with a non-zero canonical
+    combining class (built by rule from the Unicode database), as ranges."""
+    cps = [i for i in range(min(sys.maxunicode + 1, 0x20000)) if unicodedata.combining(chr(i))]
+    ranges, start, prev = [], cps[0], cps[0]
+    for c in cps[1:]:
+        if c != prev + 1:
+            ranges.append((start, prev))
+            start = c
+        prev = c
+    ranges.append((start, prev))
+    return "[" + "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
+
+
+COMBINING_CLASS = _combining_regex_class()
+_ICU = "com.ibm.icu.text.Normalizer"
+_ICU_OK: bool | None = None
+
+
+def _icu_available() -> bool:
+    """ICU4J ships with Spark 4 (collations); probe it once on the driver."""
+    global _ICU_OK
+    if _ICU_OK is None:
+        try:
+            from pyspark.sql import SparkSession
+            jvm = SparkSession.getActiveSession()._jvm
+            jvm.java.lang.Class.forName(_ICU)
+            _ICU_OK = True
+        except Exception:  # noqa: BLE001
+            _ICU_OK = False
+    return _ICU_OK
+
+
 def strip_accents(text) -> Column:
-    """NFKD, then drop combining marks.  Arrow-batched; rows that are pure
-    ASCII are sent as nulls (nothing to transfer) and pass through unchanged."""
+    """NFKD, then drop combining marks.  JVM-side: ICU's NFKD through
+    ``reflect`` and one regex over the combining-mark class; pure-ASCII rows
+    are passed through untouched.  Without ICU on the classpath an
+    Arrow-batched pandas UDF does the same."""
     t = _c(text)
     needs = t.rlike(_NON_ASCII)
+    if _icu_available():
+        nfkd = F.call_function("reflect", F.lit(_ICU), F.lit("decompose"), t, F.lit(True))
+        return F.when(needs, F.regexp_replace(nfkd, COMBINING_CLASS, "")).otherwise(t)
     return F.when(needs, _strip_accents_udf(F.when(needs, t))).otherwise(t)
 
 
