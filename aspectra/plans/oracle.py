@@ -518,3 +518,10 @@ oracle("tfidf_vectors", with_corpus(
     "w AS (SELECT tf.review_id, tf.term, tf.tf * (ln((1.0 + n) / (1.0 + df)) + 1.0) AS w "
     "FROM tf JOIN vocab USING (term), nd) "
     f"SELECT review_id, term, {S.r6('w / sqrt(sum(w * w) OVER (PARTITION BY review_id))')} AS weight FROM w"))
+
+oracle("write_report", with_metric(
+    _CMP + _FS + ", rep AS (SELECT * FROM (SELECT 'best_model' AS section, NULL::VARCHAR AS family, name, "
+    "macro_f1 AS value FROM cmp ORDER BY macro_f1 DESC, name LIMIT 1) UNION ALL "
+    "SELECT 'family_mean', family, NULL, mean_f1 FROM fs UNION ALL "
+    "SELECT 'family_best', family, best_name, best_f1 FROM fs) "
+    "SELECT concat_ws(' | ', section, coalesce(family, '-'), coalesce(name, '-'), printf('%.4f', value)) AS line FROM rep"))

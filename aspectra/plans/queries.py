@@ -731,3 +731,11 @@ def q_tfidf_vectors(spark, sf):
     d = classic_corpus(spark, sf)
     model, v = FE.tfidf_vectors(d)
     return FE.vector_terms(model, v, "review_id")
+
+
+@query("write_report")
+def q_write_report(spark, sf):
+    """Report lines written as text and read back."""
+    path = SC.write_report(MX.report_lines(MX.evaluation_report(comparison(spark, sf))),
+                           scratch_path(spark, "report"))
+    return spark.read.text(path).select(F.col("value").alias("line"))

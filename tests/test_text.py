@@ -66,3 +66,16 @@ def test_strip_accents_only_where_needed(spark):
     df = spark.createDataFrame([("crème brûlée",), ("plain ascii",), (None,)], "t string")
     out = [r[0] for r in df.select(T.strip_accents("t")).collect()]
     assert out == ["creme brulee", "plain ascii", None]
+
+
+def test_lemma_lookup_join_path_equals_map_path(spark, monkeypatch):
+    from aspectra.operators import preprocess as P
+    lem = spark.createDataFrame([("en", "cats", "cat"), ("en", "ran", "run"), ("fr", "chats", "chat")],
+                                "lang string, token string, lemma string")
+    df = spark.createDataFrame([(1, "en", "the cats ran ran"), (2, "fr", "les chats"), (3, "ru", "cats"),
+                                (4, "en", ""), (5, "es", "cats")],
+                               "id long, lang string, text_processed string")
+    small = {r.id: r.text_processed for r in P.lemma_lookup(df, lem).collect()}
+    monkeypatch.setattr(P, "MAX_LEMMA_MAP_ENTRIES", 1)
+    big = {r.id: r.text_processed for r in P.lemma_lookup(df, lem, id_col="id").collect()}
+    assert small == big == {1: "the cat run run", 2: "les chat", 3: "cats", 4: "", 5: "cats"}
