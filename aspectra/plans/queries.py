@@ -542,9 +542,9 @@ def q_route_inputs(spark, sf):
     root = scratch_path(spark, "raw")
     DV.opinion_xml(spark, sf, f"{root}/xml/opinions")
     DV.term_xml(spark, sf, f"{root}/xml/terms")
-    DV.labelled_csv(spark, sf, f"{root}/csv/rusentiment")
+    DV.labelled_csv(spark, sf, f"{root}/csv/labelled")
     x = SX.route_xml(spark, f"{root}/xml").select(*REVIEW_OUT)
-    c = SCSV.read_labelled_csv(spark, f"{root}/csv/rusentiment").select(*REVIEW_OUT)
+    c = SCSV.read_labelled_csv(spark, f"{root}/csv/labelled").select(*REVIEW_OUT)
     return x.unionByName(c)
 
 
