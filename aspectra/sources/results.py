@@ -111,6 +111,16 @@ def _read(spark: SparkSession, path, schema, multi_line: bool = False) -> DataFr
     return df.withColumn("file", F.col("_metadata.file_path"))
 
 
+def _valid(df: DataFrame, probe: str = "lang") -> DataFrame:
+    """Rows without a corrupt record.  The condition equals
+    ``_corrupt_record IS NULL`` (the first disjunct implies the second) but
+    also references a data column: Spark refuses scans whose only required
+    column is the corrupt-record column, which is what ``count()`` would
+    otherwise leave after pruning."""
+    c = F.col("_corrupt_record")
+    return df.filter(F.coalesce(c, F.col(probe)).isNull() | c.isNull())
+
+
 def corrupt_count(df: DataFrame) -> DataFrame:
     """Number of malformed records.  Spark refuses queries that read only the
     corrupt-record column from raw files, so the parsed records (one small
@@ -121,7 +131,7 @@ def corrupt_count(df: DataFrame) -> DataFrame:
 def scan_svm_metrics(spark: SparkSession, path, multi_line: bool = False) -> DataFrame:
     """Baseline result records -> METRIC rows (defaults for missing keys,
     rounded to 4 half-even)."""
-    d = _read(spark, path, SVM_RESULT, multi_line).filter(F.col("_corrupt_record").isNull())
+    d = _valid(_read(spark, path, SVM_RESULT, multi_line))
     return d.select(F.lit(dicts.BASELINE_MODEL).alias("model"),
                     F.coalesce("lang", F.lit("?")).alias("lang"), "aspect",
                     F.bround(F.coalesce("global_f1_macro", F.lit(0.0)), 4).alias("f1_macro"),
@@ -133,7 +143,7 @@ def scan_svm_metrics(spark: SparkSession, path, multi_line: bool = False) -> Dat
 def scan_model_metrics(spark: SparkSession, path, multi_line: bool = False) -> DataFrame:
     """Model result records in either layout -> one overall METRIC row plus
     one row per entry of ``per_aspect``."""
-    d = _read(spark, path, MODEL_RESULT, multi_line).filter(F.col("_corrupt_record").isNull())
+    d = _valid(_read(spark, path, MODEL_RESULT, multi_line))
     nested = F.col("global").isNotNull()
     f1 = F.when(nested, F.col("global.f1_macro")).otherwise(F.col("global_f1_macro"))
     pr = F.when(nested, F.col("global.precision_macro")).otherwise(F.col("global_precision_macro"))
@@ -166,8 +176,8 @@ def scan_results(spark: SparkSession, root: str) -> DataFrame:
     """All result records under ``root/<family>_results/`` as comparison
     rows: name ``<family>_<file stem>``, lang ('N/A' if missing), F1,
     precision, recall (0 if missing), n, model name."""
-    svm = _read(spark, f"{root}/svm_results", SVM_RESULT).filter(F.col("_corrupt_record").isNull())
-    mod = _read(spark, f"{root}/transformer_results", MODEL_RESULT).filter(F.col("_corrupt_record").isNull())
+    svm = _valid(_read(spark, f"{root}/svm_results", SVM_RESULT))
+    mod = _valid(_read(spark, f"{root}/transformer_results", MODEL_RESULT))
     a = svm.select(F.lit("svm").alias("family"), "file", "lang", "global_f1_macro", "global_precision_macro",
                    "global_recall_macro", "n_samples", F.lit("").alias("model_name"),
                    F.concat_ws("_", F.coalesce("lang", F.lit("")), F.coalesce("aspect", F.lit(""))).alias("stem"))
