@@ -53,9 +53,29 @@ def top_k_per_group(df: DataFrame, groups: list[str], k, key: Column,
     return ranked.drop("__key", "__k", "__u", "__n", "__thr", "__short")
 
 
+BYTES_PER_BUCKET = 64 << 20
+
+
+def bucket_digits(df: DataFrame, bytes_per_bucket: int = BYTES_PER_BUCKET) -> int:
+    """Hex digits of the md5 prefix used as bucket, from Catalyst's size
+    estimate of ``df`` (no job runs): enough buckets that each holds about
+    ``bytes_per_bucket`` even if one stratum had every row.  1 digit = 16
+    buckets per stratum ... 5 digits = 1M buckets (about 64 TB per stratum)."""
+    import math
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - unknown size: assume large
+        return 4
+    if size <= bytes_per_bucket * 16:
+        return 1
+    return max(1, min(5, math.ceil(math.log(size / bytes_per_bucket, 16))))
+
+
 def rank_in_strata(df: DataFrame, strata: list[str], key: Column, tiebreak: list[str],
-                   digits: int = 4, out: str = "__rank") -> DataFrame:
+                   digits: int | None = None, out: str = "__rank") -> DataFrame:
     """Exact 1-based rank by ``key`` (hex md5) inside each stratum."""
+    if digits is None:
+        digits = bucket_digits(df)
     d = df.withColumn("__key", key).withColumn("__b", bucket_of(F.col("__key"), digits))
     counts = d.groupBy(*strata, "__b").agg(F.count(F.lit(1)).alias("__bn"))
     wo = Window.partitionBy(*strata).orderBy("__b") if strata else Window.orderBy("__b")
