@@ -28,15 +28,28 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+MAX_BROADCAST_GROUPS = 100_000
+
+
 def top_k_per_group(df: DataFrame, groups: list[str], k, key: Column,
                     tiebreak: list[str], margin: float = 1.25, slack: int = 64) -> DataFrame:
     """Rows whose rank by ``key`` within ``groups`` is <= k (k: int or column
-    name holding a per-row quota).  Adds ``__rank``."""
+    name holding a per-row quota).  Adds ``__rank``.
+
+    The per-group tables (counts, short groups) have one row per group.  Their
+    size is checked first; up to MAX_BROADCAST_GROUPS rows they are broadcast,
+    so the rows (text included) are never shuffled by a group key that may
+    hold a third of the data.  Beyond the bound a regular join is used."""
     kcol = F.lit(k) if isinstance(k, int) else F.col(k)
     d = df.withColumn("__key", key).withColumn("__k", kcol)
     d = d.withColumn("__u", hex_prefix_int(F.col("__key")) / F.lit(float(1 << 32)))
-    n = d.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n"))
-    d = d.join(n, groups)
+    n = d.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n")).persist()
+    small = n.limit(MAX_BROADCAST_GROUPS + 1).count() <= MAX_BROADCAST_GROUPS
+
+    def per_group(t: DataFrame) -> DataFrame:
+        return F.broadcast(t) if small else t
+
+    d = d.join(per_group(n), groups)
     thr = F.least(F.lit(1.0), (F.col("__k") * F.lit(margin) + F.lit(slack)) / F.col("__n"))
     d = d.withColumn("__thr", thr)
     # groups whose pre-filter kept fewer than min(k, n) rows are ranked in full
@@ -45,9 +58,8 @@ def top_k_per_group(df: DataFrame, groups: list[str], k, key: Column,
                                    F.first("__k").alias("__kk"), F.first("__n").alias("__nn")))
     short = kept.filter(F.col("__kept") < F.least(F.col("__kk"), F.col("__nn"))) \
                 .select(*groups, F.lit(True).alias("__short"))
-    d = d.join(short, groups, "left")
-    cand = d.filter((F.col("__u") < F.col("__thr")) | F.col("__short").isNotNull() |
-                    (F.col("__thr") >= 1.0))
+    d = d.join(per_group(short), groups, "left")  # short groups are a subset of n
+    cand = d.filter((F.col("__u") < F.col("__thr")) | F.col("__short").isNotNull())
     w = Window.partitionBy(*groups).orderBy(F.col("__key"), *[F.col(c) for c in tiebreak])
     ranked = cand.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= F.col("__k"))
     return ranked.drop("__key", "__k", "__u", "__n", "__thr", "__short")
