@@ -149,7 +149,8 @@ def class_weights(df: DataFrame, label: str = "polarity", keys=()) -> DataFrame:
 
 
 def add_class_weights(df: DataFrame, label: str = "polarity", out: str = "weight") -> DataFrame:
-    """Attach the balanced weight to every row (join of the tiny per-class
-    table; AQE broadcasts it at runtime)."""
+    """Attach the balanced weight to every row (the per-class table is
+    broadcast after a size check: no shuffle of rows by a hot class)."""
+    from aspectra.session import broadcast_if_small
     w = class_weights(df, label).select(label, F.col("weight").alias(out))
-    return df.join(w, label)
+    return df.join(broadcast_if_small(w), label)  # one row per class

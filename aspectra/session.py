@@ -77,3 +77,18 @@ def spread(df, factor: int = 2):
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target)
+
+
+MAX_BROADCAST_ROWS = 100_000
+
+
+def broadcast_if_small(small, max_rows: int = MAX_BROADCAST_ROWS):
+    """Broadcast a per-key table (one row per group / file / class) only after
+    checking its size: up to ``max_rows`` rows it is persisted and broadcast,
+    so the large side is not shuffled by a key that may hold a third of the
+    rows; beyond the bound the ordinary join (AQE, skew-join) is used."""
+    small = small.persist()
+    if small.limit(max_rows + 1).count() <= max_rows:
+        from pyspark.sql import functions as F
+        return F.broadcast(small)
+    return small

@@ -76,7 +76,8 @@ def whole_text_fallback(sentences: DataFrame, valid: DataFrame, lang) -> DataFra
     becomes a ('general', 'neutral') row.  Files with opinions are a small
     distinct set (left-anti join, broadcast by AQE at runtime)."""
     lang = F.lit(lang) if isinstance(lang, str) else lang
-    with_op = valid.select("file").distinct()
+    from aspectra.session import broadcast_if_small
+    with_op = broadcast_if_small(valid.select("file").distinct())  # one row per file
     s = _with_text(sentences).join(with_op, "file", "left_anti")
     return s.select("file", "text", F.lit("general").alias("aspect"),
                     F.lit("neutral").alias("polarity"), lang.alias("lang"))
@@ -120,8 +121,9 @@ def route_xml(spark: SparkSession, path) -> DataFrame:
     the file path).  Well-formed files give the same rows as sniffing the
     first characters, and no file is ever read whole on the driver."""
     s = read_sentences(spark, path)
+    from aspectra.session import broadcast_if_small
     layout = s.groupBy("file").agg(F.bool_or(F.col("Opinions").isNotNull()).alias("is_opinion"))
-    s = s.join(layout, "file")
+    s = s.join(broadcast_if_small(layout), "file")  # one row per file
     lang = F.when(F.col("is_opinion"), F.lit("fr")).otherwise(lang_from_path(F.col("file")))
     s = s.withColumn("__lang", lang)
     op = opinion_rows(s.filter("is_opinion"), F.col("__lang"))
