@@ -113,3 +113,16 @@ def test_result_json_both_layouts_and_malformed(spark, tmpdir_path):
     rows = {(r.model, r.lang, r.aspect): r.f1_macro for r in SR.scan_model_metrics(spark, tr, True).collect()}
     assert rows == {("xlm-roberta-base", "all", None): 0.72, ("xlm-roberta-base", "all", "qualité"): 0.7,
                     ("unknown", "?", None): 0.65}
+
+
+def test_labelled_csv_windows_1251(spark, tmpdir_path):
+    content = 'text,label\n"Жаль, ужасно\nвторая строка",negative\n"Отлично",pos\n'
+    write(tmpdir_path, "ru.csv", content, encoding="cp1251")
+    old = spark.conf.get("spark.sql.legacy.javaCharsets", "false")
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    try:
+        rows = sorted(tuple(r) for r in SCSV.read_labelled_csv(spark, tmpdir_path, encoding="windows-1251").collect())
+    finally:
+        spark.conf.set("spark.sql.legacy.javaCharsets", old)
+    assert rows == sorted([("Жаль, ужасно\nвторая строка", "general", "neg", "ru"),
+                           ("Отлично", "general", "pos", "ru")])
