@@ -90,3 +90,14 @@ def test_hot_stratum_ranked_exactly_without_one_big_window(spark):
     for _, g in pdf.groupby("polarity"):
         for rank, i in enumerate(g.sort_values(["k", "review_id"]).review_id, start=1):
             assert got[i] == rank
+
+
+def test_top_k_broadcast_and_fallback_agree(spark, monkeypatch):
+    df = frame(spark, n=1500)
+    b = SA.balance_corpus(df, target_per_lang=100)
+    plan = b._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    fast = sorted(r.review_id for r in b.collect())
+    monkeypatch.setattr(SA, "MAX_BROADCAST_GROUPS", 1)   # beyond the bound: ordinary joins
+    slow = sorted(r.review_id for r in SA.balance_corpus(df, target_per_lang=100).collect())
+    assert fast == slow and len(fast) > 0
