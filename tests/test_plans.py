@@ -40,3 +40,8 @@ def test_partition_pruning_on_lang(spark):
 def test_matrix_pivots_are_single_aggregations(spark):
     p = plan_of(q(spark, "crosstab_lang_polarity"))
     assert len(re.findall(r"Exchange hashpartitioning", p)) == 1
+
+
+def test_tfidf_vocabulary_is_broadcast(spark):
+    p = plan_of(q(spark, "tfidf_terms"))
+    assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p
