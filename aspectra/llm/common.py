@@ -170,3 +170,13 @@ def spanning_links(ids, sets, sigs, least_equal: float, linked, rows=None):
                 parent[find(i)] = find(j)
                 out.append((i, int(j)))
     return out
+
+
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_checked(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``small`` marked for broadcast if it has at most ``max_rows`` (narrow) rows,
+    counted first; else as it is, so the join is shuffled (and split on skew)."""
+    small = cut_lineage(small)
+    return F.broadcast(small) if small.count() <= max_rows else small

@@ -23,3 +23,15 @@ def table(spark, sf_dir, name):
 def op3(spark, sf_dir):
     from aspectra.llm.minhash_forest import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op8_quality")
+def op8(spark, sf_dir):
+    from aspectra.llm.quality import quality
+    return quality(table(spark, sf_dir, "documents"))
+
+
+@query("op2_license_scan")
+def op2(spark, sf_dir):
+    from aspectra.llm.license_scan import scan
+    return scan(table(spark, sf_dir, "documents"))
