@@ -21,9 +21,9 @@ _WORD = r"[^\x20\x09-\x0D]"
 
 #: metric: (SQL over the text statistics, slack added to the fence, both sides?)
 METRICS = {
-    "symbols": ("div(1000 * n_symbols, greatest(word_chars, 1))", 60, False),
-    "dup_lines": ("div(1000 * n_dup_lines, greatest(n_lines, 1))", 200, False),
-    "repeats": ("div(1000 * n_repeat_words, greatest(n_words, 1))", 150, False),
+    "symbols": ("div(1000 * n_symbols, greatest(word_chars, 1))", 40, False),
+    "dup_lines": ("div(1000 * n_dup_lines, greatest(n_lines, 1))", 450, False),
+    "repeats": ("div(1000 * n_repeat_words, greatest(n_words, 1))", 300, False),
     "word_length": ("div(100 * word_chars, greatest(n_words, 1))", 150, True),
 }
 FENCE = 6                    # quartile distances beyond a quartile

@@ -35,3 +35,9 @@ def op8(spark, sf_dir):
 def op2(spark, sf_dir):
     from aspectra.llm.license_scan import scan
     return scan(table(spark, sf_dir, "documents"))
+
+
+@query("op1_mixing")
+def op1(spark, sf_dir):
+    from aspectra.llm.mixing import mix
+    return mix(table(spark, sf_dir, "documents"))
