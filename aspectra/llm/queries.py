@@ -41,3 +41,9 @@ def op2(spark, sf_dir):
 def op1(spark, sf_dir):
     from aspectra.llm.mixing import mix
     return mix(table(spark, sf_dir, "documents"))
+
+
+@query("op5_decontamination")
+def op5(spark, sf_dir):
+    from aspectra.llm.decontamination import leaks_by_document
+    return leaks_by_document(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
