@@ -123,9 +123,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     def digest(df):
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("x", "y").cast("decimal(20,0)"))).first())
 
-    nodes = (edges.select(F.col(a).alias("node")).union(edges.select(F.col(b).alias("node")))
-             .where("node is not null").distinct())
-    e = cut_lineage(down(edges.select(F.col(a).alias("x"), F.col(b).alias("y"))))
+    edges = cut_lineage(edges.select(F.col(a).alias("x"), F.col(b).alias("y")))     # read twice
+    nodes = edges.select(F.col("x").alias("node")).union(edges.select("y")).where("node is not null").distinct()
+    e = cut_lineage(down(edges))
     seen = digest(e)
     while seen[0]:
         both = e.union(e.select(F.col("y").alias("x"), F.col("x").alias("y")))

@@ -28,7 +28,7 @@ from aspectra.llm.common import (components, minhash, mix64, shingle_sets, spann
                                  text_slices)
 from aspectra.session import cut_lineage
 
-TREES, DEPTH, BASE, BLOCK = 16, 8, 4, 256
+TREES, DEPTH, BASE, BLOCK = 16, 8, 4, 512
 N = TREES * DEPTH
 _SLACK = 5.0                 # standard deviations that a signature may fall short
 
@@ -151,18 +151,19 @@ def _blocks(rows: DataFrame, least_equal: float, linked) -> DataFrame:
 def _deep_regions(orders: DataFrame) -> tuple[DataFrame, DataFrame]:
     """For the documents of large clusters: (block, node) of the regions at
     adaptive depth, and (region, node, size) of large regions at BASE depth."""
-    depths = F.array(*[F.substring("key", 1, 1 + 2 * d) for d in range(BASE, DEPTH + 1)])
-    at = orders.select("node", F.substring("key", 1, 1).alias("tree"), F.explode(depths).alias("prefix"))
-    size = at.groupBy("prefix").agg(F.count(F.lit(1)).alias("size"))
-    at = cut_lineage(at.join(size, "prefix"))
-    deep = F.length("prefix")
-    best = (at.groupBy("node", "tree")
-            .agg(F.coalesce(F.min_by("prefix", F.when(F.col("size") <= BLOCK, deep)), F.max_by("prefix", deep)).alias("prefix"),
-                 F.coalesce(F.min_by("size", F.when(F.col("size") <= BLOCK, deep)), F.max_by("size", deep)).alias("size")))
+    regions, wide, rest = None, None, orders
+    for depth in range(BASE, DEPTH + 1):
+        rest = rest.withColumn("region", F.substring("key", 1, 1 + 2 * depth))
+        size = rest.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        at = cut_lineage(rest.join(size, "region"))
+        rest = at.where(F.col("size") > BLOCK)
+        wide = rest.select("region", "node", "size") if wide is None else wide
+        done = at.where(F.col("size") <= BLOCK).select(F.col("region").alias("block"), "node")
+        regions = done if regions is None else regions.union(done)
+        rest = rest.drop("region", "size") if depth < DEPTH else rest
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK))
-    regions = best.where("size > 1").select(F.concat("prefix", F.lit(b"/"), part.cast("string").cast("binary")).alias("block"), "node")
-    large = at.where((deep == 1 + 2 * BASE) & (F.col("size") > BLOCK)).select(F.col("prefix").alias("region"), "node", "size")
-    return regions, large
+    split = rest.select(F.concat("region", F.lit(b"/"), part.cast("string").cast("binary")).alias("block"), "node")
+    return regions.union(split), wide
 
 
 def _rest(large: DataFrame, comps: DataFrame) -> DataFrame:
