@@ -47,3 +47,9 @@ def op1(spark, sf_dir):
 def op5(spark, sf_dir):
     from aspectra.llm.decontamination import leaks_by_document
     return leaks_by_document(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op4_suffix_dedup")
+def op4(spark, sf_dir):
+    from aspectra.llm.suffix_dedup import repeated_passages
+    return repeated_passages(table(spark, sf_dir, "documents"))
