@@ -3,7 +3,8 @@
 1. Anchors: of each window of ``width`` bytes the smallest hash of its
    ``GRAM``-byte strings.  Equal windows have equal anchors, so only windows
    whose anchor occurs in two different texts can repeat.  Anchors are counted
-   in buckets whose number follows the corpus; a task sends each anchor once.
+   in buckets whose number follows the corpus; a task sends each
+   anchor once or twice.
 2. Runs of windows with one such anchor are cut out (strings of about
    ``width + 16`` bytes), equal ones are merged, and the strings of an anchor go
    to one shard.
@@ -71,15 +72,16 @@ def _candidate_anchors(texts: DataFrame, buckets: int, width: int) -> DataFrame:
             first = np.flatnonzero(new)
             several = np.maximum.reduceat(a["text"], first) != a["text"][first]
             out = []
-            # known to repeat here: straight to the documents, one of them speaks for all elsewhere
+            # known to repeat here: straight to the documents, two of different text speak for all elsewhere
             known = a[np.repeat(several, np.diff(np.append(first, len(a))))]
             known = known[np.argsort(known["doc"], kind="stable")]
             cut = np.flatnonzero(np.concatenate(([True], known["doc"][1:] != known["doc"][:-1]))) if len(known) else []
             for x in np.split(known, cut[1:]) if len(known) else []:
                 d = int(x["doc"][0])
                 out.append((d % buckets, d, np.ascontiguousarray(x["h"]).tobytes()))
-            # one per anchor: the smallest id among copies, the one that stays
-            a = a[first]
+            # else one: the smallest id among copies, the one that stays
+            last = np.append(first[1:], len(a)) - 1
+            a = a[np.sort(np.concatenate((first, last[several])))]
             to = (a["h"] % np.uint64(buckets)).astype(np.int32)
             a = a[np.argsort(to, kind="stable")]
             cut = np.searchsorted(np.sort(to), np.arange(buckets + 1))
@@ -106,8 +108,9 @@ def _candidate_anchors(texts: DataFrame, buckets: int, width: int) -> DataFrame:
 
     def count(table):
         import pyarrow as pa
+        import pyarrow.compute as pc
         a = [np.frombuffer(x, _ANCHOR) for x, i in zip(table.column("anchors").to_pylist(), table.column("id").to_pylist(), strict=True) if i is None]
-        known = table.filter(pa.compute.is_valid(table.column("id"))).select(["id", "anchors"])
+        known = table.filter(pc.is_valid(table.column("id"))).select(["id", "anchors"])
         if not a:
             return known
         a = np.concatenate(a)
