@@ -23,8 +23,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from aspectra.llm.common import broadcast_checked, byte_prefix, mix64, text_slices
+from aspectra.llm.common import byte_prefix, mix64, text_slices
 from aspectra.llm.suffix_array import earlier_windows
 from aspectra.session import cut_lineage
 
@@ -34,7 +35,7 @@ FLUSH = 2_000_000            # anchors a task holds before it sends them
 SHARD_BYTES = 1 << 20
 MANY = 10_000                # strings of one anchor beyond which they are grouped as rows
 
-_ANCHOR = np.dtype([("h", "<u8"), ("doc", "<i8"), ("text", "<u8")])
+_DOC = np.dtype([("id", "<i8"), ("text", "<u8")])
 
 
 def _anchors(texts: list[bytes], width: int):
@@ -58,36 +59,63 @@ def _anchors(texts: list[bytes], width: int):
     return low[place], place, np.searchsorted(place, at)
 
 
+def _starts(*columns) -> np.ndarray:
+    """Where a run of equal values begins (of sorted columns)."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    new = np.zeros(len(columns[0]), bool)
+    new[0] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _repeated(h, doc, ids, text):
+    """The records sorted by anchor, text and id; starts of the anchors; whether an
+    anchor has two different texts."""
+    order = np.lexsort((ids[doc], text[doc], h))
+    h, doc = h[order], doc[order]
+    first = _starts(h)
+    return h, doc, first, np.maximum.reduceat(text[doc], first) != text[doc[first]]
+
+
+def _per_document(h, doc, ids):
+    """(id, anchors as bytes) of the documents."""
+    order = np.argsort(doc, kind="stable")
+    h, doc = h[order], doc[order]
+    cut = _starts(doc)
+    return [(int(ids[doc[i]]), h[i:j].tobytes()) for i, j in zip(cut, np.append(cut[1:], len(doc)), strict=True)]
+
+
 def _candidate_anchors(texts: DataFrame, buckets: int, width: int) -> DataFrame:
     """(id, anchors): anchors that occur in two different texts, as 8 bytes each."""
     def send(batches):
         import pyarrow as pa
-        schema = pa.schema([("bucket", pa.int32()), ("id", pa.int64()), ("anchors", pa.binary())])
-        held, size = [], 0
+        schema = pa.schema([("bucket", pa.int32()), ("id", pa.int64()), ("anchors", pa.binary()), ("docs", pa.binary())])
+        held, docs, size = [], [], 0
 
         def rows():
-            a = np.concatenate(held)
-            a = a[np.lexsort((a["doc"], a["text"], a["h"]))]
-            new = np.concatenate(([True], a["h"][1:] != a["h"][:-1]))
-            first = np.flatnonzero(new)
-            several = np.maximum.reduceat(a["text"], first) != a["text"][first]
-            out = []
+            table = np.array(docs, _DOC)
+            ids, text = table["id"], table["text"]
+            h, doc, first, several = _repeated(np.concatenate([x for x, _ in held]), np.repeat(
+                np.array([d for _, d in held]), [len(x) for x, _ in held]), ids, text)
             # known to repeat here: straight to the documents, two of different text speak for all elsewhere
-            known = a[np.repeat(several, np.diff(np.append(first, len(a))))]
-            known = known[np.argsort(known["doc"], kind="stable")]
-            cut = np.flatnonzero(np.concatenate(([True], known["doc"][1:] != known["doc"][:-1]))) if len(known) else []
-            for x in np.split(known, cut[1:]) if len(known) else []:
-                d = int(x["doc"][0])
-                out.append((d % buckets, d, np.ascontiguousarray(x["h"]).tobytes()))
+            known = np.repeat(several, np.diff(np.append(first, len(h))))
+            out = [(d % buckets, d, a, None) for d, a in _per_document(h[known], doc[known], ids)]
             # else one: the smallest id among copies, the one that stays
-            last = np.append(first[1:], len(a)) - 1
-            a = a[np.sort(np.concatenate((first, last[several])))]
-            to = (a["h"] % np.uint64(buckets)).astype(np.int32)
-            a = a[np.argsort(to, kind="stable")]
-            cut = np.searchsorted(np.sort(to), np.arange(buckets + 1))
-            out += [(b, None, a[i:j].tobytes()) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
-            for i in range(0, len(out), 1000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out[i:i + 1000], strict=True), schema, strict=True)], schema=schema)
+            last = np.append(first[1:], len(h)) - 1
+            pick = np.sort(np.concatenate((first, last[several])))
+            h, doc = h[pick], doc[pick]
+            to = (h % np.uint64(buckets)).astype(np.int32)
+            order = np.lexsort((doc, to))
+            h, doc, to = h[order], doc[order], to[order]
+            cut = _starts(to)
+            for i, j in zip(cut, np.append(cut[1:], len(to)), strict=True):
+                mine, number = np.unique(doc[i:j], return_inverse=True)
+                kind = number.astype(np.uint16 if len(mine) <= 1 << 16 else np.uint32)
+                out.append((int(to[i]), None, h[i:j].tobytes() + kind.tobytes(), table[mine].tobytes()))
+            for i in range(0, len(out), 500):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[i:i + 500], strict=True), schema, strict=True)], schema=schema)
 
         for b in batches:
             ids, digest = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
@@ -95,200 +123,245 @@ def _candidate_anchors(texts: DataFrame, buckets: int, width: int) -> DataFrame:
                 h, _, cut = _anchors(texts, width)
                 for i, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True), first):
                     if y > x:
-                        u = np.unique(h[x:y])
-                        rec = np.empty(len(u), _ANCHOR)
-                        rec["h"], rec["doc"], rec["text"] = u, ids[i], int.from_bytes(digest[i][:8], "little")
-                        held.append(rec)
-                        size += len(u)
+                        held.append((np.unique(h[x:y]), len(docs)))
+                        docs.append((ids[i], int.from_bytes(digest[i][:8], "little")))
+                        size += len(held[-1][0])
                 if size >= FLUSH:
                     yield from rows()
-                    held, size = [], 0
+                    held, docs, size = [], [], 0
         if held:
             yield from rows()
 
     def count(table):
         import pyarrow as pa
-        import pyarrow.compute as pc
-        a = [np.frombuffer(x, _ANCHOR) for x, i in zip(table.column("anchors").to_pylist(), table.column("id").to_pylist(), strict=True) if i is None]
-        known = table.filter(pc.is_valid(table.column("id"))).select(["id", "anchors"])
-        if not a:
+        known = table.filter(table.column("id").is_valid()).select(["id", "anchors"])
+        hs, at, docs, n = [], [], [], 0
+        for x, d in zip(table.column("anchors").to_pylist(), table.column("docs").to_pylist(), strict=True):
+            if d is not None:
+                d = np.frombuffer(d, _DOC)
+                m = len(x) // (10 if len(d) <= 1 << 16 else 12)
+                hs.append(np.frombuffer(x[:8 * m], np.uint64))
+                at.append(np.frombuffer(x[8 * m:], np.uint16 if len(d) <= 1 << 16 else np.uint32).astype(np.int64) + n)
+                docs.append(d)
+                n += len(d)
+        if not hs:
             return known
-        a = np.concatenate(a)
-        a = a[np.lexsort((a["text"], a["h"]))]
-        first = np.flatnonzero(np.concatenate(([True], a["h"][1:] != a["h"][:-1])))
-        several = np.maximum.reduceat(a["text"], first) != a["text"][first]
-        a = a[np.repeat(several, np.diff(np.append(first, len(a))))]
-        a = a[np.argsort(a["doc"], kind="stable")]
-        cut = np.flatnonzero(np.concatenate(([True], a["doc"][1:] != a["doc"][:-1]))) if len(a) else np.zeros(0, np.int64)
-        found = pa.table({"id": pa.array(a["doc"][cut]), "anchors": pa.array([np.ascontiguousarray(x["h"]).tobytes() for x in (np.split(a, cut[1:]) if len(a) else [])], pa.binary())})
+        docs = np.concatenate(docs)
+        h, doc, first, several = _repeated(np.concatenate(hs), np.concatenate(at), docs["id"], docs["text"])
+        keep = np.repeat(several, np.diff(np.append(first, len(h))))
+        found = _per_document(h[keep], doc[keep], docs["id"])
+        found = pa.table({"id": pa.array([x[0] for x in found], pa.int64()), "anchors": pa.array([x[1] for x in found], pa.binary())})
         return pa.concat_tables([known, found.cast(known.schema)])
 
-    return (texts.select("id", "digest", "text").mapInArrow(send, "bucket int, id long, anchors binary")
+    return (texts.select("id", "digest", "text").mapInArrow(send, "bucket int, id long, anchors binary, docs binary")
             .groupBy("bucket").applyInArrow(count, "id long, anchors binary"))
 
 
-_CUT = ("id long, digest binary, first long, n_bytes long, text binary, "
-        "strings array<struct<at:long,anchor:long,string:binary>>")
+def _packed(docs: DataFrame, id_col: str, text_col: str, keep=()) -> DataFrame:
+    """(id, tag, text, kept columns): texts compressed for the shuffle; the tag is
+    part of the text's digest and tells apart rows that share an id."""
+    def run(batches):
+        import hashlib
+        import zlib
+
+        import pyarrow as pa
+        for b in batches:
+            texts = [t or b"" for t in b.column("text").to_pylist()]
+            tags = [int.from_bytes(hashlib.md5(t).digest()[:8], "big", signed=True) for t in texts]
+            cols = {n: b.column(n) for n in b.schema.names}
+            cols |= {"tag": pa.array(tags, pa.int64()), "text": pa.array([zlib.compress(t) for t in texts], pa.binary())}
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+    raw = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    df = docs.select(F.col(id_col).cast("long").alias("id"), F.lit(0).cast("long").alias("tag"), raw.alias("text"), *keep)
+    return df.mapInArrow(run, df.schema)
 
 
 def _cut_out(rows: DataFrame, width: int) -> DataFrame:
-    """Adds the runs of windows whose anchor is a candidate; the text stays only
-    where there are any."""
+    """Runs of windows with a candidate anchor, as (anchor, string, id, tag, at).
+    Of equal strings in one task only that of the smallest id goes on; the others
+    are removed whole and carry their end instead of a string."""
     def run(batches):
+        import zlib
+
         import pyarrow as pa
-        kind = pa.list_(pa.struct([("at", pa.int64()), ("anchor", pa.int64()), ("string", pa.binary())]))
+        schema = pa.schema([("anchor", pa.int64()), ("string", pa.binary()), ("id", pa.int64()), ("tag", pa.int64()), ("at", pa.int64()), ("to", pa.int64())])
+        best: dict = {}
+        size = 0
+
+        def table(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+        def flush():
+            out = [(a, s, *v, None) for (a, s), v in best.items()]
+            for i in range(0, len(out), 20_000):
+                yield table(out[i:i + 20_000])
+
         for b in batches:
-            for first, texts in text_slices(b, "text"):
-                h, place, cut = _anchors(texts, width)
-                data = b"".join(texts)
-                at = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-                strings = []
-                known = b.column("anchors").slice(first, len(texts)).to_pylist()
-                for i, t in enumerate(texts):
-                    x, y = cut[i], cut[i + 1]
-                    if known[i] is None or y == x:
-                        strings.append(None)
-                        continue
-                    mine = h[x:y]
-                    start = np.flatnonzero(np.concatenate(([True], mine[1:] != mine[:-1])))
-                    stop = np.append(start[1:], len(mine))
-                    keep = np.isin(mine[start], np.frombuffer(b"".join(known[i]), np.uint64))
-                    anchors = mine[start].view(np.int64)
-                    p = place[x:y]
-                    strings.append([{"at": int(p[s] - at[i]), "anchor": int(anchors[k]), "string": data[p[s]:p[e - 1] + width]}
-                                    for k, (s, e) in enumerate(zip(start, stop, strict=True)) if keep[k]] or None)
-                n = len(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [*(b.column(c).slice(first, n) for c in ("id", "digest", "first")), pa.array([len(t) for t in texts], pa.int64()),
-                     pa.array([t if s else None for t, s in zip(texts, strings, strict=True)], pa.binary()), pa.array(strings, kind)],
-                    names=["id", "digest", "first", "n_bytes", "text", "strings"])
-
-    return rows.mapInArrow(run, _CUT)
-
-
-def _sorted_shards(strings: DataFrame, width: int) -> DataFrame:
-    """(anchor, c1, c2, owner, runs): of each different string the runs of windows,
-    as pairs (from, to) of bytes, that a smaller owner also has."""
-    kind = "array<struct<from:int,to:int>>"
+            ids, tags, known = (b.column(c).to_pylist() for c in ("id", "tag", "anchors"))
+            for i, z in enumerate(b.column("text").to_pylist()):
+                t, whole = zlib.decompress(z), []
+                h, place, _ = _anchors([t], width)
+                start = _starts(h)
+                if not len(start):
+                    continue
+                stop = np.append(start[1:], len(h))
+                hit = np.isin(h[start], np.frombuffer(b"".join(known[i]), np.uint64))
+                for a, x, y in zip(h[start[hit]].view(np.int64).tolist(), place[start[hit]].tolist(), place[stop[hit] - 1].tolist(), strict=True):
+                    key = (a, t[x:y + width])
+                    have = best.get(key)
+                    if have is None or have[0] > ids[i]:
+                        best[key] = (ids[i], tags[i], x)
+                        size += have is None and y + width - x + 200
+                        if have is not None:
+                            whole.append((None, None, *have, have[2] + y + width - x))
+                    elif have[0] < ids[i]:
+                        whole.append((None, None, ids[i], tags[i], x, y + width))
+                    else:                            # once more in the same document
+                        whole.append((a, key[1], ids[i], tags[i], x, None))
+                if whole:
+                    yield table(whole)
+                if size > 64 << 20:
+                    yield from flush()
+                    best, size = {}, 0
+        yield from flush()
+
+    return rows.mapInArrow(run, "anchor long, string binary, id long, tag long, at long, to long")
+
+
+def _sorted_shards(rows: DataFrame, width: int, shard_bytes: int, many: int) -> DataFrame:
+    """(id, tag, at, to): the runs of windows that a smaller id also has.  Rows with
+    ``to`` are such runs already.  An anchor with more than ``many`` different
+    strings passes on with its strings."""
+    out = "id long, tag long, at long, to long, string binary"
 
     def run(batches):
         import pyarrow as pa
-        names = ["anchor", "c1", "c2", "owner", "runs"]
-        types = [pa.int64()] * 4 + [pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))]
-
-        def solve(rows):
-            per: dict[int, int] = {}
-            for r in rows:
-                per[r[0]] = per.get(r[0], 0) + 1
-            pick = [i for i, r in enumerate(rows) if per[r[0]] > 1]
-            runs: list = [[] for _ in rows]
-            if pick:
-                for i, w in zip(pick, earlier_windows([rows[i][4] for i in pick], np.array([rows[i][3] for i in pick]), width), strict=True):
+        schema = pa.schema([("id", pa.int64()), ("tag", pa.int64()), ("at", pa.int64()), ("to", pa.int64()), ("string", pa.binary())])
+
+        def table(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+        def solve(shard):
+            """shard: for each anchor its strings, each with its places (id, tag, at)."""
+            found, strings, owners, places = [], [], [], []
+            for by_string in shard:
+                for string, where in by_string.items():
+                    low = min(w[0] for w in where)
+                    found += [(i, tag, at, at + len(string), None) for i, tag, at in where if i > low]
+                    if len(by_string) > 1:
+                        strings.append(string)
+                        owners.append(low)
+                        places.append([w for w in where if w[0] == low])
+            if strings:
+                for w, own in zip(earlier_windows(strings, np.array(owners), width), places, strict=True):
                     if len(w):
                         new = np.flatnonzero(np.diff(w) > width)
-                        a, b = w[np.append(0, new + 1)], w[np.append(new, len(w) - 1)] + width
-                        runs[i] = [{"from": int(x), "to": int(y)} for x, y in zip(a, b, strict=True)]
-            cols = [*zip(*(r[:4] for r in rows), strict=True), runs]
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=names)
+                        for x, y in zip(w[np.append(0, new + 1)].tolist(), (w[np.append(new, len(w) - 1)] + width).tolist(), strict=True):
+                            found += [(i, tag, at + x, at + y, None) for i, tag, at in own]
+            return found
 
-        held, size = [], 0
+        shard, size, mine, anchor, grouped = [], 0, {}, None, False
         for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in ("anchor", "c1", "c2", "owner", "string")), strict=True):
-                if size >= SHARD_BYTES and r[0] != held[-1][0]:
-                    yield solve(held)
-                    held, size = [], 0
-                held.append(r)
-                size += len(r[4])
-        if held:
-            yield solve(held)
-
-    return (strings.select("anchor", "c1", "c2", "owner", "string").repartition("anchor").sortWithinPartitions("anchor")
-            .mapInArrow(run, f"anchor long, c1 long, c2 long, owner long, runs {kind}"))
-
-
-def _grouped_windows(strings: DataFrame, width: int) -> DataFrame:
+            passed = []
+            for a, string, i, tag, at, to in zip(*(b.column(c).to_pylist() for c in ("anchor", "string", "id", "tag", "at", "to")), strict=True):
+                if to is not None:
+                    passed.append((i, tag, at, to, None))
+                    continue
+                if a != anchor:
+                    shard.append(mine)
+                    if size > shard_bytes:
+                        passed += solve(shard)
+                        shard, size = [], 0
+                    anchor, mine, grouped = a, {}, False
+                if not grouped:
+                    if string not in mine:
+                        mine[string] = []
+                        size += len(string)
+                    mine[string].append((i, tag, at))
+                    if len(mine) > many:
+                        passed += [(*w, None, s) for s, where in mine.items() for w in where]
+                        mine, grouped = {}, True
+                else:
+                    passed.append((i, tag, at, None, string))
+            if passed:
+                yield table(passed)
+        if passed := solve([*shard, mine]):
+            yield table(passed)
+
+    key = F.coalesce("anchor", F.xxhash64("id", "at"))
+    return rows.withColumn("key", key).repartition("key").sortWithinPartitions("anchor").drop("key").mapInArrow(run, out)
+
+
+def _grouped_windows(rows: DataFrame, width: int) -> DataFrame:
     """The same for anchors with very many strings: every window is a row."""
-    w = strings.select("anchor", "c1", "c2", "owner", F.posexplode(F.expr(
-        f"transform(sequence(1, length(string) - {width - 1}), i -> substring(string, i, {width}))")).alias("at", "window"))
-    low = w.groupBy("window").agg(F.min("owner").alias("low"))
-    hit = F.when(F.col("low") < F.col("owner"), F.struct(F.col("at").alias("from"), (F.col("at") + width).alias("to")))
-    return (w.join(low, "window").groupBy("anchor", "c1", "c2", "owner").agg(F.sort_array(F.collect_list(hit)).alias("runs")))
+    w = rows.select("id", "tag", "at", F.posexplode(F.expr(
+        f"transform(sequence(1, length(string) - {width - 1}), i -> substring(string, i, {width}))")).alias("x", "window"))
+    low = w.groupBy("window").agg(F.min("id").alias("low"))
+    return w.join(low, "window").where("low < id").select("id", "tag", (F.col("at") + F.col("x")).alias("at"), (F.col("at") + F.col("x") + width).alias("to"))
 
 
-def _remove(rows: DataFrame, returns_text: bool) -> DataFrame:
-    """Removes the spans of each row's text."""
+def _spans(docs: DataFrame, id_col: str, text_col: str, width: int, shard_bytes: int = SHARD_BYTES, many: int = MANY) -> DataFrame:
+    """(id, tag, copy, spans) of the documents that lose bytes."""
+    raw = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    texts = (docs.where(F.col(id_col).isNotNull())
+             .select(F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(raw)).alias("digest"), raw.alias("text")))
+    tag = F.conv(F.substring(F.hex("digest"), 1, 16), 16, -10).cast("long")
+    prints = cut_lineage(texts.select("id", "digest", tag.alias("tag"), F.octet_length("text").cast("long").alias("n")))
+    total = prints.agg(F.sum("n")).first()[0] or 0
+    known = (_candidate_anchors(texts, max(1, total // BUCKET_BYTES), width)
+             .groupBy("id").agg(F.collect_list("anchors").alias("anchors")))          # bounded by the document's size
+    first = prints.groupBy("digest").agg(F.min("id").alias("first"))
+    own = prints.where(F.col("n") >= width).select("id", "tag", "digest").distinct().join(first, "digest").drop("digest")
+    asks = own.where("id = first").join(known, "id").select("id", "tag", "anchors")
+    cut = _cut_out(_packed(docs.where(F.col(id_col).isNotNull()), id_col, text_col).join(asks, ["id", "tag"]), width)
+    hits = cut_lineage(_sorted_shards(cut, width, shard_bytes, many))
+    runs = hits.where("to is not null").select("id", "tag", "at", "to")
+    if not (left := hits.where("to is null")).isEmpty():
+        runs = runs.union(_grouped_windows(left, width))
+    spans = runs.groupBy("id", "tag").agg(F.collect_list(F.struct("at", "to")).alias("spans"))     # bounded by the document's size
+    copies = own.where("id > first").select("id", "tag", F.lit(True).alias("copy"), F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    return spans.select("id", "tag", F.lit(False).alias("copy"), "spans").union(copies)
+
+
+def _edited(docs: DataFrame, id_col: str, text_col: str, width: int, keep=(), returns_text: bool = False, **options) -> DataFrame:
+    """(id, kept columns, n_bytes, n_removed, n_spans, kept_sha256, kept_text) of each row."""
     def run(batches):
         import hashlib
+        import zlib
 
         import pyarrow as pa
+        names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
+        types = [pa.int64()] * 3 + [pa.string()] * 2
         for b in batches:
-            spans, out = b.column("spans").to_pylist(), [[], [], [], []]
-            for t, sp in zip(b.column("text").to_pylist(), spans, strict=True):
-                t, kept, last, gone, count = t or b"", [], 0, 0, 0
-                end = -1
-                for s in sorted((x["from"], x["to"]) for x in sp or []):
-                    if s[0] > end:                   # a new run (touching ones are one)
-                        if end >= 0:
-                            gone += end - begin      # noqa: F821
-                            last = end
-                        kept.append(t[last:s[0]])
-                        count, begin, end = count + 1, s[0], s[1]  # noqa: F841
+            out = []
+            for z, copy, spans in zip(*(b.column(c).to_pylist() for c in ("text", "copy", "spans")), strict=True):
+                t = zlib.decompress(z)
+                if copy:
+                    spans = [{"at": 0, "to": len(t)}]
+                runs: list = []                      # maximal: touching ones are one
+                for x, y in sorted((s["at"], s["to"]) for s in spans or []):
+                    if runs and x <= runs[-1][1]:
+                        runs[-1][1] = max(runs[-1][1], y)
                     else:
-                        end = max(end, s[1])
-                if end >= 0:
-                    gone += end - begin              # noqa: F821
-                    last = end
-                kept.append(t[last:])
-                rest = b"".join(kept)
-                for c, v in zip(out, (gone, count, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if returns_text else None), strict=True):
-                    c.append(v)
-            n = b.num_rows
-            if n:
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("id"), b.column("digest"), *(pa.array(c, t) for c, t in zip(out, [pa.int64(), pa.int64(), pa.string(), pa.string()], strict=True))],
-                    names=["id", "digest", "n_removed", "n_spans", "kept_sha256", "kept_text"])
-
-    return rows.select("id", "digest", "text", "spans").mapInArrow(
-        run, "id long, digest binary, n_removed long, n_spans long, kept_sha256 string, kept_text string")
-
-
-def _spans(docs: DataFrame, id_col: str, text_col: str, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(one row per different (id, digest) with first and n_bytes, those with
-    candidate strings and their texts, their spans)."""
-    raw = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(raw)).alias("digest"), raw.alias("text"))
-    prints = cut_lineage(texts.select("id", "digest", F.octet_length("text").cast("long").alias("n")))
-    total = prints.agg(F.sum("n")).first()[0] or 0
-    known = (_candidate_anchors(texts.where("id is not null"), max(1, total // BUCKET_BYTES), width)
-             .groupBy("id").agg(F.collect_list("anchors").alias("anchors")))          # bounded by the document's size
-    first = prints.groupBy("digest").agg(F.min("id").alias("first"))
-    info = (prints.where("id is not null").select("id", "digest").distinct().join(first, "digest")
-            .join(known, "id", "left")
-            .select("id", "digest", "first", F.when(F.col("first") == F.col("id"), F.col("anchors")).alias("anchors")))
-    cut = cut_lineage(_cut_out(texts.join(info, ["id", "digest"]), width))
-    found = cut.select("id", "digest", F.explode("strings").alias("s")).select("id", "digest", "s.*")
-    found = found.withColumn("c1", F.xxhash64("string")).withColumn("c2", F.xxhash64(F.lit(1), F.reverse(F.hex("string"))))
-    strings = cut_lineage(found.groupBy("anchor", "c1", "c2", "string").agg(F.min("id").alias("owner")))
-    many = broadcast_checked(strings.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(f"n > {MANY}").select("anchor"))
-    runs = _sorted_shards(strings.join(many, "anchor", "left_anti"), width).union(
-        _grouped_windows(strings.join(many, "anchor", "left_semi"), width))
-    places = found.select("id", "digest", "at", "anchor", "c1", "c2", F.length("string").alias("size"))
-    whole = F.array(F.struct(F.lit(0).alias("from"), F.col("size").alias("to")))
-    hits = (places.join(runs, ["anchor", "c1", "c2"])
-            .select("id", "digest", "at", F.explode(F.when(F.col("id") > F.col("owner"), whole).otherwise(F.col("runs"))).alias("r"))
-            .groupBy("id", "digest").agg(F.collect_list(F.struct((F.col("at") + F.col("r.from")).alias("from"),
-                                                                 (F.col("at") + F.col("r.to")).alias("to"))).alias("spans")))
-    return prints, cut, hits
-
-
-def _edited(docs, id_col, text_col, width, returns_text):
-    prints, cut, hits = _spans(docs, id_col, text_col, width)
-    held = cut.where("strings is not null").dropDuplicates(["id", "digest"]).select("id", "digest", "text").join(hits, ["id", "digest"])
-    first = prints.groupBy("digest").agg(F.min("id").alias("first"))
-    return prints, first, _remove(held, returns_text)
-
-
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+                        runs.append([x, y])
+                kept = b"".join(t[x:y] for x, y in zip([0, *(r[1] for r in runs)], [*(r[0] for r in runs), len(t)], strict=True))
+                text = kept.decode("utf-8", "ignore") if returns_text else None
+                out.append((len(t), len(t) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), text))
+            cols = [b.column(c) for c in ("id", *kept_names)] + [pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)] if out else None
+            if cols:
+                yield pa.RecordBatch.from_arrays(cols, names=["id", *kept_names, *names])
+
+    packed = _packed(docs, id_col, text_col, keep)
+    kept_names = packed.columns[3:]
+    rows = packed.join(_spans(docs, id_col, text_col, width, **options), ["id", "tag"], "left")
+    schema = T.StructType([packed.schema["id"], *(packed.schema[c] for c in kept_names)])
+    for c, k in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), ("kept_text", "string")):
+        schema = schema.add(c, k)
+    return rows.mapInArrow(run, schema)
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, **options) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     A byte of the UTF-8 text is removed if a string of ``width`` bytes that
@@ -296,38 +369,26 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     the input.  A null text counts as empty.  A row without id neither loses
     bytes nor makes others lose any; rows that share an id do not make each
     other lose any.  Other columns are ignored; an empty table gives none."""
-    raw = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    prints, first, edited = _edited(docs, id_col, text_col, width, False)
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(raw)).alias("digest"), F.octet_length(raw).cast("long").alias("n_bytes"),
-                      F.sha2(raw, 256).alias("sha"))
-    rows = (own.join(first, "digest").join(edited, (F.col("doc_id") == edited.id) & (own.digest == edited.digest), "left"))
-    copy = F.coalesce((F.col("doc_id") > F.col("first")) & (F.col("n_bytes") >= width), F.lit(False))
-    return rows.select(
-        "doc_id", "n_bytes", F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(copy, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"))
-
-
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    return (_edited(docs, id_col, text_col, width, **options)
+            .select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256"))
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, **options) -> DataFrame:
     """``docs`` with the repeated bytes removed from the text (and characters of
-    which a part was removed); documents left without a word go.  All other
-    columns stay as they are, except ``n_chars``, which is counted anew where
-    it exists and the text has changed."""
-    raw = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    prints, first, edited = _edited(docs, id_col, text_col, width, True)
-    own = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_id"), F.unhex(F.md5(raw)).alias("_digest"), F.octet_length(raw).alias("_n"))
-    first = first.select(F.col("digest").alias("_d"), "first")
-    edited = edited.select("id", F.col("digest").alias("_e"), "kept_text")
-    rows = (own.join(first, F.col("_digest") == F.col("_d"))
-            .where(~F.coalesce((F.col("_id") > F.col("first")) & (F.col("_n") >= width), F.lit(False)))
-            .join(edited, (F.col("_id") == F.col("id")) & (F.col("_digest") == F.col("_e")), "left"))
-    text = F.coalesce("kept_text", F.col(f"_row.`{text_col}`").cast("string"))
+    which a part was removed).  Rows whose text has lost all its words go.  All
+    other columns stay as they are, except ``n_chars``, which is counted anew
+    where the text has changed."""
+    others = [c for c in docs.columns if c != text_col]
+    row = F.struct(F.col(text_col).isNull().alias("null"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]).alias("row")
+    rows = _edited(docs, id_col, text_col, width, [row], True, **options)
+    changed = F.col("n_spans") > 0
     cols = []
     for c in docs.columns:
-        old = F.col(f"_row.`{c}`")
         if c == text_col:
-            old = text
-        elif c == "n_chars":
-            old = F.when(F.col("kept_text").isNotNull(), F.length("kept_text").cast(docs.schema[c].dataType)).otherwise(old)
-        cols.append(old.alias(c))
-    return rows.where(F.col("kept_text").isNull() | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]")).select(*cols)
+            col = F.when(~F.col("row.null"), F.col("kept_text"))
+        else:
+            col = F.col(f"row.c{others.index(c)}")
+            if c == "n_chars":
+                col = F.when(changed, F.length("kept_text").cast(docs.schema[c].dataType)).otherwise(col)
+        cols.append(col.alias(c))
+    return rows.where(~changed | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]")).select(*cols)
