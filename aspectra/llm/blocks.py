@@ -106,7 +106,9 @@ def regions_of(orders: DataFrame, depths: list[int]) -> tuple[DataFrame, DataFra
         wide = rest.select("region", "node", "size") if wide is None else wide
         done = at.where(F.col("size") <= BLOCK).select(F.col("region").alias("block"), "node")
         regions = done if regions is None else regions.union(done)
-        rest = rest.drop("region", "size") if depth < depths[-1] else rest
+        if depth == depths[-1] or rest.isEmpty():
+            break
+        rest = rest.drop("region", "size")
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK))
     split = rest.select(F.concat("region", F.lit(b"/"), part.cast("string").cast("binary")).alias("block"), "node")
     return regions.union(split), wide

@@ -59,6 +59,14 @@ def word_hashes(texts: list[bytes]):
     return h, np.searchsorted(starts, at)
 
 
+def sequence_hashes(texts: list[bytes]) -> np.ndarray:
+    """One hash per text of its words in order."""
+    h, bounds = word_hashes(texts)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(h) * _powers(_STEP, len(h)))))
+    inverse = _powers(_STEP_INV, len(h) + 1)
+    return mix64((sums[bounds[1:]] - sums[bounds[:-1]]) * inverse[bounds[:-1]] + np.diff(bounds).astype(np.uint64))
+
+
 _PLACE = _odd(12, 64)
 
 
@@ -111,35 +119,62 @@ def text_slices(batch, column: str):
         yield first, part
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) of every node of an edge list; the component is its
-    smallest node.  Alternating large and small stars: each round is two partial
-    minima and two joins of the edge list, checkpointed; nothing but a count and
-    a checksum reaches the driver."""
-    def down(df):
-        return (df.where("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
-                .distinct())
+def _contract(edges: DataFrame) -> DataFrame:
+    """Edges (x, y) with x > y that join the same nodes: in each partition every
+    node points to the smallest node it reaches there."""
+    def run(batches):
+        import pyarrow as pa
+        parent: dict = {}
+
+        def find(x):
+            root = x
+            while parent[root] != root:
+                root = parent[root]
+            while parent[x] != root:
+                parent[x], x = root, parent[x]
+            return root
+
+        for b in batches:
+            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
+                if x is None or y is None or x == y:
+                    continue
+                parent.setdefault(x, x)
+                parent.setdefault(y, y)
+                x, y = find(x), find(y)
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+        nodes = [x for x in parent if parent[x] != x]
+        for i in range(0, len(nodes), 50_000):
+            part = nodes[i:i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(x) for x in part], pa.int64())], names=["x", "y"])
+
+    return edges.select("x", "y").mapInArrow(run, "x long, y long")
+
 
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component) of the nodes of an edge list of longs; the component is
+    its smallest node.  Partitions first contract their own edges, then large and
+    small stars alternate: each round is two partial minima, two joins and a
+    distinct of the shrinking edge list, checkpointed.  Nothing but a count and a
+    checksum reaches the driver."""
     def digest(df):
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("x", "y").cast("decimal(20,0)"))).first())
 
-    edges = cut_lineage(edges.select(F.col(a).alias("x"), F.col(b).alias("y")))     # read twice
-    nodes = edges.select(F.col("x").alias("node")).union(edges.select("y")).where("node is not null").distinct()
-    e = cut_lineage(down(edges))
+    e = cut_lineage(_contract(edges.select(F.col(a).alias("x"), F.col(b).alias("y"))).distinct())
     seen = digest(e)
     while seen[0]:
         both = e.union(e.select(F.col("y").alias("x"), F.col("x").alias("y")))
         low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = down(both.join(low, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")))
+        large = both.join(low, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y"))
         low = large.groupBy("x").agg(F.min("y").alias("m"))
-        small = large.join(low, "x").select(F.col("y").alias("x"), F.col("m").alias("y"))
-        e = cut_lineage(down(small.union(low.select("x", F.col("m").alias("y")))))
+        small = large.join(low, "x").where("y > m").select(F.col("y").alias("x"), F.col("m").alias("y"))
+        e = cut_lineage(_contract(small.union(low.select("x", F.col("m").alias("y")))).distinct())
         now = digest(e)
         if now == seen:
             break
         seen = now
-    label = e.groupBy("x").agg(F.min("y").alias("component")).withColumnRenamed("x", "node")
-    return nodes.join(label, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    roots = e.select(F.col("y").alias("node"), F.col("y").alias("component")).distinct()
+    return e.groupBy("x").agg(F.min("y").alias("component")).withColumnRenamed("x", "node").union(roots)
 
 
 def spanning_links(ids, sets, sigs, least_equal: float, linked, rows=None):

@@ -53,3 +53,9 @@ def op5(spark, sf_dir):
 def op4(spark, sf_dir):
     from aspectra.llm.suffix_dedup import repeated_passages
     return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op10_paragraph_dedup")
+def op10(spark, sf_dir):
+    from aspectra.llm.paragraph_dedup import paragraph_report
+    return paragraph_report(table(spark, sf_dir, "documents"))
