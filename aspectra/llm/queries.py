@@ -59,3 +59,9 @@ def op4(spark, sf_dir):
 def op10(spark, sf_dir):
     from aspectra.llm.paragraph_dedup import paragraph_report
     return paragraph_report(table(spark, sf_dir, "documents"))
+
+
+@query("op6_url_templates")
+def op6(spark, sf_dir):
+    from aspectra.llm.url_templates import filter_urls
+    return filter_urls(table(spark, sf_dir, "pages"))
