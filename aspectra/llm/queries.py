@@ -65,3 +65,9 @@ def op10(spark, sf_dir):
 def op6(spark, sf_dir):
     from aspectra.llm.url_templates import filter_urls
     return filter_urls(table(spark, sf_dir, "pages"))
+
+
+@query("op9_token_counts")
+def op9(spark, sf_dir):
+    from aspectra.llm.token_counts import token_counts
+    return token_counts(table(spark, sf_dir, "documents"))
