@@ -71,3 +71,9 @@ def op6(spark, sf_dir):
 def op9(spark, sf_dir):
     from aspectra.llm.token_counts import token_counts
     return token_counts(table(spark, sf_dir, "documents"))
+
+
+@query("op7_html_consensus")
+def op7(spark, sf_dir):
+    from aspectra.llm.html_consensus import main_texts
+    return main_texts(table(spark, sf_dir, "pages"))
