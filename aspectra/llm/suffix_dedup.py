@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aspectra.llm.common import byte_prefix, mix64, text_slices
+from aspectra.llm.common import byte_prefix, mix64, release, text_slices
 from aspectra.llm.suffix_array import earlier_windows
 from aspectra.session import cut_lineage
 
@@ -38,25 +38,29 @@ MANY = 10_000                # strings of one anchor beyond which they are group
 _DOC = np.dtype([("id", "<i8"), ("text", "<u8")])
 
 
-def _anchors(texts: list[bytes], width: int):
+def _anchors(texts: list[bytes], width: int, grams: bool = False):
     """(anchor of each window, its place in the joined texts, bounds by text) of
-    all windows that lie within one text."""
+    all windows that lie within one text; with ``grams`` also the place of the
+    first string that has the anchor's hash."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     at = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
     n = len(data)
     if n < width:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+        return (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64), *[np.zeros(0, np.int64)] * grams)
     prefix, inverse = byte_prefix(data)
     low = mix64((prefix[GRAM:] - prefix[:-GRAM]) * inverse[:n - GRAM + 1])
     have, need = 1, width - GRAM + 1                 # minimum over `need` neighbours by doubling
-    while have * 2 <= need:
-        low = np.minimum(low[:-have], low[have:])
-        have *= 2
-    if have < need:
-        low = np.minimum(low[:len(low) - (need - have)], low[need - have:])
+    gram = np.arange(len(low)) if grams else None
+    while have < need:
+        step = min(have, need - have)
+        a, b = low[:len(low) - step], low[step:]
+        if grams:
+            gram = np.where(b < a, gram[step:], gram[:-step])
+        low = np.minimum(a, b)
+        have += step
     owner = np.repeat(np.arange(len(texts)), np.diff(at))[:len(low)]
     place = np.flatnonzero(np.arange(len(low)) + width <= at[owner + 1])
-    return low[place], place, np.searchsorted(place, at)
+    return (low[place], place, np.searchsorted(place, at), *([gram[place]] if grams else []))
 
 
 def _starts(*columns) -> np.ndarray:
@@ -178,14 +182,15 @@ def _packed(docs: DataFrame, id_col: str, text_col: str, keep=()) -> DataFrame:
 
 
 def _cut_out(rows: DataFrame, width: int) -> DataFrame:
-    """Runs of windows with a candidate anchor, as (anchor, string, id, tag, at).
+    """Runs of windows with a candidate anchor, as (anchor, string, gram, id, tag,
+    at); gram is the anchor's place in the string, -1 if it has several.
     Of equal strings in one task only that of the smallest id goes on; the others
     are removed whole and carry their end instead of a string."""
     def run(batches):
         import zlib
 
         import pyarrow as pa
-        schema = pa.schema([("anchor", pa.int64()), ("string", pa.binary()), ("id", pa.int64()), ("tag", pa.int64()), ("at", pa.int64()), ("to", pa.int64())])
+        schema = pa.schema([("anchor", pa.int64()), ("string", pa.binary()), ("gram", pa.int32()), ("id", pa.int64()), ("tag", pa.int64()), ("at", pa.int64()), ("to", pa.int64())])
         best: dict = {}
         size = 0
 
@@ -193,7 +198,7 @@ def _cut_out(rows: DataFrame, width: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
         def flush():
-            out = [(a, s, *v, None) for (a, s), v in best.items()]
+            out = [(a, s, v[3], *v[:3], None) for (a, s), v in best.items()]
             for i in range(0, len(out), 20_000):
                 yield table(out[i:i + 20_000])
 
@@ -201,24 +206,26 @@ def _cut_out(rows: DataFrame, width: int) -> DataFrame:
             ids, tags, known = (b.column(c).to_pylist() for c in ("id", "tag", "anchors"))
             for i, z in enumerate(b.column("text").to_pylist()):
                 t, whole = zlib.decompress(z), []
-                h, place, _ = _anchors([t], width)
+                h, place, _, gram = _anchors([t], width, True)
                 start = _starts(h)
                 if not len(start):
                     continue
                 stop = np.append(start[1:], len(h))
                 hit = np.isin(h[start], np.frombuffer(b"".join(known[i]), np.uint64))
-                for a, x, y in zip(h[start[hit]].view(np.int64).tolist(), place[start[hit]].tolist(), place[stop[hit] - 1].tolist(), strict=True):
+                start, stop = start[hit], stop[hit] - 1
+                one = np.where(gram[start] == gram[stop], gram[start] - place[start], -1)
+                for a, x, y, g in zip(h[start].view(np.int64).tolist(), place[start].tolist(), place[stop].tolist(), one.tolist(), strict=True):
                     key = (a, t[x:y + width])
                     have = best.get(key)
                     if have is None or have[0] > ids[i]:
-                        best[key] = (ids[i], tags[i], x)
+                        best[key] = (ids[i], tags[i], x, g)
                         size += have is None and y + width - x + 200
                         if have is not None:
-                            whole.append((None, None, *have, have[2] + y + width - x))
+                            whole.append((None, None, None, *have[:3], have[2] + y + width - x))
                     elif have[0] < ids[i]:
-                        whole.append((None, None, ids[i], tags[i], x, y + width))
+                        whole.append((None, None, None, ids[i], tags[i], x, y + width))
                     else:                            # once more in the same document
-                        whole.append((a, key[1], ids[i], tags[i], x, None))
+                        whole.append((a, key[1], g, ids[i], tags[i], x, None))
                 if whole:
                     yield table(whole)
                 if size > 64 << 20:
@@ -226,7 +233,7 @@ def _cut_out(rows: DataFrame, width: int) -> DataFrame:
                     best, size = {}, 0
         yield from flush()
 
-    return rows.mapInArrow(run, "anchor long, string binary, id long, tag long, at long, to long")
+    return rows.mapInArrow(run, "anchor long, string binary, gram int, id long, tag long, at long, to long")
 
 
 def _sorted_shards(rows: DataFrame, width: int, shard_bytes: int, many: int) -> DataFrame:
@@ -236,20 +243,30 @@ def _sorted_shards(rows: DataFrame, width: int, shard_bytes: int, many: int) ->
     out = "id long, tag long, at long, to long, string binary"
 
     def run(batches):
+        from collections import Counter
+
         import pyarrow as pa
         schema = pa.schema([("id", pa.int64()), ("tag", pa.int64()), ("at", pa.int64()), ("to", pa.int64()), ("string", pa.binary())])
 
         def table(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
+        def sides(string, g):
+            half = (width - GRAM) // 2
+            return [e for e in (string[g - half:g + GRAM] if g >= half else b"", string[g:g + GRAM + half]) if len(e) == GRAM + half] if g >= 0 else []
+
         def solve(shard):
-            """shard: for each anchor its strings, each with its places (id, tag, at)."""
+            """shard: for each anchor its strings, each with its places (id, tag, at)
+            and the anchor's place."""
             found, strings, owners, places = [], [], [], []
             for by_string in shard:
-                for string, where in by_string.items():
+                # a common window holds the anchor and half of the rest on one side of it
+                ends = Counter(e for string, (_, g) in by_string.items() for e in sides(string, g)) if len(by_string) > 1 else {}
+                several = any(g < 0 for _, g in by_string.values())
+                for string, (where, g) in by_string.items():
                     low = min(w[0] for w in where)
                     found += [(i, tag, at, at + len(string), None) for i, tag, at in where if i > low]
-                    if len(by_string) > 1:
+                    if len(by_string) > 1 and (several or any(ends[e] > 1 for e in sides(string, g))):
                         strings.append(string)
                         owners.append(low)
                         places.append([w for w in where if w[0] == low])
@@ -264,7 +281,7 @@ def _sorted_shards(rows: DataFrame, width: int, shard_bytes: int, many: int) ->
         shard, size, mine, anchor, grouped = [], 0, {}, None, False
         for b in batches:
             passed = []
-            for a, string, i, tag, at, to in zip(*(b.column(c).to_pylist() for c in ("anchor", "string", "id", "tag", "at", "to")), strict=True):
+            for a, string, g, i, tag, at, to in zip(*(b.column(c).to_pylist() for c in ("anchor", "string", "gram", "id", "tag", "at", "to")), strict=True):
                 if to is not None:
                     passed.append((i, tag, at, to, None))
                     continue
@@ -276,11 +293,11 @@ def _sorted_shards(rows: DataFrame, width: int, shard_bytes: int, many: int) ->
                     anchor, mine, grouped = a, {}, False
                 if not grouped:
                     if string not in mine:
-                        mine[string] = []
+                        mine[string] = [], g
                         size += len(string)
-                    mine[string].append((i, tag, at))
+                    mine[string][0].append((i, tag, at))
                     if len(mine) > many:
-                        passed += [(*w, None, s) for s, where in mine.items() for w in where]
+                        passed += [(*w, None, s) for s, (where, _) in mine.items() for w in where]
                         mine, grouped = {}, True
                 else:
                     passed.append((i, tag, at, None, string))
@@ -309,13 +326,16 @@ def _spans(docs: DataFrame, id_col: str, text_col: str, width: int, shard_bytes:
     tag = F.conv(F.substring(F.hex("digest"), 1, 16), 16, -10).cast("long")
     prints = cut_lineage(texts.select("id", "digest", tag.alias("tag"), F.octet_length("text").cast("long").alias("n")))
     total = prints.agg(F.sum("n")).first()[0] or 0
-    known = (_candidate_anchors(texts, max(1, total // BUCKET_BYTES), width)
-             .groupBy("id").agg(F.collect_list("anchors").alias("anchors")))          # bounded by the document's size
+    found = cut_lineage(_candidate_anchors(texts, max(1, total // BUCKET_BYTES), width))
+    release(docs.sparkSession)
+    known = (found.groupBy("id").agg(F.collect_list("anchors").alias("anchors")))          # bounded by the document's size
     first = prints.groupBy("digest").agg(F.min("id").alias("first"))
     own = prints.where(F.col("n") >= width).select("id", "tag", "digest").distinct().join(first, "digest").drop("digest")
     asks = own.where("id = first").join(known, "id").select("id", "tag", "anchors")
     cut = _cut_out(_packed(docs.where(F.col(id_col).isNotNull()), id_col, text_col).join(asks, ["id", "tag"]), width)
     hits = cut_lineage(_sorted_shards(cut, width, shard_bytes, many))
+    del cut, asks, known, found
+    release(docs.sparkSession)
     runs = hits.where("to is not null").select("id", "tag", "at", "to")
     if not (left := hits.where("to is null")).isEmpty():
         runs = runs.union(_grouped_windows(left, width))
