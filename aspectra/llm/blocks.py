@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aspectra.llm.common import components, spanning_links
+from aspectra.llm.common import components, release, spanning_links
 from aspectra.session import cut_lineage
 
 BLOCK = 512
@@ -151,5 +151,7 @@ def confirmed_links(orders: DataFrame, members: DataFrame, depths: list[int], n:
         return links
     regions, wide = regions_of(orders.join(large.select("node").distinct(), "node", "left_semi").select("key", "node"), depths)
     deep = cut_lineage(links_of_blocks(regions.join(large, "node").withColumn("asks", F.lit(False)), n, least_equal, linked))
+    del regions
+    release(members.sparkSession)
     rest = links_of_blocks(rest_of(wide, components(deep)).join(large, "node"), n, least_equal, linked)
     return links.union(deep).union(rest)

@@ -169,6 +169,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(low, "x").where("y > m").select(F.col("y").alias("x"), F.col("m").alias("y"))
         e = cut_lineage(_contract(small.union(low.select("x", F.col("m").alias("y")))).distinct())
+        del both, low, large, small
+        release(edges.sparkSession)
         now = digest(e)
         if now == seen:
             break
@@ -215,3 +217,11 @@ def broadcast_checked(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataF
     counted first; else as it is, so the join is shuffled (and split on skew)."""
     small = cut_lineage(small)
     return F.broadcast(small) if small.count() <= max_rows else small
+
+
+def release(spark) -> None:
+    """Lets Spark's cleaner remove the shuffle files and checkpoints of finished
+    phases: it does so when their handles are collected on the driver."""
+    import gc
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

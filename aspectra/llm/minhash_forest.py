@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aspectra.llm.blocks import BLOCK, confirmed_links, neighbours
-from aspectra.llm.common import components, minhash, mix64, shingle_sets, text_slices
+from aspectra.llm.common import components, minhash, mix64, release, shingle_sets, text_slices
 from aspectra.session import cut_lineage
 
 TREES, DEPTH, BASE = 16, 8, 4
@@ -109,6 +109,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
     held = cut_lineage(texts.join(clusters, "node").mapInArrow(sets, _SET.replace("component long", "component long, size long"))
                        .where("length(shingles) > 0"))
+    del clusters, size
+    release(docs.sparkSession)
     links = confirmed_links(orders, held, [1 + 2 * d for d in range(BASE, DEPTH + 1)], N, least_equal, linked)
     found = components(links)
     ids = nodes.join(found, "node", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "node").alias("component"))
