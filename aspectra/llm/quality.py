@@ -157,4 +157,6 @@ def keep_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first = text_stats(_input(docs, id_col, text_col, lang_col, source_col), "text").drop("text")
     limits = cut_lineage(thresholds(sketches(first), min_group))
     stats = text_stats(_input(docs, id_col, text_col, lang_col, source_col, F.struct("*").alias("_row")), "text")
-    return _judge(stats, limits).where("kept").select("_row.*")
+    # a generator instead of a filter, which would be pushed down with the whole statistics inlined in it
+    kept = F.explode(F.when(F.col("kept"), F.array("_row")))
+    return _judge(stats, limits).select(kept.alias("_row")).select("_row.*")
