@@ -14,6 +14,7 @@ import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from aspectra.llm.common import broadcast_checked
 from aspectra.llm.url_templates import host_and_path
@@ -236,5 +237,6 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                                               pa.array([len(t) for t in texts], pa.int64()), b.column("path")],
                                              names=["page_id", "url", "text", "n_chars", "path"])
 
-    schema = rows.select("page_id", "url").withColumns({"text": F.lit(""), "n_chars": F.lit(0).cast("long"), "path": F.lit("")}).schema
+    schema = (T.StructType([T.StructField("page_id", rows.schema["page_id"].dataType)]).add("url", "string").add("text", "string")
+              .add("n_chars", "long").add("path", "string"))
     return rows.select("page_id", "url", "html", "path").mapInArrow(run, schema)

@@ -115,7 +115,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = components(links)
     ids = nodes.join(found, "node", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "node").alias("component"))
     key = [sigs.f1 == ids.f1, sigs.f2 == ids.f2, sigs.n_shingles == ids.n_shingles]
-    component = F.when(sigs.n_shingles == 0, sigs.doc_id).otherwise(F.coalesce(ids.component, sigs.doc_id))
+    component = F.when(sigs.doc_id.isNull() | (sigs.n_shingles == 0), sigs.doc_id).otherwise(F.coalesce(ids.component, sigs.doc_id))
     return (sigs.join(ids, key, "left")
             .select(sigs.doc_id, sigs.n_shingles, component.alias("component_id"),
                     sigs.doc_id.eqNullSafe(component).alias("kept")))

@@ -85,6 +85,8 @@ def _repeated(h, doc, ids, text):
 
 def _per_document(h, doc, ids):
     """(id, anchors as bytes) of the documents."""
+    if not len(h):
+        return []
     order = np.argsort(doc, kind="stable")
     h, doc = h[order], doc[order]
     cut = _starts(doc)
