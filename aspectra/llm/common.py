@@ -151,18 +151,22 @@ def _contract(edges: DataFrame) -> DataFrame:
     return edges.select("x", "y").mapInArrow(run, "x long, y long")
 
 
+FEW_EDGES = 200_000          # remaining edges that one partition contracts at once
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of the nodes of an edge list of longs; the component is
     its smallest node.  Partitions first contract their own edges, then large and
     small stars alternate: each round is two partial minima, two joins and a
-    distinct of the shrinking edge list, checkpointed.  Nothing but a count and a
+    distinct of the shrinking edge list, checkpointed.  The rounds end when nothing
+    changes, or when at most FEW_EDGES edges are left.  Nothing but a count and a
     checksum reaches the driver."""
     def digest(df):
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("x", "y").cast("decimal(20,0)"))).first())
 
     e = cut_lineage(_contract(edges.select(F.col(a).alias("x"), F.col(b).alias("y"))).distinct())
     seen = digest(e)
-    while seen[0]:
+    while seen[0] > FEW_EDGES:
         both = e.union(e.select(F.col("y").alias("x"), F.col("x").alias("y")))
         low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
         large = both.join(low, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y"))
@@ -175,8 +179,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if now == seen:
             break
         seen = now
+    else:
+        # what is left fits one partition (16 bytes an edge): contracting that ends it
+        e = cut_lineage(_contract(e.coalesce(1)))
     roots = e.select(F.col("y").alias("node"), F.col("y").alias("component")).distinct()
-    return e.groupBy("x").agg(F.min("y").alias("component")).withColumnRenamed("x", "node").union(roots)
+    return e.withColumnsRenamed({"x": "node", "y": "component"}).union(roots)
 
 
 def spanning_links(ids, sets, sigs, least_equal: float, linked, rows=None):

@@ -355,8 +355,11 @@ def test_paragraph_dedup(docs, rows, empty):
     assert paragraph_report(empty).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_components(spark, monkeypatch, few):
+    from aspectra.llm import common
     from aspectra.llm.common import components
+    monkeypatch.setattr(common, "FEW_EDGES", few)            # 0: star rounds to the end
     rnd = random.Random(3)
     edges = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(250)] + [(1000 + i, 1001 + i) for i in range(300)] + [(7, 7)]
     part = {}
