@@ -713,15 +713,12 @@ def q_sentiment_classifier(spark, sf):
 
 @query("save_classifier")
 def q_save_classifier(spark, sf):
-    from pyspark.ml import PipelineModel
-    from pyspark.ml.classification import OneVsRestModel
+    """Predictions of the model that was written and read again."""
     d = training_rows(spark, sf)
-    pred, model = MD.cross_validate(d, [], final=True)
+    model = MD.fit_linear_svm(d.withColumn("task", F.lit("all")))
     path = model.save(scratch_path(spark, "svm-model"))
-    loaded = MD.TaskModel(PipelineModel.load(f"{path}/vectorizer"), OneVsRestModel.load(f"{path}/classifier"),
-                          model.tasks, model.labels)
-    final = d.withColumn("task", F.lit("0"))
-    return loaded.transform(final).select("row_id", "y_true", "y_pred")
+    loaded = MD.LinearModel.load(spark, path, model.tasks, model.labels)
+    return loaded.transform(d.withColumn("task", F.lit("all"))).select("row_id", "y_true", "y_pred")
 
 
 @query("tfidf_vectors")
