@@ -3,7 +3,7 @@
 Rows are ordered by ``md5(seed|salt|id)``: the value depends only on the row,
 never on partitioning or task order, and the same digest is computed by any
 SQL engine, so draws can be checked against an oracle.  Draws in [0, n) use
-the first 8 hex digits of such a digest as an unsigned 32-bit integer.
+the first 15 hex digits of such a digest as an unsigned 60-bit integer.
 """
 
 from __future__ import annotations
@@ -24,14 +24,14 @@ def order_key(salt: str, *ids, seed: int = SEED) -> Column:
     return F.md5(F.concat_ws("|", *parts))
 
 
-def hex_prefix_int(hexstr: Column, digits: int = 8) -> Column:
+def hex_prefix_int(hexstr: Column, digits: int = 15) -> Column:
     """First ``digits`` hex digits of a digest as a non-negative bigint."""
     return F.conv(F.substring(hexstr, 1, digits), 16, 10).cast("bigint")
 
 
 def uniform(salt: str, *ids, seed: int = SEED) -> Column:
     """Deterministic uniform draw in [0, 1)."""
-    return hex_prefix_int(order_key(salt, *ids, seed=seed)) / F.lit(float(1 << 32))
+    return hex_prefix_int(order_key(salt, *ids, seed=seed)) / F.lit(float(1 << 60))
 
 
 def draw_index(n, salt: str, *ids, seed: int = SEED) -> Column:

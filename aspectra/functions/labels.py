@@ -71,10 +71,11 @@ def keyword_emotion(text, polarity, keywords=dicts.EMOTION_KEYWORDS) -> Column:
     )
 
 
-def silver_text(text, max_chars: int = 512) -> Column:
-    """Text as given to the scorer: first 512 characters, blank -> '.'."""
+def silver_text(text, max_chars: int | None = None) -> Column:
+    """Text as given to the scorer, blank -> '.'; a scorer with a limited input
+    sets ``max_chars``."""
     t = F.coalesce(_c(text), F.lit(""))
-    return F.when(py_strip(t) == "", F.lit(".")).otherwise(F.substring(t, 1, max_chars))
+    return F.when(py_strip(t) == "", F.lit(".")).otherwise(t if max_chars is None else F.substring(t, 1, max_chars))
 
 
 def keyword_emotion_short(text, polarity) -> Column:

@@ -34,7 +34,7 @@ def replace_synonyms(text, lang, row_id, synonyms=dicts.SYNONYMS,
     def per_token(w, i):
         alts = F.element_at(m, F.concat(_c(lang), F.lit("|"), w))
         u = hex_prefix_int(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("syn-u"), rid, i.cast("string")))) \
-            / F.lit(float(1 << 32))
+            / F.lit(float(1 << 60))
         pick = F.pmod(hex_prefix_int(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("syn-pick"), rid,
                                                        i.cast("string")))), F.size(alts))
         return F.when((u < F.lit(prob)) & alts.isNotNull(), F.element_at(alts, (pick + 1).cast("int"))) \

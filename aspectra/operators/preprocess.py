@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from aspectra import dicts
 from aspectra.functions import text as T
+from aspectra.session import cut_lineage
 
 # A lemma table up to this many entries is turned into a map literal and
 # looked up inside the projection; a larger lexicon goes through a join.
@@ -32,6 +33,8 @@ def lemma_lookup(df: DataFrame, lemmas: DataFrame, text: str = "text_processed",
     tokens (AQE picks broadcast or shuffle and splits skewed tokens) and the
     tokens are put back in order per row."""
     out = out or text
+    # a token with several lemmas takes the smallest one, on either way
+    lemmas = lemmas.groupBy("lang", "token").agg(F.min("lemma").alias("lemma"))
     n = lemmas.limit(MAX_LEMMA_MAP_ENTRIES + 1).count()
     if n <= MAX_LEMMA_MAP_ENTRIES:
         rows = [tuple(r) for r in lemmas.select("lang", "token", "lemma").collect()]
@@ -43,8 +46,10 @@ def lemma_lookup(df: DataFrame, lemmas: DataFrame, text: str = "text_processed",
                .otherwise(F.array_join(lem, " "))
         return df.withColumn(out, res)
 
-    if id_col is None:
-        raise ValueError("a unique id_col is required for large lemma tables")
+    made = id_col is None
+    if made:                                 # row numbers, checkpointed so they stay the same
+        id_col = "__row"
+        df = cut_lineage(df.withColumn(id_col, F.monotonically_increasing_id()))
     toks = df.select(id_col, lang, F.posexplode(T.tokens(text)).alias("pos", "token"))
     lex = lemmas.select(F.col("lang").alias("__l"), F.col("token").alias("__t"), "lemma")
     joined = toks.join(lex, (toks[lang] == lex["__l"]) & (toks["token"] == lex["__t"]), "left")
@@ -55,7 +60,7 @@ def lemma_lookup(df: DataFrame, lemmas: DataFrame, text: str = "text_processed",
     res = df.join(rebuilt, id_col, "left")
     res = res.withColumn(out, F.when(F.coalesce(F.col(lang) == "ru", F.lit(False)), F.col(text))
                          .otherwise(F.coalesce(F.col("__lem"), F.lit(""))))
-    return res.drop("__lem")
+    return res.drop("__lem", *([id_col] if made else []))
 
 
 def preprocess_light(df: DataFrame, text: str = "text", lang: str = "lang",

@@ -31,6 +31,15 @@ def _c(x) -> Column:
 MAX_BROADCAST_GROUPS = 100_000
 
 
+def _join_null_safe(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where a null key is a group of its own."""
+    other = other.withColumnsRenamed({c: f"__o_{c}" for c in keys})
+    cond = F.lit(True)
+    for c in keys:
+        cond &= F.col(c).eqNullSafe(F.col(f"__o_{c}"))
+    return df.join(other, cond, how).drop(*[f"__o_{c}" for c in keys])
+
+
 def top_k_per_group(df: DataFrame, groups: list[str], k, key: Column,
                     tiebreak: list[str], margin: float = 1.25, slack: int = 64) -> DataFrame:
     """Rows whose rank by ``key`` within ``groups`` is <= k (k: int or column
@@ -42,14 +51,14 @@ def top_k_per_group(df: DataFrame, groups: list[str], k, key: Column,
     hold a third of the data.  Beyond the bound a regular join is used."""
     kcol = F.lit(k) if isinstance(k, int) else F.col(k)
     d = df.withColumn("__key", key).withColumn("__k", kcol)
-    d = d.withColumn("__u", hex_prefix_int(F.col("__key")) / F.lit(float(1 << 32)))
+    d = d.withColumn("__u", hex_prefix_int(F.col("__key")) / F.lit(float(1 << 60)))
     n = d.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n")).persist()
     small = n.limit(MAX_BROADCAST_GROUPS + 1).count() <= MAX_BROADCAST_GROUPS
 
     def per_group(t: DataFrame) -> DataFrame:
         return F.broadcast(t) if small else t
 
-    d = d.join(per_group(n), groups)
+    d = _join_null_safe(d, per_group(n), groups)
     thr = F.least(F.lit(1.0), (F.col("__k") * F.lit(margin) + F.lit(slack)) / F.col("__n"))
     d = d.withColumn("__thr", thr)
     # groups whose pre-filter kept fewer than min(k, n) rows are ranked in full
@@ -58,7 +67,7 @@ def top_k_per_group(df: DataFrame, groups: list[str], k, key: Column,
                                    F.first("__k").alias("__kk"), F.first("__n").alias("__nn")))
     short = kept.filter(F.col("__kept") < F.least(F.col("__kk"), F.col("__nn"))) \
                 .select(*groups, F.lit(True).alias("__short"))
-    d = d.join(per_group(short), groups, "left")  # short groups are a subset of n
+    d = _join_null_safe(d, per_group(short), groups, "left")  # short groups are a subset of n
     cand = d.filter((F.col("__u") < F.col("__thr")) | F.col("__short").isNotNull())
     w = Window.partitionBy(*groups).orderBy(F.col("__key"), *[F.col(c) for c in tiebreak])
     ranked = cand.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= F.col("__k"))
@@ -98,7 +107,7 @@ def rank_in_strata(df: DataFrame, strata: list[str], key: Column, tiebreak: list
         offsets = offsets.withColumn("__n_stratum", F.sum("__bn").over(Window.partitionBy(*strata)))
     else:
         offsets = offsets.withColumn("__n_stratum", F.sum("__bn").over(Window.partitionBy()))
-    d = d.join(offsets.drop("__bn"), strata + ["__b"])
+    d = _join_null_safe(d, offsets.drop("__bn"), [*strata, "__b"])
     wi = Window.partitionBy(*strata, "__b").orderBy(F.col("__key"), *[F.col(c) for c in tiebreak])
     d = d.withColumn(out, F.col("__off") + F.row_number().over(wi))
     return d.drop("__key", "__b", "__off")

@@ -234,7 +234,7 @@ oracle("augment_size", with_corpus(_LIGHT + _SIZES + "SELECT * FROM sizes"))
 def _syn_sql(text: str, lang: str, rid: str) -> str:
     alts = ("(CASE " + f"{lang} || '|' || x " + " ".join(
         f"WHEN {S.q(f'{lg}|{w}')} THEN {S.lst(a)}" for lg, w, a in AUG_SYNONYMS) + " END)")
-    u = f"({S.hex_int(f'md5(concat_ws(' + chr(39) + '|' + chr(39) + f', {S.q(str(dicts.SEED))}, ' + chr(39) + 'syn-u' + chr(39) + f', CAST({rid} AS VARCHAR), CAST(i - 1 AS VARCHAR)))')} / 4294967296.0)"
+    u = f"({S.hex_int(f'md5(concat_ws(' + chr(39) + '|' + chr(39) + f', {S.q(str(dicts.SEED))}, ' + chr(39) + 'syn-u' + chr(39) + f', CAST({rid} AS VARCHAR), CAST(i - 1 AS VARCHAR)))')} / 1152921504606846976.0)"
     pick = S.hex_int(f"md5(concat_ws('|', {S.q(str(dicts.SEED))}, 'syn-pick', CAST({rid} AS VARCHAR), CAST(i - 1 AS VARCHAR)))")
     return (f"array_to_string(list_transform(CASE WHEN {text} = '' THEN []::VARCHAR[] ELSE string_split({text}, ' ') END, "
             f"lambda x, i: CASE WHEN {u} < {dicts.SYNONYM_PROB} AND {alts} IS NOT NULL "
@@ -486,7 +486,7 @@ oracle("route_inputs", with_reviews(
 _CORPUS_ROWS = "SELECT review_id, lang, text, aspect, polarity FROM corpus"
 oracle("write_corpus", with_corpus(_CORPUS_ROWS))
 oracle("write_corpus_csv", with_corpus(_CORPUS_ROWS))
-oracle("scan_corpus", with_corpus(_CORPUS_ROWS + " WHERE lang = 'fr'"))
+oracle("scan_corpus", with_corpus(_CORPUS_ROWS))
 oracle("scan_first_available", with_corpus(_CORPUS_ROWS))
 
 _SVMP = (", svmp AS (SELECT unnest([lang, 'all']) AS lang, aspect, y_true, y_pred FROM predictions "

@@ -579,8 +579,7 @@ def q_write_corpus_csv(spark, sf):
 @query("scan_corpus")
 def q_scan_corpus(spark, sf):
     path = SC.write_corpus(corpus(spark, sf), scratch_path(spark, "corpus"))
-    return SC.scan_corpus(spark, path).filter(F.col("lang") == "fr") \
-             .select("review_id", "lang", "text", "aspect", "polarity")
+    return SC.scan_corpus(spark, path).select("review_id", "lang", "text", "aspect", "polarity")
 
 
 @query("scan_first_available")

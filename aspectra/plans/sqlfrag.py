@@ -65,7 +65,7 @@ def keyword_emotion(text: str, pol: str, kw=dicts.EMOTION_KEYWORDS) -> str:
 
 def silver_text(text: str) -> str:
     t = f"coalesce({text}, '')"
-    return f"(CASE WHEN {py_strip(t)} = '' THEN '.' ELSE substring({t}, 1, 512) END)"
+    return f"(CASE WHEN {py_strip(t)} = '' THEN '.' ELSE {t} END)"
 
 
 def keyword_emotion_short(text: str, pol: str) -> str:
@@ -144,7 +144,7 @@ def md5_key(salt: str, *ids: str, seed: int = dicts.SEED) -> str:
     return f"md5(concat_ws('|', {parts}))"
 
 
-def hex_int(hexexpr: str, digits: int = 8) -> str:
+def hex_int(hexexpr: str, digits: int = 15) -> str:
     return f"CAST(('0x' || substr({hexexpr}, 1, {digits})) AS BIGINT)"
 
 

@@ -38,11 +38,11 @@ def test_keyword_emotion_rules(spark):
                    "insatisfaction", "insatisfaction", "satisfaction", "insatisfaction"]
 
 
-def test_silver_fallback_uses_first_512_chars(spark):
+def test_silver_fallback_uses_whole_texts(spark):
     long = "x" * 600 + " horrible"
     df = spark.createDataFrame([(long, "neg"), ("   ", None), ("joy", None)], "text string, polarity string")
     got = [r.emotion for r in E.label_emotions_silver(df).collect()]
-    assert got == ["insatisfaction", "satisfaction", "satisfaction"]
+    assert got == ["colère", "satisfaction", "satisfaction"]
 
 
 def test_silver_with_scorer_and_failures(spark):

@@ -101,3 +101,12 @@ def test_top_k_broadcast_and_fallback_agree(spark, monkeypatch):
     monkeypatch.setattr(SA, "MAX_BROADCAST_GROUPS", 1)   # beyond the bound: ordinary joins
     slow = sorted(r.review_id for r in SA.balance_corpus(df, target_per_lang=100).collect())
     assert fast == slow and len(fast) > 0
+
+
+def test_null_strata_are_kept(spark):
+    from aspectra.operators.sampling import sample_per_lang, split_train_val_test, stratified_kfold
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else "pos", None if i % 2 else "fr") for i in range(12)],
+                               "review_id long, polarity string, lang string")
+    assert split_train_val_test(df).count() == 12
+    assert stratified_kfold(df).count() == 12
+    assert sample_per_lang(df, 4).groupBy("lang").count().where("count = 4").count() == 2
