@@ -1,5 +1,70 @@
-"""DuckDB SQL of the dealt operators' queries, where SQL can express them."""
+"""DuckDB SQL of the dealt operators' queries, where it is written."""
 
 from __future__ import annotations
 
 ORACLE: dict[str, str] = {}
+
+_METRICS = [  # name, value, slack, both sides
+    ("symbols", "1000 * n_symbols // greatest(word_chars, 1)", 40, False),
+    ("dup_lines", "1000 * n_dup_lines // greatest(n_lines, 1)", 450, False),
+    ("repeats", "1000 * n_repeat_words // greatest(n_words, 1)", 300, False),
+    ("word_length", "100 * word_chars // greatest(n_words, 1)", 150, True),
+]
+
+
+def _quartiles(name: str, by: str) -> str:
+    keys = f"{by}, " if by else ""
+    part = f"PARTITION BY {keys}metric"
+    edge = "CASE WHEN {0} < 32 THEN {0} ELSE (32 + {0} % 32) << ({0} // 32 - 1) END"
+    return (f"{name}_b AS (SELECT {keys}metric, bucket, sum(n) AS n FROM sketch GROUP BY {keys}metric, bucket), "
+            f"{name}_c AS (SELECT *, sum(n) OVER ({part}) AS total, sum(n) OVER ({part} ORDER BY bucket) AS upto FROM {name}_b), "
+            f"{name}_q AS (SELECT {keys}metric, max(total) AS n, min(bucket) FILTER (upto * 4 >= total) AS b1, "
+            f"min(bucket) FILTER (upto * 4 >= 3 * total) AS b3 FROM {name}_c GROUP BY {keys}metric), "
+            f"{name} AS (SELECT {keys}metric, n, {edge.format('b1')} AS q1, {edge.format('b3')} AS q3 FROM {name}_q)")
+
+
+def _quality() -> str:
+    word, e = "[^\\x20\\x09-\\x0D]", "(length(bin(v)) - 1)"
+    values = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, CAST({v} AS BIGINT) AS v FROM stats WHERE n_words > 0" for m, v, _, _ in _METRICS)
+    ends, ok = [], []
+    for m, v, slack, both in _METRICS:
+        low = f"max(q1 - 6 * (q3 - q1) - {slack}) FILTER (metric = '{m}')" if both else "-1"
+        ends.append(f"{low} AS {m}_low, max(q3 + 6 * (q3 - q1) + {slack}) FILTER (metric = '{m}') AS {m}_high")
+        ok.append(f"{v} BETWEEN {m}_low AND {m}_high")
+    return (
+        "WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents), "
+        f"w AS (SELECT *, regexp_extract_all(t, '{word}+') AS ws FROM d), "
+        "tri AS (SELECT rid, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)), "
+        "twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS n FROM tri) WHERE n > 1), "
+        "rep AS (SELECT rid, sum(least(3, coalesce(nxt - i, 3))) AS n FROM (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS nxt FROM twice) GROUP BY rid), "
+        f"lines AS (SELECT rid, count(*) AS n, count(DISTINCT l) AS k FROM (SELECT rid, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '{word}') GROUP BY rid), "
+        "stats AS (SELECT w.rid, doc_id, lang, source, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars, "
+        "length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(lines.n, 0) AS n_lines, "
+        "coalesce(lines.n - lines.k, 0) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words "
+        "FROM w LEFT JOIN rep ON w.rid = rep.rid LEFT JOIN lines ON w.rid = lines.rid), "
+        f"vals AS ({values}), "
+        f"sketch AS (SELECT lang, source, metric, CASE WHEN v < 32 THEN v ELSE 32 * ({e} - 4) + (v >> ({e} - 5)) % 32 END AS bucket, count(*) AS n FROM vals GROUP BY ALL), "
+        + _quartiles("own", "lang, source") + ", " + _quartiles("bylang", "lang") + ", " + _quartiles("every", "") + ", "
+        "grid AS (SELECT own.lang, own.source, own.metric, "
+        + ", ".join(f"CASE WHEN own.n >= 100 THEN own.{q} WHEN bylang.n >= 100 THEN bylang.{q} ELSE every.{q} END AS {q}" for q in ("q1", "q3"))
+        + " FROM own JOIN bylang ON own.lang = bylang.lang AND own.metric = bylang.metric JOIN every ON own.metric = every.metric), "
+        f"ends AS (SELECT lang, source, {', '.join(ends)} FROM grid GROUP BY lang, source), "
+        "judged AS (SELECT stats.*, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, "
+        f"coalesce({' AND '.join(ok)}, false) AS fine FROM stats LEFT JOIN ends ON stats.lang = ends.lang AND stats.source = ends.source) "
+        "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND fine) AS kept FROM judged")
+
+
+ORACLE["op8_quality"] = _quality()
+
+_U = "(CAST('0x' || substr(md5(concat_ws('|', {})), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0"
+
+ORACLE["op1_mixing"] = (
+    "WITH sizes AS (SELECT coalesce(source, '') AS s, CAST(sum(coalesce(length(text), 0)) AS DOUBLE) AS size FROM documents GROUP BY 1), "
+    "weights AS (SELECT s, size, pow(size, 0.7) AS weight FROM sizes), "
+    "rates AS (SELECT s, (SELECT sum(size) FROM sizes) * weight / (SELECT sum(weight) FROM weights) / size AS rate FROM weights WHERE size > 0), "
+    "terms AS (SELECT s, k, exp(k * ln(rate) - rate - lgamma(k + 1)) AS p FROM (SELECT s, rate, unnest(range(0, CAST(ceil(rate + 12 * sqrt(rate) + 40) AS BIGINT) + 1)) AS k FROM rates)), "
+    "steps AS (SELECT s, k, sum(p) OVER (PARTITION BY s ORDER BY k) AS f FROM terms), "
+    f"docs AS (SELECT *, coalesce(source, '') AS s, {_U.format("'17', coalesce(source, ''), coalesce(CAST(doc_id AS VARCHAR), '')")} AS u FROM documents), "
+    "drawn AS (SELECT docs.*, (SELECT count(*) FROM steps WHERE steps.s = docs.s AND f < u) AS n FROM docs), "
+    "copies AS (SELECT *, unnest(range(1, n + 1)) AS copy FROM drawn) "
+    f"SELECT doc_id, text, lang, source, n_chars, copy, {_U.format("'17', 'order', s, coalesce(CAST(doc_id AS VARCHAR), ''), CAST(copy AS VARCHAR)")} AS shuffle_key FROM copies")
