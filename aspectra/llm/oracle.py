@@ -68,3 +68,36 @@ ORACLE["op1_mixing"] = (
     "drawn AS (SELECT docs.*, (SELECT count(*) FROM steps WHERE steps.s = docs.s AND f < u) AS n FROM docs), "
     "copies AS (SELECT *, unnest(range(1, n + 1)) AS copy FROM drawn) "
     f"SELECT doc_id, text, lang, source, n_chars, copy, {_U.format("'17', 'order', s, coalesce(CAST(doc_id AS VARCHAR), ''), CAST(copy AS VARCHAR)")} AS shuffle_key FROM copies")
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+
+
+def _shingles(words: str) -> str:
+    """Distinct 5-word shingles (the whole sequence if shorter) of (k, ws)."""
+    return (f"sh AS (SELECT DISTINCT k, CASE WHEN len(ws) < 5 THEN list_aggregate(ws, 'string_agg', ' ') ELSE list_aggregate(ws[i:i + 4], 'string_agg', ' ') END AS s "
+            f"FROM (SELECT k, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM {words} WHERE len(ws) > 0)), "
+            "size AS (SELECT k, count(*) AS n FROM sh GROUP BY k)")
+
+
+def _links(percent: int) -> str:
+    return ("common AS (SELECT a.k AS x, b.k AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.k < b.k GROUP BY a.k, b.k), "
+            f"links AS (SELECT x, y FROM common JOIN size m ON m.k = x JOIN size n ON n.k = y WHERE 100 * c >= {percent} * (m.n + n.n - c)), "
+            "both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links), "
+            "reach(x, y) AS (SELECT x, x FROM both_ways UNION SELECT reach.x, both_ways.y FROM reach JOIN both_ways ON reach.y = both_ways.x), "
+            "comp AS (SELECT x, min(y) AS root FROM reach GROUP BY x)")
+
+
+ORACLE["op3_minhash_forest"] = (
+    f"WITH RECURSIVE w AS (SELECT doc_id AS k, {_WORDS.format(_LOWER)} AS ws FROM documents), {_shingles('w')}, {_links(85)} "
+    "SELECT w.k AS doc_id, coalesce(size.n, 0) AS n_shingles, coalesce(root, w.k) AS component_id, coalesce(root, w.k) = w.k AS kept "
+    "FROM w LEFT JOIN size ON size.k = w.k LEFT JOIN comp ON comp.x = w.k")
+
+ORACLE["op10_paragraph_dedup"] = (
+    f"WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split({_LOWER}, chr(10))) AS line, generate_subscripts(string_split({_LOWER}, chr(10)), 1) - 1 AS place FROM documents), "
+    f"p AS (SELECT doc_id, place, doc_id * 1000000 + place AS k, {_WORDS.format('line')} AS ws FROM l), w AS (SELECT * FROM p WHERE len(ws) >= 25), "
+    f"{_shingles('w')}, {_links(80)}, "
+    "judged AS (SELECT w.doc_id, w.place, len(ws) AS n, coalesce(root, w.k) <> w.k AS gone FROM w LEFT JOIN comp ON comp.x = w.k) "
+    "SELECT d.doc_id, count(place) AS n_paragraphs, count(*) FILTER (gone) AS n_removed, CAST(coalesce(sum(n) FILTER (gone), 0) AS BIGINT) AS n_removed_words, "
+    "coalesce(string_agg(CAST(place AS VARCHAR), ',' ORDER BY place) FILTER (gone), '') AS removed "
+    "FROM documents d LEFT JOIN judged j ON j.doc_id = d.doc_id GROUP BY d.doc_id")
