@@ -400,3 +400,31 @@ def test_pipeline(spark, rows, tmp_path):
     got = corpus_pipeline.run(spark, folder).collect()
     assert got and {r["doc_id"] for r in got} <= set(want) and all(r["text"] == want[r["doc_id"]] for r in got)
     assert got[0].asDict().keys() == {"doc_id", "text", "lang", "source", "n_chars", "copy", "shuffle_key"}
+
+
+def _positive(expression):
+    """A text that the expression matches: each group's first choice."""
+    t = re.sub(r"\[(.)[^\]]*\]", r"\1", expression)
+    while (u := re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)?\)\??", r"\1", t)) != t:
+        t = u
+    return t
+
+
+def test_license_gates(spark):
+    """The gated scan equals the one that tries every rule, on a text for each."""
+    from aspectra.llm.license_scan import rules, scan
+    full = {f"  {'  '.join(_positive(r[5]).split())}  ": r for r in rules()}
+    assert all(re.search(r[5], t) and f" {r[3]} " in t and r[4] in t for t, r in full.items())
+    # the shortest match, without optional words
+    texts = sorted({" ".join(_positive(re.sub(r"\(\?:[^()]*\)\?", "", r[5])).split()) for r in rules()})
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: r for r in scan(df).collect()}
+    assert got == {r["doc_id"]: r for r in scan(df, gates=False).collect()}
+    assert all(r["n_detections"] for r in got.values())
+    cases = {"SPDX-License-Identifier: MPL-2.0": "mpl-2.0", "SPDX-License-Identifier: LGPL-2.1": "lgpl-2.1", "SPDX-License-Identifier: MIT": "mit",
+             "licensed under MIT": "mit", "Creative Commons Attribution 4.0": "cc-by-4.0", "Zero-Clause BSD": "0bsd", "released under the GPL": "gpl",
+             "Open Database License version 1.0": "odbl-1.0", "released under the PSF license": "python-2.0", "SPDX-License-Identifier: MIT-0": "mit-0",
+             "Permission is hereby granted, free of charge, to any person ... to whom the Software is furnished to do so, subject to the following "
+             "conditions: The above copyright notice": "mit"}
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    assert {r["doc_id"]: r["labels"] for r in scan(df).collect()} == dict(enumerate(cases.values()))
