@@ -1,7 +1,8 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 Fixed masks pick some of the words of a window and ignore the others, so a
-window still hits after a word in an ignored place was replaced.  Hashes of all
+window still hits after a word in an ignored place was replaced.  The masks of a
+window's length hit every pattern of substitutions that the comparison accepts.  Hashes of all
 windows of the benchmark and of the documents are joined; around each hit the
 words of item and document are compared on the hit's diagonal, and an overlap
 with few substitutions confirms it.  DataFrame functions only; the documents'
@@ -16,8 +17,13 @@ from pyspark.sql import functions as F
 from aspectra.llm.common import broadcast_checked
 from aspectra.session import cut_lineage
 
-#: 1: the word counts, 0: any word.  Two masks of weight 8.
-MASKS = ("11101011011", "110110011101")
+#: 1: the word counts, 0: any word.  By the words of a window: masks of which one, at
+#: some place in the window, meets none of the words that may differ, wherever these are
+#: (found by greedy cover, tested on all patterns).
+MASKS = {
+    5: ("1111", "11101", "11011", "10111"), 6: ("1111", "11011"), 7: ("11011",), 8: ("11011", "1111", "1100011"),
+    9: ("11101", "100111"), 10: ("11101", "1111"), 11: ("11101",), 12: ("11101", "10111"), 13: ("111011", "1100001011", "110111"),
+}
 WINDOW, EQUAL = 13, 0.75     # an overlap has a window of so many words of which this share is equal
 MIN_ITEM = 5                 # words of the shortest item that can be told from common phrases
 _SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -27,8 +33,9 @@ def _words(text: str):
     return F.filter(F.split(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), _SEPARATOR), lambda w: w != "")
 
 
-def _windows(words: str, masks: list[str]) -> Column:
-    """One hash array per mask: element i is the window that begins at word i."""
+def _windows(words: str, masks) -> Column:
+    """One hash array per mask: element i is the window that begins at word i.
+    ``words`` are the hashes of the words."""
     out = []
     for m in masks:
         at = [i for i, c in enumerate(m) if c == "1"]
@@ -45,19 +52,25 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     word of its passing windows, n_equal of them are equal.
 
     Words are lower-cased runs of letters, digits and non-ASCII characters.
-    Items of fewer words than a mask are looked up whole, those of fewer than
-    MIN_ITEM words never.  Null or empty texts match nothing; null ids are left
+    Items of fewer words than ``window`` are one window of their length, those of
+    fewer than MIN_ITEM words are never looked up.  ``masks`` holds the masks of
+    each length; MASKS is whole for the default window and share.  Null or empty texts match nothing; null ids are left
     out; rows that share an id count as one document."""
     items = (benchmark.select(F.col(item_col).alias("item_id"), _words(item_text).alias("iw")).where(f"size(iw) >= {MIN_ITEM}")
              .where("item_id is not null"))
     items = cut_lineage(items)
-    short = max(map(len, masks))
-    # at most `short` distinct lengths reach the driver
-    lengths = [r[0] for r in items.where(f"size(iw) < {short}").select(F.size("iw")).distinct().collect()]
-    used = [*masks, *("1" * n for n in sorted(lengths))]
-    seeds = items.select("item_id", F.explode(_windows("iw", used)).alias("s")).select("item_id", F.col("s.at").alias("iat"), "s.h").distinct()
+    hashed = lambda words: F.transform(words, lambda w: F.xxhash64(w))
+    length = F.least(F.size("iw"), F.lit(window))
+    # at most `window` distinct lengths reach the driver
+    lengths = sorted(r[0] for r in items.select(length).distinct().collect())
+    used = sorted({m for n in lengths for m in masks[n]})
+    own = F.array(*[F.when(length == n, _windows("ih", masks[n])) for n in lengths]) if lengths else F.array(_windows("ih", masks[window]))
+    seeds = (items.select("item_id", "iw", hashed("iw").alias("ih"))
+             .select("item_id", F.explode(F.flatten(F.filter(own, lambda x: x.isNotNull()))).alias("s"))
+             .select("item_id", F.col("s.at").alias("iat"), "s.h").distinct())
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), _words(text_col).alias("w"))
-    windows = texts.select("doc_id", F.explode(_windows("w", used)).alias("s")).select("doc_id", "s.at", "s.h")
+    found = _windows("h", used or masks[window])
+    windows = texts.select("doc_id", hashed("w").alias("h")).select("doc_id", F.explode(found).alias("s")).select("doc_id", "s.at", "s.h")
     hits = cut_lineage(windows.join(broadcast_checked(seeds), "h")
                        .select("doc_id", "item_id", (F.col("at") - F.col("iat")).alias("shift")).distinct())
     held = texts.join(broadcast_checked(hits.select("doc_id").distinct()), "doc_id", "left_semi")

@@ -428,3 +428,39 @@ def test_license_gates(spark):
              "conditions: The above copyright notice": "mit"}
     df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
     assert {r["doc_id"]: r["labels"] for r in scan(df).collect()} == dict(enumerate(cases.values()))
+
+
+def test_decontamination_masks():
+    """A mask misses no pattern of substitutions that the comparison accepts."""
+    from itertools import combinations
+
+    from aspectra.llm.decontamination import EQUAL, MASKS, MIN_ITEM, WINDOW
+    assert sorted(MASKS) == list(range(MIN_ITEM, WINDOW + 1))
+    for n in range(MIN_ITEM, 21):                            # items of n words
+        k = min(n, WINDOW)
+        hits = [{i + o for i, c in enumerate(m) if c == "1"} for m in MASKS[k] for o in range(n - len(m) + 1)]
+        for first in range(n - k + 1):                       # an accepted pattern has a window that is accepted
+            for bad in combinations(range(first, first + k), k - math.ceil(EQUAL * k)):
+                rest = set(range(first, first + k)) - set(bad)
+                assert any(h <= rest for h in hits)
+
+
+def test_decontamination_substitutions(spark):
+    """Items of 5 to 20 words, with all patterns or many, against brute force."""
+    from itertools import combinations
+
+    from aspectra.llm.decontamination import leaks_by_document
+    rnd = random.Random(4)
+    items = {n: [f"w{n}x{i}" for i in range(n)] for n in range(5, 21)}
+    docs, want = [], {}
+    for n, words in items.items():
+        k = min(n, 13)
+        patterns = [p for r in range(k - math.ceil(0.75 * k) + 2) for p in combinations(range(n), r)]
+        for bad in rnd.sample(patterns, min(len(patterns), 300)):
+            d = len(docs)
+            equal = [i not in bad for i in range(n)]
+            want[d] = any(sum(equal[i:i + k]) >= 0.75 * k for i in range(n - k + 1))
+            docs.append((d, "a b " + " ".join(w if e else f"z{d}" for w, e in zip(words, equal, strict=True)) + " c"))
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    got = leaks_by_document(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert {r["doc_id"]: r["contaminated"] for r in got} == want
