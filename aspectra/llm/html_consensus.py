@@ -1,10 +1,11 @@
 """Main text of web pages by consensus host paths.
 
-Every page proposes the path of its best container: the element with most text
-outside links, menus and other side matter.  Paths are generalised (digits in
-class names become ``*``), hosts count the votes in Spark, and all pages of a
-host are extracted again at the winning path.  A page without that path uses its
-own best container.
+Every page proposes the path of its best container: the innermost one that holds
+all text outside links, menus and other side matter (of the article or main
+elements if there are any); the document itself counts as one.  Paths are
+generalised (digits in class names become ``*``), hosts count the votes in Spark,
+and all pages of a host are extracted again at the winning path.  A page on which
+that path leaves out text of its own best container uses the latter.
 """
 
 from __future__ import annotations
@@ -65,7 +66,7 @@ class Page:
 
     def __init__(self, source: str):
         self.blocks: list[tuple[str, tuple[int, ...], int]] = []        # text, containers, characters in links
-        self.paths: list[str] = []                                      # path of each container
+        self.paths: list[str] = [""]                                    # path of each container; 0 is the document
         stack: list[tuple[str, bool, int]] = []                         # name, side matter from here, container or -1
         text: list[str] = []
         linked, side, in_link, at = 0, 0, 0, 0
@@ -74,7 +75,7 @@ class Page:
             nonlocal linked
             words = " ".join(html.unescape("".join(text)).split())
             if words:
-                self.blocks.append((words, tuple(c for _, _, c in stack if c >= 0), linked))
+                self.blocks.append((words, (0, *(c for _, _, c in stack if c >= 0)), linked))
             text.clear()
             linked = 0
 
@@ -174,29 +175,34 @@ class Page:
             pop()
         close_block()
 
+    def _prose(self) -> dict[str, set[int]]:
+        """By path, outer ones first: numbers of the blocks inside that are not mostly links."""
+        held: dict[str, set[int]] = {p: set() for p in self.paths}
+        for i, (words, around, links) in enumerate(self.blocks):
+            if len(words) > 2 * links:
+                for c in around:
+                    held[self.paths[c]].add(i)
+        return held
+
     def best(self) -> tuple[str, int] | None:
-        """Path and text of the deepest container that holds most of the page's text
-        outside links (an article or main element first)."""
-        score = [0] * len(self.paths)
-        for words, around, links in self.blocks:
-            for c in around:
-                score[c] += max(0, len(words) - 2 * links)
-        named = [c for c, p in enumerate(self.paths) if re.search(r"(?:^|/)(?:article|main)[^/]*$", p) and score[c]]
-        pick = named or [c for c in range(len(self.paths)) if score[c]]
-        if not pick:
+        """Path and text of the innermost container that holds all text outside links
+        (that of the article and main elements, if there is any)."""
+        if not self.blocks:
             return None
-        top = max(score[c] for c in pick)
-        c = max(c for c in pick if score[c] * 10 >= top * 8)
-        c = max((x for x in pick if self.paths[x] == self.paths[c]), key=lambda x: score[x])
-        return self.paths[c], score[c]
+        held = self._prose()
+        named = set().union(*(b for p, b in held.items() if re.search(r"(?:^|/)(?:article|main)[^/]*$", p)))
+        need = named or held[""]
+        path = [p for p in held if held[p] >= need][-1] if need else ""
+        return path, sum(len(self.blocks[i][0]) - 2 * self.blocks[i][2] for i in held[path])
 
     def extract(self, path: str | None) -> str:
-        """Blocks inside the elements at the path, else inside the best container."""
+        """Blocks inside the elements at the path, or inside the best container if the
+        path leaves out text of it."""
+        own, held = self.best(), self._prose()
+        if own and (path not in held or not held[path] >= held[own[0]]):
+            path = own[0]
         inside = {c for c, p in enumerate(self.paths) if p == path}
-        out = [words for words, around, _ in self.blocks if not inside.isdisjoint(around)]
-        if not out and (own := self.best()) and own[0] != path:
-            return self.extract(own[0])
-        return "\n".join(out)
+        return "\n".join(words for words, around, _ in self.blocks if not inside.isdisjoint(around))
 
 
 def _votes(pages: DataFrame) -> DataFrame:
@@ -207,7 +213,7 @@ def _votes(pages: DataFrame) -> DataFrame:
             votes: dict = {}
             for host, source in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
                 own = Page(source or "").best()
-                if own:
+                if own and own[1]:
                     votes[host, own[0]] = votes.get((host, own[0]), 0) + own[1]
             if votes:
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in votes]), pa.array([k[1] for k in votes]),

@@ -464,3 +464,15 @@ def test_decontamination_substitutions(spark):
     bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
     got = leaks_by_document(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
     assert {r["doc_id"]: r["contaminated"] for r in got} == want
+
+
+def test_html_keeps_whole_text(spark):
+    from aspectra.llm.html_consensus import main_texts
+    long = " ".join(_words(random.Random(1), 200))
+    page = f"<body><div class=w><p>lead</p><div class=inner><p>{long}</p></div><p>end</p></div><div><a href=/>home</a></div><nav>n</nav></body>"
+    plain = f"<body><div class=w><div class=inner><p>{long} 2</p></div></div><p>outside"
+    rows = [(11, "http://k.org", "<p>only</p"), (12, "http://l.org", "<p><a href=/>all of it is a link</a></p>"),
+            (13, "http://m.org/1", page), (14, "http://m.org/2", page), (15, "http://m.org/3", plain),
+            (16, "http://m.org/4", "<body><div class=w><p>few</p></div><article><h1>t</h1><p>own text</p></article></body>")]
+    got = {r["page_id"]: r["text"] for r in main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {11: "only", 12: "all of it is a link", 13: f"lead\n{long}\nend", 14: f"lead\n{long}\nend", 15: f"{long} 2\noutside", 16: "t\nown text"}
