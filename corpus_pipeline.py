@@ -25,12 +25,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id; rows
-    that share an id with an equal row before them go as well."""
+    """Of each group of near duplicates the document with the smallest id; rows equal
+    in all columns to one before them go as well, rows that share only the id stay."""
     kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
     rows = docs.select(F.struct("*").alias("_row"))
-    with_id = rows.where("_row.doc_id is not null").join(kept, F.col("_row.doc_id") == F.col("_id"), "left_semi")
-    with_id = with_id.select("_row", F.col("_row.doc_id").alias("_id")).dropDuplicates(["_id"]).select("_row")
+    with_id = rows.where("_row.doc_id is not null").join(kept, F.col("_row.doc_id") == F.col("_id"), "left_semi").distinct()
     return with_id.union(rows.where("_row.doc_id is null")).select("_row.*")
 
 

@@ -476,3 +476,12 @@ def test_html_keeps_whole_text(spark):
             (16, "http://m.org/4", "<body><div class=w><p>few</p></div><article><h1>t</h1><p>own text</p></article></body>")]
     got = {r["page_id"]: r["text"] for r in main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {11: "only", 12: "all of it is a link", 13: f"lead\n{long}\nend", 14: f"lead\n{long}\nend", 15: f"{long} 2\noutside", 16: "t\nown text"}
+
+
+def test_pipeline_keeps_texts_under_one_id(spark):
+    """Rows equal in all columns are one, others that share an id stay."""
+    import corpus_pipeline
+    rows = [(1, "one text about this", "en"), (1, "quite another one, not alike", "de"), (1, "one text about this", "en"), (2, "a third", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, df, "").collect())
+    assert got == [(1, rows[0][1]), (1, rows[1][1]), (2, "a third")]
