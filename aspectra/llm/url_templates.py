@@ -3,9 +3,10 @@
 The path of a page without a rule is generalised to a template: segments that
 look like numbers or ids become ``*``, and so do segments at a place of the tree
 that has nearly as many different children as pages.  Sibling branches whose
-labelled shares do not differ significantly are merged.  A template is rejected
-if its smoothed share of bad labels is high.  Labels are the pages that a rule
-decides, or any column.
+labelled shares do not differ significantly are merged.  A template without
+labels takes the share of its labelled siblings, else of its nearest labelled
+ancestor.  A template is rejected if its smoothed share of bad labels is high.
+Labels are the pages that a rule decides, or any column.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from aspectra.llm.common import broadcast_checked
 from aspectra.session import cut_lineage
 
 # FIXED VALUES: (verdict, host, path) of the base rules.
@@ -20,7 +22,6 @@ RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
          ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 MANY_CHILDREN, CHILD_SHARE = 50, 0.3     # a place with so many children, and so many per page, is variable
-DEPTH = 4                                # levels that are generalised by their children's number
 SIMILAR_Z = 2.0                          # siblings within so many deviations of their common share are merged
 SMOOTHING, REJECT = 4.0, 0.8             # weight of the overall share, and the share from which a template is rejected
 
@@ -53,7 +54,12 @@ def _lexical(s: Column) -> Column:
 def templates(pages: DataFrame) -> DataFrame:
     """Adds ``template`` (an array of segments) to rows with host and path."""
     df = pages.withColumn("template", F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), _lexical))
-    for level in range(DEPTH):
+    # a place with MANY_CHILDREN has as many templates of its host below its level
+    size = df.select("host", "template").distinct().groupBy("host", F.size("template").alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    levels = (size.where("size > 0").select("host", "n", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("level"))
+              .groupBy("host", "level").agg(F.sum("n").alias("n")).where(F.col("n") >= MANY_CHILDREN))
+    deepest = levels.agg(F.max("level")).first()[0]
+    for level in range(0 if deepest is None else deepest + 1):
         # children of each place of the tree; counted before joining, so a hot host is a few rows
         place = F.concat_ws("/", F.slice("template", 1, level)) if level else F.lit("")
         at = df.where(F.size("template") > level).select("host", place.alias("place"), F.get("template", F.lit(level)).alias("child"))
@@ -71,15 +77,19 @@ def templates(pages: DataFrame) -> DataFrame:
     return df
 
 
+def _with_parent(df: DataFrame) -> DataFrame:
+    """Adds ``parent``: the template with its last literal segment replaced by a mark."""
+    last = F.expr("coalesce(array_max(transform(template, (s, i) -> if(startswith(s, '*'), -1, i))), -1)")
+    return (df.withColumn("last", last)
+            .withColumn("parent", F.concat_ws("/", F.expr("transform(template, (s, i) -> if(i = last, '<>', s))"))))
+
+
 def tree(labelled: DataFrame, z: float = SIMILAR_Z, smoothing: float = SMOOTHING) -> DataFrame:
     """(host, template, n, n_bad, purity): templates with labels.  Siblings are the
     templates of a host that agree except in their last literal segment; the
     counts of siblings near their common share are pooled."""
     counts = (labelled.groupBy("host", "template").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("n_bad")))
-    # the last literal segment, replaced by a mark, names the parent
-    last = F.expr("coalesce(array_max(transform(template, (s, i) -> if(startswith(s, '*'), -1, i))), -1)")
-    counts = cut_lineage(counts.withColumn("last", last).withColumn(
-        "parent", F.concat_ws("/", F.expr("transform(template, (s, i) -> if(i = last, '<>', s))"))))
+    counts = cut_lineage(_with_parent(counts))
     total = counts.agg(F.sum("n").alias("all_n"), F.sum("n_bad").alias("all_bad"))
     common = counts.groupBy("host", "parent").agg((F.sum("n_bad") / F.sum("n")).alias("p"))
     df = counts.join(common, ["host", "parent"])
@@ -93,14 +103,35 @@ def tree(labelled: DataFrame, z: float = SIMILAR_Z, smoothing: float = SMOOTHING
     return df.select("host", "template", n.alias("n"), bad.alias("n_bad"), ((bad + smoothing * share) / (n + smoothing)).alias("purity"))
 
 
+def inherited(wanted: DataFrame, labelled: DataFrame, z: float = SIMILAR_Z, smoothing: float = SMOOTHING) -> DataFrame:
+    """(host, template, purity) of templates without labels: the smoothed share of
+    their labelled siblings that are alike, else of all labelled templates below the
+    longest common prefix, at last of the host.  Hosts without labels are left out."""
+    counts = cut_lineage(labelled.groupBy("host", "template").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("n_bad")))
+    total = counts.agg((F.sum("n_bad") / F.sum("n")).alias("share"))
+    # alike siblings have one pooled count, which is the parent's largest
+    siblings = _with_parent(tree(labelled, z, smoothing)).where("last >= 0").groupBy("host", "parent").agg(
+        F.max(F.struct("n", "purity")).alias("m")).select("host", F.concat(F.lit("<>/"), "parent").alias("key"), F.col("m.purity").alias("purity"))
+    prefix = lambda i: F.concat_ws("/", F.lit("^"), F.slice("template", 1, i))
+    keys = F.transform(F.sequence(F.lit(0), F.size("template")), prefix)
+    above = (counts.select("host", "n", "n_bad", F.explode(keys).alias("key")).groupBy("host", "key")
+             .agg(F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad")).join(F.broadcast(total))
+             .select("host", "key", ((F.col("n_bad") + smoothing * F.col("share")) / (F.col("n") + smoothing)).alias("purity")))
+    near = _with_parent(wanted).select(
+        "host", "template", F.explode(F.concat(F.transform(keys, lambda k, i: F.struct(i.alias("rank"), k.alias("key"))), F.array(
+            F.struct((F.size("template") + 1).alias("rank"), F.concat(F.lit("<>/"), "parent").alias("key"))))).alias("k"))
+    return (near.select("host", "template", "k.rank", "k.key").join(broadcast_checked(above.union(siblings)), ["host", "key"])
+            .groupBy("host", "template").agg(F.max(F.struct("rank", "purity")).alias("m")).select("host", "template", F.col("m.purity").alias("purity")))
+
+
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, label_col: str | None = None,
                 reject: float = REJECT) -> DataFrame:
     """One row per row of ``pages``: page_id, host, path, rule, verdict, template,
     purity.
 
     The longest fitting rule decides.  Other pages are blocked if their
-    template's smoothed share of bad labels reaches ``reject`` and allowed else;
-    a template without labels has no purity and is allowed.  ``label_col`` (1
+    template's smoothed share of bad labels, its own or inherited, reaches
+    ``reject`` and allowed else; a host without labels has no purity and is allowed.  ``label_col`` (1
     bad, 0 good, null none) replaces the labels that the rules give.  A null URL
     or one without '://' has '' as host and path.  Repeated rows are judged
     alike; other columns are ignored; an empty table gives an empty result."""
@@ -113,7 +144,10 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     if not label_col:
         df = df.withColumn("bad", F.when(F.col("by_rule").isNotNull(), (F.col("by_rule") == "block").cast("long")))
     df = cut_lineage(templates(df))
-    found = tree(df.where("bad is not null").select("host", "template", "bad")).select("host", "template", "purity")
+    labelled = df.where("bad is not null").select("host", "template", "bad")
+    found = cut_lineage(tree(labelled).select("host", "template", "purity"))
+    wanted = df.where("by_rule is null").select("host", "template").distinct().join(found, ["host", "template"], "left_anti")
+    found = found.union(inherited(wanted, labelled))
     verdict = F.coalesce("by_rule", F.when(F.col("purity") >= reject, F.lit("block")).otherwise(F.lit("allow")))
     return (df.join(found, ["host", "template"], "left")
             .select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.concat_ws("/", "template").alias("template"),

@@ -485,3 +485,18 @@ def test_pipeline_keeps_texts_under_one_id(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
     got = sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, df, "").collect())
     assert got == [(1, rows[0][1]), (1, rows[1][1]), (2, "a third")]
+
+
+def test_url_rule_labels_decide(spark):
+    """Labels of the rules alone block and allow pages that no rule decides; deep slugs are generalised."""
+    from aspectra.llm.url_templates import filter_urls
+    urls = [f"http://bad.net/{x}/{i}" for i in range(40) for x in ("es", "fr")] + ["http://bad.net/pt/1", "http://bad.net/pt/a/b", "http://bad.net/"]
+    urls += [f"http://www.example.com/en/{i}" for i in range(40)] + ["http://few.net/es/1", "http://few.net/en/1", "http://free.org/en/1"]
+    deep = [f"http://free.org/a/b/c/d/e/name{chr(97 + i % 26)}{chr(97 + i // 26)}/x" for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(urls + deep)), "page_id long, url string")
+    got = {r["page_id"]: r for r in filter_urls(df).collect()}
+    assert len(got) == len(urls + deep)
+    judged = {urls[i]: got[i]["verdict"] for i in range(len(urls)) if got[i]["rule"] is None and got[i]["purity"] is not None}
+    assert judged == {"http://bad.net/pt/1": "block", "http://bad.net/pt/a/b": "block", "http://bad.net/": "block", "http://few.net/en/1": "allow"}
+    assert got[len(urls) - 1]["purity"] is None and got[len(urls) - 1]["verdict"] == "allow"
+    assert {got[i]["template"] for i in range(len(urls), len(got))} == {"a/b/c/d/e/*/x"}
