@@ -101,3 +101,13 @@ ORACLE["op10_paragraph_dedup"] = (
     "SELECT d.doc_id, count(place) AS n_paragraphs, count(*) FILTER (gone) AS n_removed, CAST(coalesce(sum(n) FILTER (gone), 0) AS BIGINT) AS n_removed_words, "
     "coalesce(string_agg(CAST(place AS VARCHAR), ',' ORDER BY place) FILTER (gone), '') AS removed "
     "FROM documents d LEFT JOIN judged j ON j.doc_id = d.doc_id GROUP BY d.doc_id")
+
+ORACLE["op11_line_dedup"] = (
+    "WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), "
+    "l AS (SELECT rid, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d), "
+    "k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), "
+    "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l), "
+    "common AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT rid) >= 10) "
+    "SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (common.key IS NOT NULL) AS n_dropped, "
+    "sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (common.key IS NULL), '')) AS kept_sha256 "
+    "FROM k LEFT JOIN common ON common.key = k.key GROUP BY rid")

@@ -77,3 +77,9 @@ def op9(spark, sf_dir):
 def op7(spark, sf_dir):
     from aspectra.llm.html_consensus import main_texts
     return main_texts(table(spark, sf_dir, "pages"))
+
+
+@query("op11_line_dedup")
+def op11(spark, sf_dir):
+    from aspectra.llm.line_dedup import line_report
+    return line_report(table(spark, sf_dir, "documents"))
