@@ -111,3 +111,38 @@ ORACLE["op11_line_dedup"] = (
     "SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (common.key IS NOT NULL) AS n_dropped, "
     "sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (common.key IS NULL), '')) AS kept_sha256 "
     "FROM k LEFT JOIN common ON common.key = k.key GROUP BY rid")
+
+
+def _merkle() -> str:
+    """Nodes level by level, then every leaf's siblings, and the folded roots step by step."""
+    def field(c):
+        return f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
+
+    def leaf(text):
+        return "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    crc = ("xor(list_reduce(list_transform(range(1, length(k) + 1), lambda i: CAST(ascii(k[i]) AS BIGINT)), lambda c, b: "
+           "list_reduce(range(0, 8), lambda x, y: xor(x >> 1, (x & 1) * 3988292384), xor(c, b)), 4294967295), 4294967295)")
+    up = ("SELECT {g}, level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), CAST((n + 2) // 3 AS BIGINT) FROM {t} WHERE n > 1 GROUP BY {g}, level, n, i // 3")
+    return (
+        "WITH RECURSIVE d AS (SELECT *, CAST(doc_id AS VARCHAR) AS k, coalesce('s' || source, '') AS tree FROM documents), "
+        f"x AS (SELECT tree, doc_id, {leaf('text')} AS leaf, CASE WHEN {crc} % 2 = 0 THEN {leaf('replace(text, chr(10), chr(0))')} ELSE {leaf('text')} END AS other FROM d), "
+        "p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM x), "
+        "low(tree, level, i, h, n) AS (SELECT tree, 0, i, leaf, n FROM p UNION ALL " + up.format(g="tree", t="low") + "), "
+        "subs AS (SELECT tree, level AS height, h AS subroot, row_number() OVER (ORDER BY encode(tree)) - 1 AS i, count(*) OVER () AS n FROM low WHERE n = 1), "
+        "high(level, i, h, n) AS (SELECT 0, i, subroot, n FROM subs UNION ALL " + up.format(g="", t="high").replace("SELECT ,", "SELECT").replace("BY ,", "BY") + "), "
+        # every leaf's ancestors: place within the level, over both trees
+        "way AS (SELECT p.tree, p.i AS spot, l AS step, 'low' AS part, l AS level, p.i // CAST(pow(3, l) AS BIGINT) AS i FROM p JOIN subs USING (tree), range(0, 40) r(l) WHERE l < height "
+        "UNION ALL SELECT p.tree, p.i, height + l, 'high', l, subs.i // CAST(pow(3, l) AS BIGINT) FROM p JOIN subs USING (tree), range(0, 40) r(l) WHERE l < (SELECT max(level) FROM high)), "
+        "node AS (SELECT 'low' AS part, tree, level, i, h FROM low UNION ALL SELECT 'high', '', level, i, h FROM high), "
+        "beside AS (SELECT w.tree, w.spot, w.step, coalesce(string_agg(o.h, '' ORDER BY o.i) FILTER (o.i < w.i), '') AS l, coalesce(string_agg(o.h, '' ORDER BY o.i) FILTER (o.i > w.i), '') AS r "
+        "FROM way w JOIN node o ON o.part = w.part AND o.level = w.level AND o.i // 3 = w.i // 3 AND o.tree = CASE WHEN w.part = 'low' THEN w.tree ELSE '' END GROUP BY ALL), "
+        "fold(tree, spot, step, h) AS (SELECT tree, i, CAST(0 AS BIGINT), other FROM p UNION ALL SELECT f.tree, f.spot, f.step + 1, sha256(b.l || f.h || b.r) FROM fold f JOIN beside b ON b.tree = f.tree AND b.spot = f.spot AND b.step = f.step), "
+        "folded AS (SELECT tree, spot, arg_max(h, step) AS folded_root FROM fold GROUP BY tree, spot), "
+        "proof AS (SELECT tree, spot, sha256(string_agg(l || r, '' ORDER BY step)) AS proof_sha256 FROM beside GROUP BY tree, spot) "
+        "SELECT p.doc_id, p.leaf, subs.subroot, high.h AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = high.h AS verified "
+        "FROM p JOIN subs USING (tree) JOIN high ON high.n = 1 JOIN folded ON folded.tree = p.tree AND folded.spot = p.i LEFT JOIN proof ON proof.tree = p.tree AND proof.spot = p.i"
+    ).replace("chr(0)", "''")
+
+
+ORACLE["op12_merkle_manifest"] = _merkle()

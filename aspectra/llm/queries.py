@@ -83,3 +83,9 @@ def op7(spark, sf_dir):
 def op11(spark, sf_dir):
     from aspectra.llm.line_dedup import line_report
     return line_report(table(spark, sf_dir, "documents"))
+
+
+@query("op12_merkle_manifest")
+def op12(spark, sf_dir):
+    from aspectra.llm.merkle import tamper_report
+    return tamper_report(table(spark, sf_dir, "documents"))
