@@ -89,3 +89,9 @@ def op11(spark, sf_dir):
 def op12(spark, sf_dir):
     from aspectra.llm.merkle import tamper_report
     return tamper_report(table(spark, sf_dir, "documents"))
+
+
+@query("op13_conversation_repair")
+def op13(spark, sf_dir):
+    from aspectra.llm.conversation_repair import repair_report
+    return repair_report(table(spark, sf_dir, "conversations"))
