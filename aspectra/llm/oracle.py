@@ -146,3 +146,45 @@ def _merkle() -> str:
 
 
 ORACLE["op12_merkle_manifest"] = _merkle()
+
+
+def _repair() -> str:
+    """The cheapest edits row by row: for each state the least (cost, letters)."""
+    key = "(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))"
+    crc = (f"xor(list_reduce(list_transform(range(1, length({key}) + 1), lambda i: CAST(ascii({key}[i]) AS BIGINT)), lambda c, b: "
+           "list_reduce(range(0, 8), lambda x, y: xor(x >> 1, (x & 1) * 3988292384), xor(c, b)), 4294967295), 4294967295)")
+    white = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return (
+        # insertions before a row, then its own edit: letters, cost, text put in, how the own role comes out
+        "WITH RECURSIVE nxt(p, q, role) AS (VALUES (0, 2, 'user:'), (1, 2, 'user:'), (2, 3, 'assistant:'), (3, 2, 'user:')), "
+        "keeps(p, mark, q) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)), "
+        "ins(p, k, q, word, body) AS (SELECT p, 0, p, '', '' FROM nxt UNION ALL "
+        "SELECT ins.p, k + 1, nxt.q, word || 'I', body || chr(10) || nxt.role FROM ins JOIN nxt ON nxt.p = ins.q WHERE k < 2), "
+        "step AS (SELECT p, CAST(NULL AS VARCHAR) AS mark, q, word || 'D' AS word, 5 * k + 2 AS cost, body, CAST(NULL AS VARCHAR) AS role, 'D' AS kind FROM ins "
+        "UNION ALL SELECT ins.p, NULL, nxt.q, word || 'R', 5 * k + 1, body || chr(10), nxt.role, 'R' FROM ins JOIN nxt ON nxt.p = ins.q "
+        "UNION ALL SELECT ins.p, keeps.mark, keeps.q, word || 'K', 5 * k, body || chr(10), NULL, 'K' FROM ins JOIN keeps ON keeps.p = ins.q), "
+        f"raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc} % 20 AS kind FROM conversations), "
+        "bad AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, "
+        "unnest(range(0, CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM raw), "
+        "ids AS (SELECT row_number() OVER () AS c, conv_id FROM (SELECT DISTINCT conv_id FROM conversations)), "
+        "seq AS (SELECT c, turn, role, text, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM bad JOIN ids ON ids.conv_id IS NOT DISTINCT FROM bad.conv_id), "
+        f"bare AS (SELECT *, rtrim(text, {white}) AS b, row_number() OVER (PARTITION BY c, role, text ORDER BY i) AS nth, "
+        "left(lag(role) OVER (PARTITION BY c ORDER BY i), 1) || left(role, 1) AS pair FROM seq), "
+        "rows_ AS (SELECT *, CASE WHEN b = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(b, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM bare), "
+        "facts AS (SELECT c, count(*) AS n, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (fault = 'blank') AS blank, "
+        "count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, "
+        "count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM rows_ GROUP BY c), "
+        "dp(c, i, state, best) AS (SELECT c, CAST(0 AS BIGINT), 0, {'cost': 0, 'word': '', 'body': ''} FROM ids UNION ALL "
+        "SELECT dp.c, r.i, step.q, min({'cost': best.cost + step.cost + CASE WHEN fault = 'truncated' AND kind <> 'D' THEN 5 ELSE 0 END, 'word': best.word || step.word, "
+        "'body': best.body || step.body || CASE kind WHEN 'D' THEN '' WHEN 'R' THEN step.role || text ELSE r.role || ':' || text END}) "
+        "FROM dp JOIN rows_ r ON r.c = dp.c AND r.i = dp.i + 1 JOIN step ON step.p = dp.state "
+        "AND (kind = 'D' OR fault NOT IN ('blank', 'duplicate') AND (kind = 'R' OR step.mark = left(r.role, 1))) GROUP BY dp.c, r.i, step.q), "
+        "ends(state, cost, word, body) AS (VALUES (0, 0, '', ''), (1, 10, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (2, 5, 'I', chr(10) || 'assistant:'), (3, 0, '', '')), "
+        "done AS (SELECT dp.c, min({'cost': best.cost + ends.cost, 'word': best.word || ends.word, 'body': best.body || ends.body}) AS best "
+        "FROM dp JOIN ends ON ends.state = dp.state LEFT JOIN facts ON facts.c = dp.c WHERE dp.i = coalesce(n, 0) GROUP BY dp.c) "
+        "SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, "
+        "coalesce(illegal, 0) AS illegal, CAST(best.cost AS BIGINT) AS cost, best.word AS audit, sha256(substr(best.body, 2)) AS repaired_sha256 "
+        "FROM ids JOIN done ON done.c = ids.c LEFT JOIN facts ON facts.c = ids.c")
+
+
+ORACLE["op13_conversation_repair"] = _repair()
