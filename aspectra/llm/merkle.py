@@ -153,10 +153,13 @@ def trees(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def member_paths(rows: DataFrame, *more: str) -> DataFrame:
     """A row a member of ``trees``: ``member``, ``top``, ``path`` (the siblings of its leaf's
-    ancestors up to the root of the tree) and further columns."""
-    rows = rows.select("tree", "top", "levels", F.col("path").alias("upper"), *more, F.explode("members").alias("member"))
-    inside = F.pmod(F.col("member.at"), F.lit(FANOUT ** DEPTH))
-    return rows.select("tree", "top", "member", F.concat(_siblings(F.col("levels"), inside), "upper").alias("path"), *more)
+    ancestors up to the root of the tree) and further columns.  The paths are put
+    together inside the partition's row, so its levels aren't copied for every member."""
+    def with_path(m):
+        inside = F.pmod(m["at"], F.lit(FANOUT ** DEPTH))
+        return F.struct(m.alias("member"), F.concat(_siblings(F.col("levels"), inside), F.col("path")).alias("path"))
+
+    return rows.select("tree", "top", *more, F.inline(F.transform("members", with_path)))
 
 
 def fold(leaf: Column, path: Column) -> Column:
