@@ -15,8 +15,9 @@ from aspectra.session import scratch_path
 
 
 def opinion_frame(spark: SparkSession, sf: str) -> DataFrame:
-    """One sentence per document with two opinions; bucket 4 holds only
-    'conflict' opinions (its files need the whole-text fallback)."""
+    """One sentence per document with two opinions, the second one nested deeper for
+    every other document; bucket 4 holds only 'conflict' opinions (its files need the
+    whole-text fallback)."""
     r = fx.reviews(spark, sf)
     doc = F.col("review_id")
     bucket = (doc % 5).cast("int")
@@ -27,8 +28,16 @@ def opinion_frame(spark: SparkSession, sf: str) -> DataFrame:
                   p1.alias("_polarity"))
     o2 = F.struct(fx._pick(fx.RAW_ASPECTS, (doc + 5) % 12 + 1).alias("_target"),
                   F.lit(None).cast("string").alias("_category"), p2.alias("_polarity"))
-    return r.select(bucket.alias("bucket"), doc.cast("string").alias("_id"), "text",
-                    F.struct(F.array(o1, o2).alias("Opinion")).alias("Opinions"))
+    deep = doc % 2 == 1
+    group = F.when(deep, F.struct(F.struct(F.array(o2).alias("Opinion")).alias("Part")))
+    flat = F.when(deep, F.array(o1)).otherwise(F.array(o1, o2))
+    return r.select(bucket.alias("bucket"), _file_no(doc), doc.cast("string").alias("_id"), "text",
+                    F.struct(flat.alias("Opinion"), group.alias("Group")).alias("Opinions"))
+
+
+def _file_no(doc) -> F.Column:
+    """Spreads the rows of a bucket or source over files of some hundred documents."""
+    return (F.floor(doc / 200) % 32).cast("int").alias("_file_no")
 
 
 def term_frame(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,12 +51,13 @@ def term_frame(spark: SparkSession, sf: str) -> DataFrame:
     pol = F.when(src == "en_conflicts", F.lit("conflict")).otherwise(F.col("polarity_raw"))
     t = F.struct(F.col("aspect_raw").alias("_term"), pol.alias("_polarity"))
     terms = F.when(doc % 7 == 0, F.lit(None)).otherwise(F.struct(F.array(t).alias("aspectTerm")))
-    return r.select(src.alias("src"), doc.cast("string").alias("_id"), "text", terms.alias("aspectTerms"))
+    return r.select(src.alias("src"), _file_no(doc), doc.cast("string").alias("_id"), "text", terms.alias("aspectTerms"))
 
 
-def write_xml(df: DataFrame, path: str, part_col: str, root_tag: str) -> str:
-    (df.repartition(part_col).write.mode("overwrite").partitionBy(part_col).format("xml")
-       .option("rootTag", root_tag).option("rowTag", "sentence").save(path))
+def write_xml(df: DataFrame, path: str, part_col: str, root_tag: str, row_tag: str = "sentence") -> str:
+    """A folder per value of ``part_col``, its rows dealt over files."""
+    (df.repartition(part_col, "_file_no").drop("_file_no").write.mode("overwrite").partitionBy(part_col).format("xml")
+       .option("rootTag", root_tag).option("rowTag", row_tag).save(path))
     return path
 
 
@@ -57,8 +67,13 @@ def opinion_xml(spark: SparkSession, sf: str, path: str | None = None) -> str:
 
 
 def term_xml(spark: SparkSession, sf: str, path: str | None = None) -> str:
+    """The term layout; some files of the laptops are in the older one without sentences."""
     path = path or scratch_path(spark, "term-xml")
-    return write_xml(term_frame(spark, sf), path, "src", "sentences")
+    rows = term_frame(spark, sf)
+    old = (F.col("src") == "en_laptops") & (F.col("_file_no") % 4 == 3)
+    write_xml(rows.where(~old), f"{path}/new", "src", "sentences")
+    write_xml(rows.where(old), f"{path}/old", "src", "reviews", "review")
+    return path
 
 
 CSV_LABELS = ["positive", " pos ", "negative", "NEG", "neutral", "neu", "other", "Positive"]
@@ -80,3 +95,33 @@ def labelled_csv(spark: SparkSession, sf: str, path: str | None = None) -> str:
      .option("escape", '"').option("ignoreLeadingWhiteSpace", False)
      .option("ignoreTrailingWhiteSpace", False).csv(path))
     return path
+
+
+#: charset of the writer for each encoding; the text goes out byte for byte
+CSV_ENCODINGS = ["utf-8", "windows-1251", "iso-8859-1"]
+
+
+def mixed_csv(spark: SparkSession, sf: str, path: str | None = None) -> str:
+    """The labelled CSV as files in three encodings, by document.  Texts are cut to what
+    their encoding can hold; every file holds a letter that tells it from the others."""
+    from aspectra.sources.csv import _UPPER_1251, _UPPER_LATIN
+    path = path or scratch_path(spark, "mixed-csv")
+    rows = mixed_csv_frame(spark, sf)
+    for i, encoding in enumerate(CSV_ENCODINGS):
+        part = rows.where(F.col("id") % 3 == i)
+        if encoding == "windows-1251":
+            # written as the characters whose ISO-8859-1 bytes are those of windows-1251
+            part = part.withColumn("Text", F.translate("Text", _UPPER_1251, _UPPER_LATIN))
+        (part.write.mode("append").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+         .option("ignoreTrailingWhiteSpace", False).option("encoding", "UTF-8" if i == 0 else "ISO-8859-1").csv(path))
+    return path
+
+
+MIXED_MARKS = ["Это é", "жук", "déjà \u0098"]
+
+
+def mixed_csv_frame(spark: SparkSession, sf: str) -> DataFrame:
+    """The labelled CSV with ASCII texts, each led by letters of its file's encoding."""
+    mark = fx._pick(MIXED_MARKS, F.col("id") % 3 + 1)
+    bare = F.regexp_replace("Text", r"[^\x00-\x7F]", "")
+    return labelled_csv_frame(spark, sf).withColumn("Text", F.concat(mark, F.lit(" "), bare))

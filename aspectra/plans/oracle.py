@@ -476,6 +476,11 @@ _CSV = (f", cs AS (SELECT {S.py_strip('text')} AS text, ({S.lst(CSV_LABELS)})[re
         f"crow AS (SELECT * FROM (SELECT text, 'general' AS aspect, {S.normalize_polarity('label', strip=True)} AS polarity, "
         "'ru' AS lang FROM cs) WHERE polarity IS NOT NULL AND text IS NOT NULL AND length(text) > 0) ")
 oracle("read_labelled_csv", with_reviews(_CSV + "SELECT * FROM crow"))
+_MIXED = (", cs AS (SELECT ['Это é', 'жук', 'déjà ' || chr(152)][review_id % 3 + 1] || ' ' || regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') AS t, "
+          f"({S.lst(CSV_LABELS)})[review_id % {len(CSV_LABELS)} + 1] AS label FROM reviews), "
+          f"crow AS (SELECT * FROM (SELECT {S.py_strip('t')} AS text, 'general' AS aspect, {S.normalize_polarity('label', strip=True)} AS polarity, "
+          "'ru' AS lang FROM cs) WHERE polarity IS NOT NULL AND text IS NOT NULL AND length(text) > 0) ")
+oracle("read_labelled_csv_encodings", with_reviews(_MIXED + "SELECT * FROM crow"))
 oracle("detect_columns", "SELECT 'Text' AS text_col, 'Label' AS label_col FROM (SELECT 1 FROM documents LIMIT 1)")
 oracle("route_inputs", with_reviews(
     _OPS + _TERMS + _CSV + _OP_ROWS + " UNION ALL "

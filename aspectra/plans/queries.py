@@ -516,6 +516,7 @@ from aspectra.session import scratch_path  # noqa: E402
 from aspectra.sources import corpus as SC  # noqa: E402
 from aspectra.sources import csv as SCSV  # noqa: E402
 from aspectra.sources import results as SR  # noqa: E402
+from aspectra.sources import routing as SRT  # noqa: E402
 from aspectra.sources import xml as SX  # noqa: E402
 
 REVIEW_OUT = ["text", "aspect", "polarity", "lang"]
@@ -529,7 +530,7 @@ def q_read_opinion_xml(spark, sf):
 @query("whole_text_fallback")
 def q_whole_text_fallback(spark, sf):
     s = SX.read_sentences(spark, DV.opinion_xml(spark, sf))
-    return SX.whole_text_fallback(s, SX.opinion_rows(s, "fr"), "fr").select(*REVIEW_OUT)
+    return SX.whole_text_fallback(s, SX.opinion_entries(), "fr").select(*REVIEW_OUT)
 
 
 @query("read_aspect_term_xml")
@@ -540,12 +541,10 @@ def q_read_aspect_term_xml(spark, sf):
 @query("route_inputs")
 def q_route_inputs(spark, sf):
     root = scratch_path(spark, "raw")
-    DV.opinion_xml(spark, sf, f"{root}/xml/opinions")
-    DV.term_xml(spark, sf, f"{root}/xml/terms")
-    DV.labelled_csv(spark, sf, f"{root}/csv/labelled")
-    x = SX.route_xml(spark, f"{root}/xml").select(*REVIEW_OUT)
-    c = SCSV.read_labelled_csv(spark, f"{root}/csv/labelled").select(*REVIEW_OUT)
-    return x.unionByName(c)
+    DV.opinion_xml(spark, sf, f"{root}/opinions")
+    DV.term_xml(spark, sf, f"{root}/terms")
+    DV.labelled_csv(spark, sf, f"{root}/labelled")
+    return SRT.route_inputs(spark, root).select(*REVIEW_OUT)
 
 
 @query("read_labelled_csv")
@@ -553,6 +552,11 @@ def q_read_labelled_csv(spark, sf):
     return SCSV.read_labelled_csv(spark, DV.labelled_csv(spark, sf)).select(*REVIEW_OUT)
 
 
+@query("read_labelled_csv_encodings")
+def q_read_labelled_csv_encodings(spark, sf):
+    return SCSV.read_labelled_csv(spark, DV.mixed_csv(spark, sf), encoding=SCSV.ENCODINGS).select(*REVIEW_OUT)
+
+
 @query("detect_columns")
 def q_detect_columns(spark, sf):
     raw = SCSV.read_csv_raw(spark, DV.labelled_csv(spark, sf))

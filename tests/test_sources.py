@@ -126,3 +126,92 @@ def test_labelled_csv_windows_1251(spark, tmpdir_path):
         spark.conf.set("spark.sql.legacy.javaCharsets", old)
     assert rows == sorted([("Жаль, ужасно\nвторая строка", "general", "neg", "ru"),
                            ("Отлично", "general", "pos", "ru")])
+
+
+DEEP_XML = """<?xml version="1.0" encoding="UTF-8"?>
+<Reviews><!-- <sentence id="0"><text>hidden</text><Opinion target="no" polarity="positive"/></sentence> -->
+<Review rid="1"><sentences>
+<sentence id="1"><text>a &amp; &lt;b&gt;</text><Opinions><Opinion target="x &gt; &quot;y&quot;" polarity="pos"/>
+  <Group><Part><Opinion category='q"q' polarity="negative">inner</Opinion></Part></Group></Opinions>
+  <!-- <Opinion target="no" polarity="positive"/> --><Opinion polarity="neutral" target="bare"></Opinion></sentence>
+<sentence id="2"/><sentence id="3"><text>c</text><Opinion target="last" polarity="positive"/></sentence>
+</sentences></Review></Reviews>"""
+
+DEEP_TERMS = """<sentences><sentence><text>t</text><meta><aspectTerms><aspectTerm term="first" polarity="positive"/>
+<x><aspectTerm term="deeper" polarity="positive"/></x></aspectTerms></meta>
+<aspectTerms><aspectTerm term="second block" polarity="negative"/></aspectTerms></sentence>
+<sentence><text>u</text><aspectTerms/><aspectTerms><aspectTerm term="after an empty block" polarity="positive"/></aspectTerms></sentence></sentences>"""
+
+
+def test_opinions_at_any_depth(spark, tmpdir_path):
+    write(tmpdir_path, "deep.xml", DEEP_XML)
+    rows = sorted((r.text, r.aspect, r.polarity) for r in SX.read_opinion_xml(spark, tmpdir_path).collect())
+    assert rows == [("a & <b>", "bare", "neutral"), ("a & <b>", "general", "neg"), ("a & <b>", 'x > "y"', "pos"), ("c", "last", "pos")]
+
+
+def test_terms_of_the_first_block(spark, tmpdir_path):
+    write(tmpdir_path, "deep.xml", DEEP_TERMS)
+    assert [(r.text, r.aspect) for r in SX.read_aspect_term_xml(spark, tmpdir_path).collect()] == [("t", "first")]
+
+
+def test_large_xml_is_split(spark, tmpdir_path):
+    """One file is read by many tasks; elements across the borders are neither lost nor doubled."""
+    body = "".join(f'<sentence id="{i}"><text>é {i}\n</text><aspectTerms><aspectTerm term="t{i}" polarity="pos"/></aspectTerms></sentence>\n' for i in range(3000))
+    write(tmpdir_path, "big.xml", f"<sentences>{body}</sentences>")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        e = SX.read_elements(spark, tmpdir_path, "sentence")
+        assert e.rdd.getNumPartitions() > 8 and e.count() == 3000
+        assert {r.aspect for r in SX.read_aspect_term_xml(spark, tmpdir_path).collect()} == {f"t{i}" for i in range(3000)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_review_fallback_runs_no_job(spark, tmpdir_path):
+    write(tmpdir_path, "new.xml", TERM_XML)
+    write(tmpdir_path, "old.xml", REVIEW_TAG_XML)
+    write(tmpdir_path, "none.xml", "<reviews><review><text>no terms</text></review></reviews>")
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    before = jobs()
+    df = SX.read_aspect_term_xml(spark, tmpdir_path)
+    assert jobs() == before
+    assert {(r.text, r.aspect) for r in df.collect()} >= {("Old layout text.", "price"), ("no terms", "general")}
+
+
+def test_routes_by_head_and_file_name(spark, tmpdir_path):
+    from aspectra.sources.files import file_heads, routes
+    folder = os.path.join(tmpdir_path, "fr_francais")
+    write(folder, "laptops.xml", TERM_XML)                        # a misleading folder
+    write(folder, "phones fr é.xml", TERM_XML)
+    write(folder, "late.xml", "<sentences>" + " " * 500 + OPINION_XML.split("?>")[1] + "</sentences>")
+    write(folder, "opinions.xml", OPINION_XML)
+    write(folder, "part-00000.xml", TERM_XML)                     # a part that Spark wrote goes by its folder
+    write(folder, "RuSentiment.csv", CSV)
+    write(folder, "notes.txt", "x")
+    got = {os.path.basename(r.file): (r.format, r.layout, r.lang) for r in routes(file_heads(spark, tmpdir_path)).collect()}
+    assert got == {"laptops.xml": ("xml", "term", "en"), "phones%20fr%20%C3%A9.xml": ("xml", "term", "fr"), "late.xml": ("xml", "term", "en"),
+                   "opinions.xml": ("xml", "opinion", "fr"), "part-00000.xml": ("xml", "term", "fr"), "RuSentiment.csv": ("csv", "csv", "ru")}
+    from aspectra.sources.routing import route_inputs
+    rows = {(r.aspect, r.lang) for r in route_inputs(spark, tmpdir_path).collect()}
+    assert ("battery life", "en") in rows and ("battery life", "fr") in rows and ("prix", "fr") in rows and ("general", "ru") in rows
+
+
+def test_route_without_csv(spark, tmpdir_path):
+    from aspectra.sources.routing import route_inputs
+    write(tmpdir_path, "a.xml", TERM_XML)
+    assert route_inputs(spark, tmpdir_path).count() == 2
+
+
+def test_csv_encodings_by_file(spark, tmpdir_path):
+    """Three files in three encodings in one folder, each read in the first that fits it."""
+    texts = {"utf-8": "Иван \U0001f600 é", "cp1251": "жаль, ужасно", "latin-1": "déjà \u0098"}
+    for name, text in texts.items():
+        write(tmpdir_path, f"{name}.csv", f'text,label\n"{text}\nline 2",pos\n', encoding=name)
+    write(tmpdir_path, "bom.csv", "text,label\nbom é,neg\n", encoding="utf-8-sig")
+    for order in (SCSV.ENCODINGS, SCSV.ORIGINAL_ORDER):
+        got = {r.text for r in SCSV.read_labelled_csv(spark, tmpdir_path, encoding=order).collect()}
+        want = {f"{t}\nline 2" for t in texts.values()}
+        assert got - want == ({"bom é"} if order == SCSV.ENCODINGS else {"bom é".encode().decode("cp1251")})
+        assert want <= got
+    names = {os.path.basename(r.file): r.encoding for r in SCSV.file_encodings(spark, tmpdir_path, ("utf-8",)).collect()}
+    assert names == {"utf-8.csv": "utf-8", "bom.csv": "utf-8", "cp1251.csv": None, "latin-1.csv": None}
