@@ -530,3 +530,20 @@ oracle("write_report", with_metric(
     "SELECT 'family_mean', family, NULL, mean_f1 FROM fs UNION ALL "
     "SELECT 'family_best', family, best_name, best_f1 FROM fs) "
     "SELECT concat_ws(' | ', section, coalesce(family, '-'), coalesce(name, '-'), printf('%.4f', value)) AS line FROM rep"))
+
+# Classifiers: what doesn't depend on the fits.
+oracle("svm_task_vocabulary", with_corpus(
+    _CLASSIC + ", docs AS (SELECT n3.review_id, n3.lang || '#' || aspect AS task, t FROM n3 JOIN corpus USING (review_id) WHERE length(t) > 0), "
+    "toks AS (SELECT review_id, task, regexp_extract_all(t, '[\\p{L}\\p{N}_]{2,}') AS tk FROM docs), "
+    "terms AS (SELECT review_id, task, unnest(list_concat(tk, list_transform(range(1, len(tk)), lambda i: tk[i] || ' ' || tk[i + 1]))) AS term FROM toks), "
+    "counts AS (SELECT task, term, count(DISTINCT review_id) AS df, count(*) AS cf FROM terms GROUP BY ALL HAVING count(DISTINCT review_id) >= 2), "
+    "ranked AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY cf DESC, term) AS rk FROM counts), "
+    "sizes AS (SELECT task, count(*) AS n_task FROM docs GROUP BY task) "
+    f"SELECT task, term, df, cf, n_task, {S.r6('ln((1.0 + n_task) / (1.0 + df)) + 1.0')} AS idf FROM ranked JOIN sizes USING (task) WHERE rk <= 300"))
+oracle("classifier_facts", with_corpus(
+    _CLASSIC + _LIGHT + ", g AS (SELECT 'svm' AS classifier, 'all' AS run, polarity AS y FROM n3 WHERE length(t) > 0 "
+    f"UNION ALL SELECT 'emotion', unnest([lang, 'all']), {_EMO} FROM corpus UNION ALL SELECT 'sentiment', unnest([lang, 'all']), polarity FROM light), "
+    "big AS (SELECT classifier, run FROM g WHERE run IN ('fr', 'all', 'ru') GROUP BY ALL HAVING classifier <> 'emotion' OR count(*) >= 30), "
+    "c AS (SELECT classifier, run, y, count(*) AS n, CAST(round(count(*) * 0.15) AS BIGINT) AS nt FROM g JOIN big USING (classifier, run) GROUP BY ALL) "
+    "SELECT classifier, run, CAST(sum(n - nt - least(nt, n - nt)) AS BIGINT) AS n_train, CAST(sum(least(nt, n - nt)) AS BIGINT) AS n_val, "
+    f"CAST(sum(nt) AS BIGINT) AS n_test, CAST(sum(nt) AS BIGINT) AS n_predicted, {S.r6('max(nt) / sum(nt)')} AS majority_accuracy FROM c GROUP BY classifier, run"))

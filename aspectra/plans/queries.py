@@ -666,10 +666,21 @@ def training_rows(spark, sf):
                     F.col("text_processed").alias("text"), F.col("polarity").alias("y_true"))
 
 
+def svm_holdout(spark, sf):
+    return MD.holdout_evaluate(training_rows(spark, sf), [], kind="svm")
+
+
 @query("train_linear_svm")
 def q_train_linear_svm(spark, sf):
-    met, _ = MD.holdout_evaluate(training_rows(spark, sf), [], kind="svm")
-    return met
+    return svm_holdout(spark, sf)[0]
+
+
+@query("svm_task_vocabulary")
+def q_svm_task_vocabulary(spark, sf):
+    """The 300 most frequent terms of every (language, aspect), with idf over all rows."""
+    d = training_rows(spark, sf).withColumn("task", MD._task_id(["lang", "aspect"]))
+    v = MD.task_vocabulary(d, max_features=300)
+    return v.select("task", "term", "df", "cf", "n_task", F.bround("idf", 6).alias("idf"))
 
 
 @query("cross_validate_svm")
@@ -694,24 +705,43 @@ def run_langs(df, runs=("fr", "all", "ru"), min_rows: int = 0):
     return d
 
 
-@query("emotion_classifier")
-def q_emotion_classifier(spark, sf):
+def emotion_holdout(spark, sf):
     c = corpus(spark, sf).transform(E.keyword_emotion).transform(LB.add_absa_input) \
                          .transform(LB.choose_model_text)
     d = c.select(F.col("review_id").alias("row_id"), "lang", F.col("model_input").alias("text"),
                  F.col("emotion").alias("y_true"))
     d = run_langs(d, min_rows=dicts.MIN_ROWS_EMOTION)
-    met, _ = MD.holdout_evaluate(d, ["run"], kind="logreg", labels=dicts.EMOTION_CODES)
-    return met
+    return MD.holdout_evaluate(d, ["run"], kind="logreg", labels=dicts.EMOTION_CODES)
 
 
-@query("sentiment_classifier")
-def q_sentiment_classifier(spark, sf):
+@query("emotion_classifier")
+def q_emotion_classifier(spark, sf):
+    return emotion_holdout(spark, sf)[0]
+
+
+def sentiment_holdout(spark, sf):
     c = P.preprocess_light(corpus(spark, sf)).transform(LB.add_aspect_tagged_text)
     d = c.select(F.col("review_id").alias("row_id"), "lang", F.col("model_text").alias("text"),
                  F.col("polarity").alias("y_true"))
-    met, _ = MD.holdout_evaluate(run_langs(d), ["run"], kind="logreg")
-    return met
+    return MD.holdout_evaluate(run_langs(d), ["run"], kind="logreg")
+
+
+@query("sentiment_classifier")
+def q_sentiment_classifier(spark, sf):
+    return sentiment_holdout(spark, sf)[0]
+
+
+@query("classifier_facts")
+def q_classifier_facts(spark, sf):
+    """What doesn't depend on the fits: sizes of the parts, rows predicted, and the
+    accuracy that always naming the largest class would have on the test rows."""
+    def facts(name, met, pred):
+        largest = pred.groupBy("run", "y_true").count().groupBy("run").agg(F.max("count").alias("_n"))
+        return met.join(largest, "run").select(F.lit(name).alias("classifier"), "run", "n_train", "n_val", "n_test", F.col("n_samples").alias("n_predicted"),
+                                               F.bround(F.col("_n") / F.col("n_samples"), 6).alias("majority_accuracy"))
+
+    out = facts("svm", *svm_holdout(spark, sf))
+    return out.union(facts("emotion", *emotion_holdout(spark, sf))).union(facts("sentiment", *sentiment_holdout(spark, sf)))
 
 
 @query("save_classifier")
