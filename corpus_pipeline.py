@@ -24,10 +24,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return keep_quality(docs)
 
 
+NEAR_PERCENT = 80            # similarity of 5-word sets from which documents are near duplicates
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id; rows equal
-    in all columns to one before them go as well, rows that share only the id stay."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    in all columns to one before them go as well, rows that share only the id stay.
+    Null, empty and wordless texts are linked with nothing; an empty table gives none."""
+    kept = near_duplicates(docs, percent=NEAR_PERCENT).where("kept").select(F.col("doc_id").alias("_id")).distinct()
     rows = docs.select(F.struct("*").alias("_row"))
     with_id = rows.where("_row.doc_id is not null").join(kept, F.col("_row.doc_id") == F.col("_id"), "left_semi").distinct()
     return with_id.union(rows.where("_row.doc_id is null")).select("_row.*")
