@@ -390,7 +390,7 @@ def test_pipeline(spark, rows, tmp_path):
     bench.write.parquet(f"{folder}/benchmark.parquet")
     kept = {r["doc_id"] for r in quality(docs).where("kept").collect()}
     left = [r for r in rows if r[0] in kept]
-    comp = {d: c for d, _, c, _ in _near(left, 85)}
+    comp = {d: c for d, _, c, _ in _near(left, 80)}
     left = list({r[0]: r for r in left if r[0] is None or comp[r[0]] == r[0]}.values())
     texts = [(d, k.decode("utf-8", "ignore") if gone else t) for (d, b, gone, k), (_, t, *_) in zip(_removed(left, 50), left, strict=True)
              if not gone or SPACE.search(k.decode("utf-8", "ignore"))]
