@@ -31,7 +31,8 @@ from aspectra.session import cut_lineage
 
 WIDTH, GRAM = 50, 20
 BUCKET_BYTES = 16 << 20      # text per bucket of anchors
-FLUSH = 2_000_000            # anchors a task holds before it sends them
+FLUSH_BYTES = 48 << 20       # memory of the anchors that a task holds before it sends them
+ANCHOR_BYTES = 96            # of one held anchor: its hash and what sorting and grouping it takes
 SHARD_BYTES = 1 << 20
 MANY = 10_000                # strings of one anchor beyond which they are grouped as rows
 
@@ -77,10 +78,17 @@ def _starts(*columns) -> np.ndarray:
 def _repeated(h, doc, ids, text):
     """The records sorted by anchor, text and id; starts of the anchors; whether an
     anchor has two different texts."""
-    order = np.lexsort((ids[doc], text[doc], h))
+    # documents are numbered by text and id once, so two keys sort the records
+    by = np.lexsort((ids, text))
+    rank = np.empty(len(by), np.int32)
+    rank[by] = np.arange(len(by), dtype=np.int32)
+    order = np.lexsort((rank[doc], h))
     h, doc = h[order], doc[order]
+    del order
     first = _starts(h)
-    return h, doc, first, np.maximum.reduceat(text[doc], first) != text[doc[first]]
+    # sorted by text: the last one differs from the first if any does
+    last = np.append(first[1:], len(h)) - 1
+    return h, doc, first, text[doc[last]] != text[doc[first]]
 
 
 def _per_document(h, doc, ids):
@@ -104,7 +112,8 @@ def _candidate_anchors(texts: DataFrame, buckets: int, width: int) -> DataFrame:
             table = np.array(docs, _DOC)
             ids, text = table["id"], table["text"]
             h, doc, first, several = _repeated(np.concatenate([x for x, _ in held]), np.repeat(
-                np.array([d for _, d in held]), [len(x) for x, _ in held]), ids, text)
+                np.array([d for _, d in held], np.int32), [len(x) for x, _ in held]), ids, text)
+            held.clear()
             # known to repeat here: straight to the documents, two of different text speak for all elsewhere
             known = np.repeat(several, np.diff(np.append(first, len(h))))
             out = [(d % buckets, d, a, None) for d, a in _per_document(h[known], doc[known], ids)]
@@ -132,7 +141,7 @@ def _candidate_anchors(texts: DataFrame, buckets: int, width: int) -> DataFrame:
                         held.append((np.unique(h[x:y]), len(docs)))
                         docs.append((ids[i], int.from_bytes(digest[i][:8], "little")))
                         size += len(held[-1][0])
-                if size >= FLUSH:
+                if size * ANCHOR_BYTES >= FLUSH_BYTES:
                     yield from rows()
                     held, docs, size = [], [], 0
         if held:
