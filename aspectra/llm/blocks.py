@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aspectra.llm.common import components, release, spanning_links
+from aspectra.llm.common import components, release, spanning_links, tidy
 from aspectra.session import cut_lineage
 
 BLOCK = 512
@@ -43,7 +43,7 @@ def neighbours(orders: DataFrame, shared: int) -> DataFrame:
 
     from pyspark.sql import Window
     found = cut_lineage(orders.repartitionByRange("key", "node").sortWithinPartitions("key", "node")
-                        .mapInArrow(run, "a long, b long, key binary"))
+                        .mapInArrow(tidy(run), "a long, b long, key binary"))
     w = Window.orderBy("key", "a")       # two rows per partition of the sort
     ends = (found.where("key is not null").select("a", "key")
             .select("a", F.lag("a").over(w).alias("b"), F.substring("key", 1, shared).alias("p"),
@@ -90,7 +90,7 @@ def links_of_blocks(rows: DataFrame, n: int, least_equal: float, linked) -> Data
             yield table(found)
 
     return (rows.select("block", "node", "sig", "shingles", "asks")
-            .repartition("block").sortWithinPartitions("block").mapInArrow(run, "a long, b long"))
+            .repartition("block").sortWithinPartitions("block").mapInArrow(tidy(run), "a long, b long"))
 
 
 def regions_of(orders: DataFrame, depths: list[int]) -> tuple[DataFrame, DataFrame]:

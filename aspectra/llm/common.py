@@ -9,7 +9,29 @@ from pyspark.sql import functions as F
 
 from aspectra.session import cut_lineage
 
-SLICE_BYTES = 1 << 20        # text handled at once inside a task; bounds numpy's memory
+SLICE_BYTES = 1 << 18        # text handled at once inside a task; numpy takes about 100 times as much
+
+
+def give_back() -> None:
+    """Returns memory that numpy and Arrow have freed to the system.  Python workers are
+    kept for later tasks; what one stage has freed would count for all stages after it."""
+    import ctypes
+
+    import pyarrow as pa
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run):
+    """A mapInArrow function that gives freed memory back at its end."""
+    def out(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+    return out
 
 
 def _odd(seed: int, n: int) -> np.ndarray:
@@ -148,7 +170,7 @@ def _contract(edges: DataFrame) -> DataFrame:
             part = nodes[i:i + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(x) for x in part], pa.int64())], names=["x", "y"])
 
-    return edges.select("x", "y").mapInArrow(run, "x long, y long")
+    return edges.select("x", "y").mapInArrow(tidy(run), "x long, y long")
 
 
 FEW_EDGES = 200_000          # remaining edges that one partition contracts at once

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aspectra.llm.blocks import BLOCK, confirmed_links, neighbours
-from aspectra.llm.common import components, minhash, mix64, release, shingle_sets, text_slices
+from aspectra.llm.common import components, minhash, mix64, release, shingle_sets, text_slices, tidy
 from aspectra.session import cut_lineage
 
 TREES, DEPTH, BASE = 16, 8, 4
@@ -60,7 +60,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame
                     names=["doc_id", "n_shingles", "f1", "f2", "sig"])
 
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-            .mapInArrow(run, _SIG))
+            .mapInArrow(tidy(run), _SIG))
 
 
 def _orders(nodes: DataFrame) -> DataFrame:
@@ -107,7 +107,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     names=["node", "component", "size", "sig", "shingles"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
-    held = cut_lineage(texts.join(clusters, "node").mapInArrow(sets, _SET.replace("component long", "component long, size long"))
+    held = cut_lineage(texts.join(clusters, "node").mapInArrow(tidy(sets), _SET.replace("component long", "component long, size long"))
                        .where("length(shingles) > 0"))
     del clusters, size
     release(docs.sparkSession)

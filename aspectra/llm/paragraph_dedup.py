@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aspectra.llm.blocks import confirmed_links, neighbours
-from aspectra.llm.common import components, minhash, mix64, sequence_hashes, shingle_sets, text_slices
+from aspectra.llm.common import components, minhash, mix64, sequence_hashes, shingle_sets, text_slices, tidy
 from aspectra.session import cut_lineage
 
 ROWS, MISS = 4, 1e-3
@@ -60,7 +60,7 @@ def _paragraphs(docs: DataFrame, id_col: str, text_col: str, k: int, min_words:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     return (docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-            .mapInArrow(run, "id long, place int, n_words int, f1 long, f2 long, bands binary"))
+            .mapInArrow(tidy(run), "id long, place int, n_words int, f1 long, f2 long, bands binary"))
 
 
 def duplicate_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80,
@@ -105,7 +105,7 @@ def duplicate_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str
                          pa.array([minhash(x, n).astype(">u2").tobytes() for x in s], pa.binary()), pa.array([x.tobytes() for x in s], pa.binary())], schema=schema)
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    members = cut_lineage(texts.join(wanted, "id").mapInArrow(sets, "node long, component long, size long, sig binary, shingles binary")
+    members = cut_lineage(texts.join(wanted, "id").mapInArrow(tidy(sets), "node long, component long, size long, sig binary, shingles binary")
                           .where("length(shingles) > 0"))
     same = components(confirmed_links(orders, members, [9], n, least_equal, linked))
     items = items.join(same, "node", "left").select("f1", "f2", "id", "place", F.coalesce("component", "node").alias("component"))

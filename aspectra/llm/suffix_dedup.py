@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aspectra.llm.common import byte_prefix, mix64, release, text_slices
+from aspectra.llm.common import byte_prefix, give_back, mix64, release, text_slices, tidy
 from aspectra.llm.suffix_array import earlier_windows
 from aspectra.session import cut_lineage
 
@@ -165,10 +165,12 @@ def _candidate_anchors(texts: DataFrame, buckets: int, width: int) -> DataFrame:
         h, doc, first, several = _repeated(np.concatenate(hs), np.concatenate(at), docs["id"], docs["text"])
         keep = np.repeat(several, np.diff(np.append(first, len(h))))
         found = _per_document(h[keep], doc[keep], docs["id"])
+        del h, doc, keep, hs, at
+        give_back()
         found = pa.table({"id": pa.array([x[0] for x in found], pa.int64()), "anchors": pa.array([x[1] for x in found], pa.binary())})
         return pa.concat_tables([known, found.cast(known.schema)])
 
-    return (texts.select("id", "digest", "text").mapInArrow(send, "bucket int, id long, anchors binary, docs binary")
+    return (texts.select("id", "digest", "text").mapInArrow(tidy(send), "bucket int, id long, anchors binary, docs binary")
             .groupBy("bucket").applyInArrow(count, "id long, anchors binary"))
 
 
@@ -189,7 +191,7 @@ def _packed(docs: DataFrame, id_col: str, text_col: str, keep=()) -> DataFrame:
 
     raw = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     df = docs.select(F.col(id_col).cast("long").alias("id"), F.lit(0).cast("long").alias("tag"), raw.alias("text"), *keep)
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)
 
 
 def _cut_out(rows: DataFrame, width: int) -> DataFrame:
@@ -244,7 +246,7 @@ def _cut_out(rows: DataFrame, width: int) -> DataFrame:
                     best, size = {}, 0
         yield from flush()
 
-    return rows.mapInArrow(run, "anchor long, string binary, gram int, id long, tag long, at long, to long")
+    return rows.mapInArrow(tidy(run), "anchor long, string binary, gram int, id long, tag long, at long, to long")
 
 
 def _sorted_shards(rows: DataFrame, width: int, shard_bytes: int, many: int) -> DataFrame:
@@ -318,7 +320,7 @@ def _sorted_shards(rows: DataFrame, width: int, shard_bytes: int, many: int) ->
             yield table(passed)
 
     key = F.coalesce("anchor", F.xxhash64("id", "at"))
-    return rows.withColumn("key", key).repartition("key").sortWithinPartitions("anchor").drop("key").mapInArrow(run, out)
+    return rows.withColumn("key", key).repartition("key").sortWithinPartitions("anchor").drop("key").mapInArrow(tidy(run), out)
 
 
 def _grouped_windows(rows: DataFrame, width: int) -> DataFrame:
@@ -389,7 +391,7 @@ def _edited(docs: DataFrame, id_col: str, text_col: str, width: int, keep=(), re
     schema = T.StructType([packed.schema["id"], *(packed.schema[c] for c in kept_names)])
     for c, k in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), ("kept_text", "string")):
         schema = schema.add(c, k)
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, **options) -> DataFrame:
