@@ -102,7 +102,7 @@ def _per_document(h, doc, ids):
 
 
 def _candidate_anchors(texts: DataFrame, buckets: int, width: int) -> DataFrame:
-    """(id, anchors): anchors that occur in two different texts, as 8 bytes each."""
+    """(id, anchor): anchors that occur in two different texts, a row for each document."""
     def send(batches):
         import pyarrow as pa
         schema = pa.schema([("bucket", pa.int32()), ("id", pa.int64()), ("anchors", pa.binary()), ("docs", pa.binary())])
@@ -149,29 +149,33 @@ def _candidate_anchors(texts: DataFrame, buckets: int, width: int) -> DataFrame:
 
     def count(table):
         import pyarrow as pa
-        known = table.filter(table.column("id").is_valid()).select(["id", "anchors"])
         hs, at, docs, n = [], [], [], 0
-        for x, d in zip(table.column("anchors").to_pylist(), table.column("docs").to_pylist(), strict=True):
-            if d is not None:
-                d = np.frombuffer(d, _DOC)
-                m = len(x) // (10 if len(d) <= 1 << 16 else 12)
-                hs.append(np.frombuffer(x[:8 * m], np.uint64))
-                at.append(np.frombuffer(x[8 * m:], np.uint16 if len(d) <= 1 << 16 else np.uint32).astype(np.int64) + n)
-                docs.append(d)
-                n += len(d)
-        if not hs:
-            return known
-        docs = np.concatenate(docs)
-        h, doc, first, several = _repeated(np.concatenate(hs), np.concatenate(at), docs["id"], docs["text"])
-        keep = np.repeat(several, np.diff(np.append(first, len(h))))
-        found = _per_document(h[keep], doc[keep], docs["id"])
-        del h, doc, keep, hs, at
+        ids, pairs = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for x, i, d in zip(table.column("anchors").to_pylist(), table.column("id").to_pylist(), table.column("docs").to_pylist(), strict=True):
+            if d is None:
+                pairs.append(np.frombuffer(x, np.uint64))
+                ids.append(np.full(len(pairs[-1]), i, np.int64))
+                continue
+            d = np.frombuffer(d, _DOC)
+            m = len(x) // (10 if len(d) <= 1 << 16 else 12)
+            hs.append(np.frombuffer(x[:8 * m], np.uint64))
+            at.append(np.frombuffer(x[8 * m:], np.uint16 if len(d) <= 1 << 16 else np.uint32).astype(np.int64) + n)
+            docs.append(d)
+            n += len(d)
+        if hs:
+            docs = np.concatenate(docs)
+            h, doc, first, several = _repeated(np.concatenate(hs), np.concatenate(at), docs["id"], docs["text"])
+            keep = np.repeat(several, np.diff(np.append(first, len(h))))
+            pairs.append(h[keep])
+            ids.append(docs["id"][doc[keep]])
+            del h, doc, keep, hs, at
+        found = pa.table({"id": np.concatenate(ids), "anchor": np.concatenate(pairs).view(np.int64)})
+        del ids, pairs
         give_back()
-        found = pa.table({"id": pa.array([x[0] for x in found], pa.int64()), "anchors": pa.array([x[1] for x in found], pa.binary())})
-        return pa.concat_tables([known, found.cast(known.schema)])
+        return found
 
     return (texts.select("id", "digest", "text").mapInArrow(tidy(send), "bucket int, id long, anchors binary, docs binary")
-            .groupBy("bucket").applyInArrow(count, "id long, anchors binary"))
+            .groupBy("bucket").applyInArrow(count, "id long, anchor long"))
 
 
 def _packed(docs: DataFrame, id_col: str, text_col: str, keep=()) -> DataFrame:
@@ -216,7 +220,8 @@ def _cut_out(rows: DataFrame, width: int) -> DataFrame:
                 yield table(out[i:i + 20_000])
 
         for b in batches:
-            ids, tags, known = (b.column(c).to_pylist() for c in ("id", "tag", "anchors"))
+            ids, tags = (b.column(c).to_pylist() for c in ("id", "tag"))
+            known, ends = b.column("anchors").values.to_numpy().view(np.uint64), b.column("anchors").offsets.to_numpy()
             for i, z in enumerate(b.column("text").to_pylist()):
                 t, whole = zlib.decompress(z), []
                 h, place, _, gram = _anchors([t], width, True)
@@ -224,7 +229,7 @@ def _cut_out(rows: DataFrame, width: int) -> DataFrame:
                 if not len(start):
                     continue
                 stop = np.append(start[1:], len(h))
-                hit = np.isin(h[start], np.frombuffer(b"".join(known[i]), np.uint64))
+                hit = np.isin(h[start], known[ends[i]:ends[i + 1]])
                 start, stop = start[hit], stop[hit] - 1
                 one = np.where(gram[start] == gram[stop], gram[start] - place[start], -1)
                 for a, x, y, g in zip(h[start].view(np.int64).tolist(), place[start].tolist(), place[stop].tolist(), one.tolist(), strict=True):
@@ -339,9 +344,9 @@ def _spans(docs: DataFrame, id_col: str, text_col: str, width: int, shard_bytes:
     tag = F.conv(F.substring(F.hex("digest"), 1, 16), 16, -10).cast("long")
     prints = cut_lineage(texts.select("id", "digest", tag.alias("tag"), F.octet_length("text").cast("long").alias("n")))
     total = prints.agg(F.sum("n")).first()[0] or 0
-    found = cut_lineage(_candidate_anchors(texts, max(1, total // BUCKET_BYTES), width))
+    found = _candidate_anchors(texts, max(1, total // BUCKET_BYTES), width)
+    known = cut_lineage(found.groupBy("id").agg(F.collect_list("anchor").alias("anchors")))          # bounded by the document's size
     release(docs.sparkSession)
-    known = (found.groupBy("id").agg(F.collect_list("anchors").alias("anchors")))          # bounded by the document's size
     first = prints.groupBy("digest").agg(F.min("id").alias("first"))
     own = prints.where(F.col("n") >= width).select("id", "tag", "digest").distinct().join(first, "digest").drop("digest")
     asks = own.where("id = first").join(known, "id").select("id", "tag", "anchors")
