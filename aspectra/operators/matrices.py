@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from aspectra import dicts
 from aspectra.operators.metrics import label_stats, pair_counts
+from aspectra.session import cut_lineage
 
 FAMILIES = ["svm", "transformer"]
 
@@ -63,13 +64,28 @@ def lang_label(lang: Column) -> Column:
     return F.coalesce(dicts.lookup(dicts.LANG_LABEL, lang), F.upper(lang))
 
 
+MAX_COLUMNS = 1_000          # columns that a matrix may get
+
+
+def _columns(rows: DataFrame, col: str, listed: list[str]) -> list[str]:
+    """The listed values of ``col``, then the others that occur, in order.  Only distinct
+    values reach the driver, and no more than MAX_COLUMNS of them."""
+    more = rows.where(F.col(col).isNotNull() & ~F.col(col).isin(listed)).select(col).distinct()
+    found = sorted(r[0] for r in more.limit(MAX_COLUMNS + 1).collect())
+    if len(found) > MAX_COLUMNS:
+        raise ValueError(f"more than {MAX_COLUMNS} values of {col}")
+    return [*listed, *found]
+
+
 def global_matrix(metric: DataFrame) -> DataFrame:
-    """model_short x language, max overall F1."""
+    """model_short x language, max overall F1: the listed languages, then any other
+    language that occurs, by its upper-cased code."""
     from aspectra.operators.counts import pivot_max
-    langs = [l for l, _ in dicts.LANG_LABEL]
+    rows = cut_lineage(metric.filter(F.col("aspect").isNull()).select("model_short", "lang", "f1_macro"))
+    langs = _columns(rows, "lang", [lg for lg, _ in dicts.LANG_LABEL])
     names = [lab for _, lab in dicts.LANG_LABEL]
-    return pivot_max(metric.filter(F.col("aspect").isNull()), ["model_short"], "lang", langs,
-                     "f1_macro", names)
+    names += [lg.upper() for lg in langs[len(names):]]
+    return pivot_max(rows, ["model_short"], "lang", langs, "f1_macro", names)
 
 
 def expand_all_lang(metric: DataFrame) -> DataFrame:
@@ -93,10 +109,12 @@ def absa_long(metric: DataFrame) -> DataFrame:
 
 
 def absa_matrix(metric: DataFrame) -> DataFrame:
-    """aspect x MODEL(LANG) matrix of max F1 (explicit column order: per
-    language SVM, XLM-R, CamemBERT, RuBERT)."""
+    """aspect x MODEL(LANG) matrix of max F1, rows in category order.  Columns: per
+    language SVM, XLM-R, CamemBERT, RuBERT, then any other MODEL(LANG) that occurs."""
     from aspectra.operators.counts import pivot_max
-    return pivot_max(absa_long(metric), ["aspect"], "col_label", matrix_columns(), "f1_macro")
+    rows = cut_lineage(absa_long(metric))
+    wide = pivot_max(rows, ["aspect"], "col_label", _columns(rows, "col_label", matrix_columns()), "f1_macro")
+    return wide.orderBy(F.array_position(dicts.array_literal(dicts.ASPECTS), F.col("aspect")))
 
 
 def gain_vs_baseline(metric: DataFrame, baseline: str = dicts.BASELINE_MODEL) -> DataFrame:
@@ -112,7 +130,7 @@ def gain_vs_baseline(metric: DataFrame, baseline: str = dicts.BASELINE_MODEL) ->
 
 def comparison_table(metric: DataFrame) -> DataFrame:
     """One row per result (overall rows): name, lang ('N/A' if missing),
-    macro F1 / precision / recall (0 if missing), n, model name."""
+    macro F1 / precision / recall (0 if missing), n, model name; best first."""
     o = metric.filter(F.col("aspect").isNull())
     name = F.concat_ws("_", F.col("family"), F.regexp_replace(F.col("model"), "/", "_"),
                        F.coalesce(F.col("lang"), F.lit("N/A")))
@@ -121,7 +139,7 @@ def comparison_table(metric: DataFrame) -> DataFrame:
                     F.coalesce(F.col("precision_macro"), F.lit(0.0)).alias("precision"),
                     F.coalesce(F.col("recall_macro"), F.lit(0.0)).alias("recall"),
                     F.coalesce(F.col("n_samples"), F.lit(0)).cast("bigint").alias("n_samples"),
-                    F.col("model").alias("model_name"), "family")
+                    F.col("model").alias("model_name"), "family").orderBy(F.desc("macro_f1"), "name")
 
 
 def best_model(comparison: DataFrame) -> DataFrame:

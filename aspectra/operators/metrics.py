@@ -88,14 +88,15 @@ def classification_report(df: DataFrame, keys=(), y_true: str = "y_true",
 def confusion_matrix(df: DataFrame, keys=(), labels=dicts.POLARITIES, y_true: str = "y_true",
                      y_pred: str = "y_pred") -> DataFrame:
     """Long confusion matrix (keys, y_true, y_pred, n) with zero cells kept
-    for the given label set.  The label grid is generated per key by
-    exploding the fixed label list (no join of data against data)."""
+    for the given labels and any other label that the key holds.  The grid of a key
+    is generated from its labels (no join of data against data)."""
     keys = list(keys)
     c = pair_counts(df, keys, y_true, y_pred)
-    lab = F.array(*[F.lit(x) for x in labels])
-    grid = (c.select(*keys).distinct()
-             .select(*keys, F.explode(lab).alias("y_true"))
-             .select(*keys, "y_true", F.explode(lab).alias("y_pred")))
+    seen = F.flatten(F.collect_set(F.array("y_true", "y_pred")))
+    lab = F.array_union(F.array(*[F.lit(x) for x in labels]), F.array_sort(F.array_compact(F.array_distinct(seen))))
+    grid = (c.groupBy(*keys).agg(lab.alias("_labels"))
+             .select(*keys, "_labels", F.explode("_labels").alias("y_true"))
+             .select(*keys, "y_true", F.explode("_labels").alias("y_pred")))
     return grid.join(c, keys + ["y_true", "y_pred"], "left") \
                .withColumn("n", F.coalesce(F.col("n"), F.lit(0)).cast("bigint"))
 

@@ -8,7 +8,7 @@ counted and skipped.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -104,11 +104,16 @@ def write_results(records: DataFrame, path: str, mode: str = "overwrite") -> str
 # Scans
 # ---------------------------------------------------------------------------
 
-def _read(spark: SparkSession, path, schema, multi_line: bool = False) -> DataFrame:
+def _read(spark: SparkSession, path, schema, multi_line: bool = False, observed: Observation | None = None) -> DataFrame:
+    """The records; ``observed`` gets their number and that of malformed ones from the
+    action that reads them, without a scan of its own."""
     df = (spark.read.schema(schema).option("mode", "PERMISSIVE")
           .option("columnNameOfCorruptRecord", "_corrupt_record")
           .option("multiLine", multi_line).json(path))
-    return df.withColumn("file", F.col("_metadata.file_path"))
+    df = df.withColumn("file", F.col("_metadata.file_path"))
+    if observed is not None:
+        df = df.observe(observed, F.count(F.lit(1)).alias("records"), F.count_if(F.col("_corrupt_record").isNotNull()).alias("malformed"))
+    return df
 
 
 def _valid(df: DataFrame, probe: str = "lang") -> DataFrame:
@@ -128,10 +133,10 @@ def corrupt_count(df: DataFrame) -> DataFrame:
     return df.cache().agg(F.count_if(F.col("_corrupt_record").isNotNull()).alias("n_corrupt"))
 
 
-def scan_svm_metrics(spark: SparkSession, path, multi_line: bool = False) -> DataFrame:
+def scan_svm_metrics(spark: SparkSession, path, multi_line: bool = False, observed: Observation | None = None) -> DataFrame:
     """Baseline result records -> METRIC rows (defaults for missing keys,
     rounded to 4 half-even)."""
-    d = _valid(_read(spark, path, SVM_RESULT, multi_line))
+    d = _valid(_read(spark, path, SVM_RESULT, multi_line, observed))
     return d.select(F.lit(dicts.BASELINE_MODEL).alias("model"),
                     F.coalesce("lang", F.lit("?")).alias("lang"), "aspect",
                     F.bround(F.coalesce("global_f1_macro", F.lit(0.0)), 4).alias("f1_macro"),
@@ -140,10 +145,10 @@ def scan_svm_metrics(spark: SparkSession, path, multi_line: bool = False) -> Dat
                     F.coalesce("n_samples", F.lit(0)).cast("bigint").alias("n_samples"))
 
 
-def scan_model_metrics(spark: SparkSession, path, multi_line: bool = False) -> DataFrame:
+def scan_model_metrics(spark: SparkSession, path, multi_line: bool = False, observed: Observation | None = None) -> DataFrame:
     """Model result records in either layout -> one overall METRIC row plus
     one row per entry of ``per_aspect``."""
-    d = _valid(_read(spark, path, MODEL_RESULT, multi_line))
+    d = _valid(_read(spark, path, MODEL_RESULT, multi_line, observed))
     nested = F.col("global").isNotNull()
     f1 = F.when(nested, F.col("global.f1_macro")).otherwise(F.col("global_f1_macro"))
     pr = F.when(nested, F.col("global.precision_macro")).otherwise(F.col("global_precision_macro"))

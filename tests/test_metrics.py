@@ -44,3 +44,32 @@ def test_class_weights_sum_to_n(spark):
     w = {r.polarity: (r.weight, r.n_c) for r in M.class_weights(df).collect()}
     assert sum(wt * n for wt, n in w.values()) == pytest.approx(10)
     assert w["c"][0] == pytest.approx(round(10 / 3, 6))
+
+
+def _metric_rows(spark):
+    rows = [("SVM", "svm", "fr", "prix", 0.5), ("SVM", "svm", "fr", None, 0.6), ("XLM-R", "transformer", "all", "service", 0.7),
+            ("GPT", "transformer", "de", "prix", 0.8), ("GPT", "transformer", "fr", "qualité", 0.9), ("GPT", "transformer", "de", None, 0.4),
+            ("GPT", "transformer", "de", None, 0.45), ("SVM", "svm", "fr", "unlisted aspect", 0.1)]
+    return spark.createDataFrame(rows, "model_short string, family string, lang string, aspect string, f1_macro double")
+
+
+def test_matrices_keep_unlisted_models_and_languages(spark):
+    """Unlisted columns follow the listed ones in order; rows are in category order."""
+    from aspectra import dicts
+    from aspectra.operators import matrices as MX
+    m = MX.absa_matrix(_metric_rows(spark))
+    assert m.columns == ["aspect", *MX.matrix_columns(), "GPT(DE)", "GPT(FR)"]
+    rows = m.collect()
+    assert [r.aspect for r in rows] == [a for a in dicts.ASPECTS if a in ("qualité", "service", "prix")]
+    assert rows[-1]["GPT(DE)"] == 0.8 and rows[0]["GPT(FR)"] == 0.9 and rows[1]["XLM-R(RU)"] == 0.7
+    g = MX.global_matrix(_metric_rows(spark))
+    assert g.columns == ["model_short", *[lab for _, lab in dicts.LANG_LABEL], "DE"]
+    assert {r.model_short: r["DE"] for r in g.collect()} == {"SVM": None, "GPT": 0.45}
+
+
+def test_confusion_matrix_keeps_unlisted_labels(spark):
+    from aspectra.operators import metrics as M
+    df = spark.createDataFrame([("a", "pos", "pos"), ("a", "odd", "neg"), ("b", "neg", "neg")], "k string, y_true string, y_pred string")
+    got = {tuple(r) for r in M.confusion_matrix(df, ["k"]).collect()}
+    assert sum(r[3] for r in got) == 3 and ("a", "odd", "neg", 1) in got and ("a", "pos", "odd", 0) in got
+    assert len([r for r in got if r[0] == "a"]) == 16 and len([r for r in got if r[0] == "b"]) == 9

@@ -215,3 +215,12 @@ def test_csv_encodings_by_file(spark, tmpdir_path):
         assert want <= got
     names = {os.path.basename(r.file): r.encoding for r in SCSV.file_encodings(spark, tmpdir_path, ("utf-8",)).collect()}
     assert names == {"utf-8.csv": "utf-8", "bom.csv": "utf-8", "cp1251.csv": None, "latin-1.csv": None}
+
+
+def test_malformed_results_are_counted_by_the_read(spark, tmpdir_path):
+    from pyspark.sql import Observation
+    write(tmpdir_path, "a.json", json.dumps({"global_f1_macro": 0.5, "lang": "fr"}))
+    write(tmpdir_path, "b.json", "{not json")
+    seen = Observation()
+    assert SR.scan_svm_metrics(spark, tmpdir_path, observed=seen).select("lang", "f1_macro").collect()[0].lang == "fr"
+    assert seen.get == {"records": 2, "malformed": 1}
