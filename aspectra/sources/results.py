@@ -8,13 +8,14 @@ counted and skipped.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aspectra import dicts
 from aspectra.operators import matrices as MX
 from aspectra.operators import metrics as M
+from aspectra.sources.corpus import path_exists
 
 D, S, L = T.DoubleType(), T.StringType(), T.LongType()
 FOLD = T.StructType([T.StructField("fold", T.IntegerType()), T.StructField("f1_macro", D),
@@ -172,30 +173,49 @@ def scan_model_metrics(spark: SparkSession, path, multi_line: bool = False, obse
     return overall.unionByName(asp)
 
 
-def scan_all_metrics(spark: SparkSession, svm_path, model_path) -> DataFrame:
-    """Both families consolidated into METRIC (display name and family)."""
-    return MX.consolidate_metrics(scan_svm_metrics(spark, svm_path), scan_model_metrics(spark, model_path))
+def scan_all_metrics(spark: SparkSession, svm_path, *model_paths) -> DataFrame:
+    """Result files of all families consolidated into METRIC (display name and family)."""
+    models = scan_model_metrics(spark, model_paths[0])
+    for path in model_paths[1:]:
+        models = models.unionByName(scan_model_metrics(spark, path))
+    return MX.consolidate_metrics(scan_svm_metrics(spark, svm_path), models)
+
+
+def _stem(family: str, otherwise: Column) -> Column:
+    """What a result file's name says after ``<family>_results_``; files that Spark wrote
+    are named by their record instead."""
+    name = F.element_at(F.split("file", "/"), -1)
+    own = F.regexp_replace(name, rf"^({family}_results_)?(.*)\.json$", "$2")
+    return F.when(name.startswith("part-"), otherwise).otherwise(own)
 
 
 def scan_results(spark: SparkSession, root: str) -> DataFrame:
-    """All result records under ``root/<family>_results/`` as comparison
-    rows: name ``<family>_<file stem>``, lang ('N/A' if missing), F1,
-    precision, recall (0 if missing), n, model name."""
-    svm = _valid(_read(spark, f"{root}/svm_results", SVM_RESULT))
-    mod = _valid(_read(spark, f"{root}/transformer_results", MODEL_RESULT))
-    a = svm.select(F.lit("svm").alias("family"), "file", "lang", "global_f1_macro", "global_precision_macro",
-                   "global_recall_macro", "n_samples", F.lit("").alias("model_name"),
-                   F.concat_ws("_", F.coalesce("lang", F.lit("")), F.coalesce("aspect", F.lit(""))).alias("stem"))
-    nested = F.col("global").isNotNull()
-    b = mod.select(F.lit("transformer").alias("family"), "file", "lang",
-                   F.when(nested, F.col("global.f1_macro")).otherwise(F.col("global_f1_macro")).alias("global_f1_macro"),
-                   F.when(nested, F.col("global.precision_macro")).otherwise(F.col("global_precision_macro")).alias("global_precision_macro"),
-                   F.when(nested, F.col("global.recall_macro")).otherwise(F.col("global_recall_macro")).alias("global_recall_macro"),
-                   F.when(nested, F.col("global.n_test")).otherwise(F.col("n_samples")).alias("n_samples"),
-                   F.coalesce("model_name", F.lit("")).alias("model_name"),
-                   F.concat_ws("_", F.regexp_replace(F.coalesce("model_name", F.lit("")), "/", "_"),
-                               F.coalesce("lang", F.lit(""))).alias("stem"))
-    u = a.unionByName(b)
+    """All result records under ``root/<family>_results/`` of the families that have a
+    folder, as comparison rows: name ``<family>_<file stem>``, lang ('N/A' if missing),
+    F1, precision, recall (0 if missing), n, model name."""
+    parts = []
+    if path_exists(spark, f"{root}/svm_results"):
+        svm = _valid(_read(spark, f"{root}/svm_results", SVM_RESULT))
+        record = F.concat_ws("_", F.coalesce("lang", F.lit("")), F.coalesce("aspect", F.lit("")))
+        parts.append(svm.select(F.lit("svm").alias("family"), _stem("svm", record).alias("stem"), "lang", "global_f1_macro",
+                                "global_precision_macro", "global_recall_macro", "n_samples", F.lit("").alias("model_name")))
+    for family in ("transformer", "emotion"):
+        if not path_exists(spark, f"{root}/{family}_results"):
+            continue
+        mod = _valid(_read(spark, f"{root}/{family}_results", MODEL_RESULT))
+        record = F.concat_ws("_", F.regexp_replace(F.coalesce("model_name", F.lit("")), "/", "_"), F.coalesce("lang", F.lit("")))
+
+        def either(nested: str, flat: str) -> Column:
+            return F.when(F.col("global").isNotNull(), F.col(f"global.{nested}")).otherwise(F.col(flat)).alias(flat)
+
+        parts.append(mod.select(F.lit(family).alias("family"), _stem(family, record).alias("stem"), "lang", either("f1_macro", "global_f1_macro"),
+                                either("precision_macro", "global_precision_macro"), either("recall_macro", "global_recall_macro"),
+                                either("n_test", "n_samples"), F.coalesce("model_name", F.lit("")).alias("model_name")))
+    if not parts:
+        raise FileNotFoundError(f"no result folder below {root}")
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
     return u.select(F.concat_ws("_", "family", "stem").alias("name"),
                     F.coalesce("lang", F.lit("N/A")).alias("lang"),
                     F.coalesce("global_f1_macro", F.lit(0.0)).alias("macro_f1"),

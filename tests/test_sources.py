@@ -224,3 +224,21 @@ def test_malformed_results_are_counted_by_the_read(spark, tmpdir_path):
     seen = Observation()
     assert SR.scan_svm_metrics(spark, tmpdir_path, observed=seen).select("lang", "f1_macro").collect()[0].lang == "fr"
     assert seen.get == {"records": 2, "malformed": 1}
+
+
+def test_three_families_by_file_name(spark, tmpdir_path):
+    """Names come from the files; the families go into one METRIC table and its matrices."""
+    import pytest
+
+    from aspectra.operators import matrices as MX
+    with pytest.raises(FileNotFoundError):
+        SR.scan_results(spark, tmpdir_path)
+    write(f"{tmpdir_path}/svm_results", "svm_results_fr_prix_2024.json", json.dumps({"global_f1_macro": 0.5, "lang": "fr", "aspect": "prix"}))
+    write(f"{tmpdir_path}/emotion_results", "emotion_results_camembert-base_fr.json",
+          json.dumps({"model_name": "camembert-base", "lang": "fr", "global": {"f1_macro": 0.65, "n_test": 7}, "per_aspect": {"prix": 0.6}}))
+    got = {r.name: (r.lang, r.macro_f1, r.n_samples, r.family) for r in SR.scan_results(spark, tmpdir_path).collect()}
+    assert got == {"svm_fr_prix_2024": ("fr", 0.5, 0, "svm"), "emotion_camembert-base_fr": ("fr", 0.65, 7, "emotion")}
+    metric = SR.scan_all_metrics(spark, f"{tmpdir_path}/svm_results", f"{tmpdir_path}/emotion_results")
+    row = MX.absa_matrix(metric).collect()
+    assert len(row) == 1 and row[0]["SVM(FR)"] == 0.5 and row[0]["CamemBERT(FR)"] == 0.6
+    assert [r.gain for r in MX.gain_vs_baseline(metric).collect()] == [0.1]
