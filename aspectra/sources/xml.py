@@ -30,9 +30,15 @@ _ATTRS = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 _XML = {"ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE"}
 
 
+#: Bytes up to which an element is read.  It bounds the memory for files that lack the
+#: element, which would be one piece as a whole; such pieces are passed over.
+MAX_ELEMENT = 64 << 20
+
+
 def _pieces(spark: SparkSession, path, tag: str) -> DataFrame:
     """(file, value): the XML files cut at the end tags of an element."""
     rows = (spark.read.option("lineSep", f"</{tag}>").option("recursiveFileLookup", "true")
+            .option("mapreduce.input.linerecordreader.line.maxlength", MAX_ELEMENT)
             .option("pathGlobFilter", "*.xml").text(path))
     return rows.select(file_key(F.col("_metadata.file_path")).alias("file"), "value")
 

@@ -242,3 +242,15 @@ def test_three_families_by_file_name(spark, tmpdir_path):
     row = MX.absa_matrix(metric).collect()
     assert len(row) == 1 and row[0]["SVM(FR)"] == 0.5 and row[0]["CamemBERT(FR)"] == 0.6
     assert [r.gain for r in MX.gain_vs_baseline(metric).collect()] == [0.1]
+
+
+def test_files_without_the_element_stay_small(spark, tmpdir_path, monkeypatch):
+    """A large file that lacks the end tag isn't held as one piece; its elements of the
+    other tag are all read."""
+    body = "".join(f'<sentence id="{i}"><text>t {i}</text><aspectTerms><aspectTerm term="a{i}" polarity="pos"/></aspectTerms></sentence>' for i in range(500))
+    write(tmpdir_path, "big.xml", f"<sentences>{body}</sentences>")
+    write(tmpdir_path, "old.xml", REVIEW_TAG_XML)
+    monkeypatch.setattr(SX, "MAX_ELEMENT", 4096)
+    lengths = SX._pieces(spark, tmpdir_path, "review").agg(F.max(F.length("value"))).first()[0]
+    assert lengths < 4096
+    assert {r.aspect for r in SX.read_aspect_term_xml(spark, tmpdir_path).collect()} == {"price", *(f"a{i}" for i in range(500))}
