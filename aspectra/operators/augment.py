@@ -29,20 +29,50 @@ def replace_synonyms(text, lang, row_id, synonyms=dicts.SYNONYMS,
     (a word without synonyms is kept).  Both draws are md5 of
     (seed, row, position), so the result is independent of partitioning."""
     m = synonym_map(synonyms)
-    rid = _c(row_id).cast("string")
 
     def per_token(w, i):
         alts = F.element_at(m, F.concat(_c(lang), F.lit("|"), w))
-        u = hex_prefix_int(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("syn-u"), rid, i.cast("string")))) \
-            / F.lit(float(1 << 60))
-        pick = F.pmod(hex_prefix_int(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("syn-pick"), rid,
-                                                       i.cast("string")))), F.size(alts))
-        return F.when((u < F.lit(prob)) & alts.isNotNull(), F.element_at(alts, (pick + 1).cast("int"))) \
-                .otherwise(w)
+        return F.when((_draw(row_id, i, seed) < F.lit(prob)) & alts.isNotNull(), _pick(alts, row_id, i, seed)).otherwise(w)
 
     return F.array_join(F.transform(tokens(text), per_token), " ")
 
 
+def _hashed(salt: str, row_id, i: Column, seed: int) -> Column:
+    return hex_prefix_int(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(salt), _c(row_id).cast("string"), i.cast("string"))))
+
+
+def _draw(row_id, i: Column, seed: int) -> Column:
+    """Uniform in [0, 1) of a row's token."""
+    return _hashed("syn-u", row_id, i, seed) / F.lit(float(1 << 60))
+
+
+def _pick(alts: Column, row_id, i: Column, seed: int) -> Column:
+    return F.element_at(alts, (F.pmod(_hashed("syn-pick", row_id, i, seed), F.size(alts)) + 1).cast("int"))
+
+
+def replace_synonyms_from(df: DataFrame, synonyms: DataFrame, id_col: str = "review_id", text: str = "text_processed", lang: str = "lang",
+                          prob: float = dicts.SYNONYM_PROB, seed: int = dicts.SEED, out: str = "text_out") -> DataFrame:
+    """``replace_synonyms`` with a table (lang, word, synonym) of any size.
+
+    The same draws and the same result as with a literal of the sorted synonyms.
+    Only the tokens that are drawn meet the table; the replacements come back as
+    one map per row.  The table is broadcast only below a checked number of words.
+    Null words, null synonyms and a word given as its own synonym are passed over;
+    a null text stays null; rows that share an id are told apart by their text."""
+    from aspectra.session import broadcast_if_small
+    alts = (synonyms.where("word is not null and synonym is not null and word <> synonym")
+            .groupBy(F.col("lang").alias("__lang"), F.col("word").alias("__word")).agg(F.array_sort(F.collect_set("synonym")).alias("__alts")))
+    rows = df.withColumn("__key", F.md5(F.concat_ws("|", *[F.coalesce(_c(c).cast("string"), F.lit("")) for c in (id_col, lang, text)])))
+    drawn = F.filter(F.transform(tokens(text), lambda w, i: F.struct(i.alias("i"), w.alias("w"), (_draw(id_col, i, seed) < F.lit(prob)).alias("u"))), lambda x: x["u"])
+    found = (rows.select("__key", F.col(id_col).alias("__id"), F.col(lang).alias("__lang"), F.explode(drawn).alias("t"))
+             .select("__key", "__id", "__lang", "t.i", F.col("t.w").alias("__word"))
+             .join(broadcast_if_small(alts), ["__lang", "__word"])
+             .select("__key", "i", _pick(F.col("__alts"), "__id", F.col("i"), seed).alias("new")))
+    new = found.groupBy("__key").agg(F.map_from_entries(F.collect_set(F.struct("i", "new"))).alias("__new"))      # bounded by the row's tokens
+    text_out = F.array_join(F.transform(tokens(text), lambda w, i: F.coalesce(F.element_at("__new", i), w)), " ")
+    return rows.join(new, "__key", "left").withColumn(out, F.when(F.col("__new").isNull(), F.array_join(tokens(text), " ")).otherwise(text_out)).drop("__key", "__new")
+
+
 def augment_size(df: DataFrame, target_class: str = "neutral", label: str = "polarity") -> DataFrame:
     """One row: target size, others size, rows to generate (floor(others/2) - target, >= 0)."""
     t = F.count_if(F.col(label) == target_class)

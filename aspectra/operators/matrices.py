@@ -181,6 +181,34 @@ def evaluation_report(comparison: DataFrame) -> DataFrame:
     return b.unionByName(mean).unionByName(top)
 
 
+def full_report(comparison: DataFrame) -> DataFrame:
+    """Every figure of the report: the best result, the whole comparison table and,
+    per family, its mean and its best result; in the order of the report."""
+    cols = ["family", "name", "lang", "macro_f1", "precision", "recall", "n_samples", "model_name"]
+    rows = comparison.select(*cols)
+    by_family = rows.groupBy("family").agg(
+        F.bround(F.avg("macro_f1"), 4).alias("mean"), F.count(F.lit(1)).alias("n"),
+        F.min_by(F.struct(*cols[1:]), F.struct(-F.col("macro_f1"), F.col("name"))).alias("best"))
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    mean = by_family.select(F.lit("family_mean").alias("section"), "family", none("name", "string"), none("lang", "string"),
+                            F.col("mean").alias("macro_f1"), none("precision", "double"), none("recall", "double"),
+                            F.col("n").alias("n_samples"), none("model_name", "string"))
+    parts = [best_model(rows).select(F.lit("best_model").alias("section"), *cols), rows.select(F.lit("table").alias("section"), *cols), mean,
+             by_family.select(F.lit("family_best").alias("section"), "family", *[F.col(f"best.{c}").alias(c) for c in cols[1:]])]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    place = F.array_position(dicts.array_literal(["best_model", "table", "family_mean", "family_best"]), F.col("section"))
+    return out.orderBy(place, F.desc("macro_f1"), "name", "family")
+
+
+def full_report_lines(report: DataFrame) -> DataFrame:
+    """``full_report`` as text lines, figures to 4 places, '-' for none."""
+    text = [F.coalesce(F.col(c), F.lit("-")) for c in ("section", "family", "name", "lang")]
+    figures = [F.when(F.col(c).isNull(), F.lit("-")).otherwise(F.format_string("%.4f", F.col(c))) for c in ("macro_f1", "precision", "recall")]
+    return report.select(F.concat_ws(" | ", *text, *figures, F.col("n_samples").cast("string")).alias("value"))
+
+
 def report_lines(report: DataFrame) -> DataFrame:
     """Text lines of the report (for ``write.text``)."""
     line = F.concat_ws(" | ", F.col("section"), F.coalesce(F.col("family"), F.lit("-")),

@@ -64,25 +64,22 @@ def classification_report(df: DataFrame, keys=(), y_true: str = "y_true",
     'accuracy' (f1 column holds the accuracy, precision/recall null)."""
     keys = list(keys)
     st = label_stats(pair_counts(df, keys, y_true, y_pred), keys)
-    per = st.select(*keys, "label", F.bround("precision", R).alias("precision"),
-                    F.bround("recall", R).alias("recall"), F.bround("f1", R).alias("f1"),
-                    F.col("support").cast("bigint").alias("support"))
-    tot = F.sum("support")
-    macro = st.groupBy(*keys).agg(
-        F.lit("macro avg").alias("label"), F.bround(F.avg("precision"), R).alias("precision"),
-        F.bround(F.avg("recall"), R).alias("recall"), F.bround(F.avg("f1"), R).alias("f1"),
-        tot.cast("bigint").alias("support"))
-    weighted = st.groupBy(*keys).agg(
-        F.lit("weighted avg").alias("label"),
-        F.bround(F.sum(F.col("precision") * F.col("support")) / tot, R).alias("precision"),
-        F.bround(F.sum(F.col("recall") * F.col("support")) / tot, R).alias("recall"),
-        F.bround(F.sum(F.col("f1") * F.col("support")) / tot, R).alias("f1"),
-        tot.cast("bigint").alias("support"))
-    acc = st.groupBy(*keys).agg(
-        F.lit("accuracy").alias("label"), F.lit(None).cast("double").alias("precision"),
-        F.lit(None).cast("double").alias("recall"), F.bround(F.sum("tp") / tot, R).alias("f1"),
-        tot.cast("bigint").alias("support"))
-    return per.unionByName(macro).unionByName(weighted).unionByName(acc)
+    # every label feeds its own row and the three totals: one aggregation, no second scan
+    kinds = F.array(F.struct(F.lit("label").alias("kind"), F.col("label")),
+                    *[F.struct(F.lit(k).alias("kind"), F.lit(k).alias("label")) for k in ("macro avg", "weighted avg", "accuracy")])
+    rows = st.select(*keys, "precision", "recall", "f1", "support", "tp", F.explode(kinds).alias("r")) \
+             .select(*keys, "r.kind", "r.label", "precision", "recall", "f1", "support", "tp")
+    kind, tot = F.col("kind"), F.sum("support")
+
+    def value(c):
+        return F.when(F.first(kind) == "weighted avg", F.try_divide(F.sum(F.col(c) * F.col("support")), tot)).otherwise(F.avg(c))
+
+    accuracy = F.first(kind) == "accuracy"
+    return rows.groupBy(*keys, "kind", "label").agg(
+        F.bround(F.when(~accuracy, value("precision")), R).alias("precision"),
+        F.bround(F.when(~accuracy, value("recall")), R).alias("recall"),
+        F.bround(F.when(accuracy, F.try_divide(F.sum("tp"), tot)).otherwise(value("f1")), R).alias("f1"),
+        tot.cast("bigint").alias("support")).drop("kind")
 
 
 def confusion_matrix(df: DataFrame, keys=(), labels=dicts.POLARITIES, y_true: str = "y_true",

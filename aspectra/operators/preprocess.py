@@ -85,6 +85,19 @@ def preprocess_classic(df: DataFrame, text: str = "text", lang: str = "lang",
     return keep_nonempty(d.withColumn(out, T.collapse_whitespace(out)), out)
 
 
+def texts_and_labels(df: DataFrame, id_col: str = "review_id", lang: str = "lang", text: str = "text_processed",
+                     label: str = "polarity") -> DataFrame:
+    """(id, lang, text, label): the training view of every language, kept distributed."""
+    return df.select(F.col(id_col), F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(label).alias("label"))
+
+
+def write_texts_by_lang(df: DataFrame, path: str, **columns) -> str:
+    """The training view with one folder per language: a job that trains one
+    language reads that folder only.  Null languages get Spark's default folder."""
+    texts_and_labels(df, **columns).write.mode("overwrite").partitionBy("lang").parquet(path)
+    return path
+
+
 def texts_labels_by_lang(df: DataFrame, lang: str = "lang", label: str = "polarity") -> DataFrame:
     """Per-language view of (texts, labels): kept distributed, summarised by
     counts per (lang, label) instead of being collected."""

@@ -547,3 +547,35 @@ oracle("classifier_facts", with_corpus(
     "c AS (SELECT classifier, run, y, count(*) AS n, CAST(round(count(*) * 0.15) AS BIGINT) AS nt FROM g JOIN big USING (classifier, run) GROUP BY ALL) "
     "SELECT classifier, run, CAST(sum(n - nt - least(nt, n - nt)) AS BIGINT) AS n_train, CAST(sum(least(nt, n - nt)) AS BIGINT) AS n_val, "
     f"CAST(sum(nt) AS BIGINT) AS n_test, CAST(sum(nt) AS BIGINT) AS n_predicted, {S.r6('max(nt) / sum(nt)')} AS majority_accuracy FROM c GROUP BY classifier, run"))
+
+# the corpus chain, tables of synonyms, scored emotions, the whole report
+oracle("build_clean_corpus", with_corpus(
+    f", cq AS (SELECT c.*, lower({S.py_strip('aspect')}) || ' : ' || coalesce(text, '') AS absa_input, q.quota "
+    f"FROM corpus c JOIN {_quota_values(dicts.TARGET_PER_LANG)} USING (polarity)) "
+    + _topk("cq", "lang, polarity", "quota", "balance_corpus", "review_id, lang, aspect, polarity, absa_input")))
+oracle("language_gates", with_corpus(
+    f", seen AS (SELECT lang, count(*) AS n_rows, count(DISTINCT polarity) AS n_classes FROM corpus GROUP BY lang UNION ALL "
+    f"SELECT unnest({S.lst([*dicts.LANGUAGES, 'it'])}), 0, 0), "
+    "g AS (SELECT lang, max(n_rows) AS n_rows, max(n_classes) AS n_classes, CAST(CASE WHEN lang = 'ru' THEN 100 ELSE 30 END AS BIGINT) AS need FROM seen GROUP BY lang) "
+    "SELECT *, CASE WHEN n_rows = 0 THEN 'empty' WHEN n_rows < need THEN 'scarce' WHEN n_classes < 2 THEN 'single_class' ELSE 'ok' END AS status FROM g"))
+oracle("emotion_input", with_corpus(
+    f", e AS (SELECT review_id, {_EMO} AS emotion, coalesce(text, '') AS model_input FROM corpus WHERE lang = 'en' AND review_id % 7 > 0) "
+    f"SELECT review_id, emotion, CAST(list_position({S.lst(dicts.EMOTIONS)}, emotion) - 1 AS INTEGER) AS label, model_input FROM e"))
+_DRAW = S.hex_int(f"md5(concat_ws('|', {S.q(str(dicts.SEED))}, '{{}}', CAST(review_id AS VARCHAR), CAST(i AS VARCHAR)))")
+oracle("replace_synonyms_from", with_corpus(
+    _LIGHT + ", tok AS (SELECT review_id, lang, unnest(string_split(text_processed, ' ')) AS w, unnest(range(len(string_split(text_processed, ' ')))) AS i FROM light) "
+    f"SELECT review_id, string_agg(CASE WHEN {_DRAW.format('syn-u')} / 1152921504606846976.0 < {dicts.SYNONYM_PROB} AND length(w) >= 4 AND lang IS NOT NULL "
+    f"THEN (list_sort([w || 's', 'x' || w]))[{_DRAW.format('syn-pick')} % 2 + 1] ELSE w END, ' ' ORDER BY i) AS text_out FROM tok GROUP BY review_id"))
+oracle("label_emotions_scored", with_corpus(
+    f", r AS (SELECT *, ({S.lst(RAW_MODEL_LABELS)})[length({S.silver_text('text')}) % {len(RAW_MODEL_LABELS)} + 1] AS raw_label FROM corpus) "
+    f"SELECT review_id, coalesce({S.lookup(dicts.MODEL_LABELS, 'lower(raw_label)')}, {S.keyword_emotion_short('text', 'polarity')}) AS emotion FROM r"))
+oracle("texts_and_labels", with_corpus(
+    f", n1 AS (SELECT review_id, lang, polarity, {S.normalize_text('text', 'lang')} AS t FROM corpus), "
+    f"n2 AS (SELECT review_id, lang, polarity, trim({S.rx(S.remove_stopwords('t', 'lang'), T.SPACE + '+', ' ')}) AS t FROM n1) "
+    "SELECT review_id, lang, t AS text, polarity AS label FROM n2 WHERE length(t) > 0"))
+_ROW = "family, name, lang, macro_f1, precision, recall, n_samples, model_name"
+oracle("full_report", with_metric(
+    _CMP + f"SELECT * FROM (SELECT 'best_model' AS section, {_ROW} FROM cmp ORDER BY macro_f1 DESC, name LIMIT 1) "
+    f"UNION ALL SELECT 'table', {_ROW} FROM cmp "
+    f"UNION ALL SELECT 'family_mean', family, NULL, NULL, {S.r4('avg(macro_f1)')}, NULL, NULL, count(*), NULL FROM cmp GROUP BY family "
+    f"UNION ALL SELECT 'family_best', {_ROW} FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY macro_f1 DESC, name) AS rn FROM cmp) WHERE rn = 1"))

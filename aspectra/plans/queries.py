@@ -258,11 +258,7 @@ def q_crosstab_lang_aspect(spark, sf):
 
 @query("missing_classes")
 def q_missing_classes(spark, sf):
-    df = corpus_emotion(spark, sf)
-    langs = df.select("lang").distinct()
-    expected = langs.select("lang", F.explode(dicts.array_literal(dicts.EMOTIONS)).alias("emotion"))
-    present = df.select("lang", "emotion").distinct()
-    return expected.join(present, ["lang", "emotion"], "left_anti")
+    return E.missing_classes(corpus_emotion(spark, sf), by=["lang"])
 
 
 def conversation_reviews(spark, sf):
@@ -288,6 +284,7 @@ def q_union_corpora(spark, sf):
 # --------------------------------------------------------------------------
 
 from aspectra.operators import augment as AU  # noqa: E402
+from aspectra.operators import cleaning as CL  # noqa: E402
 from aspectra.operators import metrics as M  # noqa: E402
 from aspectra.operators import sampling as SA  # noqa: E402
 
@@ -769,3 +766,63 @@ def q_write_report(spark, sf):
     path = SC.write_report(MX.report_lines(MX.evaluation_report(comparison(spark, sf))),
                            scratch_path(spark, "report"))
     return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+# --------------------------------------------------------------------------
+# the corpus chain, tables of synonyms, scored emotions, the whole report
+# --------------------------------------------------------------------------
+
+def raw_reviews(spark, sf):
+    """Reviews with raw aspects and normalised polarity, as the chain takes them."""
+    return (fx.reviews(spark, sf).transform(LB.normalize_polarity, col="polarity_raw", out="polarity")
+            .select("review_id", "lang", "text", F.col("aspect_raw").alias("aspect"), "polarity"))
+
+
+@query("build_clean_corpus")
+def q_build_clean_corpus(spark, sf):
+    d = CL.build_clean_corpus(raw_reviews(spark, sf), scratch_path(spark, "clean-corpus"))
+    return d.select("review_id", "lang", "aspect", "polarity", "absa_input")
+
+
+@query("language_gates")
+def q_language_gates(spark, sf):
+    return CL.language_gates(corpus(spark, sf), languages=[*dicts.LANGUAGES, "it"])
+
+
+@query("emotion_input")
+def q_emotion_input(spark, sf):
+    d = corpus(spark, sf).withColumn("emotion", F.when(F.col("review_id") % 7 > 0, L.keyword_emotion("text", "polarity")))
+    return CL.emotion_input(d, "en").select("review_id", "emotion", "label", "model_input")
+
+
+def synonym_table(spark, sf):
+    """A lexicon that grows with the corpus: two made-up forms of every word of four letters or more."""
+    words = light_corpus(spark, sf).select("lang", F.explode(T.tokens("text_processed")).alias("word")).distinct().where("length(word) >= 4")
+    return words.select("lang", "word", F.explode(F.array(F.concat("word", F.lit("s")), F.concat(F.lit("x"), "word"), "word")).alias("synonym"))
+
+
+@query("replace_synonyms_from")
+def q_replace_synonyms_from(spark, sf):
+    return AU.replace_synonyms_from(light_corpus(spark, sf), synonym_table(spark, sf)).select("review_id", "text_out")
+
+
+@query("label_emotions_scored")
+def q_label_emotions_scored(spark, sf):
+    """The scorer path: a scorer that answers by the length of the text."""
+    answers = list(RAW_MODEL_LABELS)
+
+    def factory():
+        return lambda texts: [answers[len(t) % len(answers)] for t in texts]
+
+    return E.label_emotions_silver(corpus(spark, sf), factory).select("review_id", "emotion")
+
+
+@query("texts_and_labels")
+def q_texts_and_labels(spark, sf):
+    path = P.write_texts_by_lang(P.preprocess_classic(corpus(spark, sf)), scratch_path(spark, "texts"))
+    return spark.read.parquet(path).select("review_id", "lang", "text", "label")
+
+
+@query("full_report")
+def q_full_report(spark, sf):
+    return MX.full_report(comparison(spark, sf))
