@@ -1,7 +1,8 @@
 """Token counts that follow edits.
 
 Each text is cut into leaves at places that are token boundaries whatever
-stands around them: before a space between two letters or digits.  A tree over
+stands around them: after a letter, digit or mark, where the kind of character
+changes (so also in text without spaces).  A tree over
 the leaves holds the sums of characters and tokens.  An edit finds its leaves by
 the character sums, takes in a neighbour where its edge is no such place any
 more, encodes that region again and updates the sums above it.
@@ -10,6 +11,7 @@ more, encodes that region again and updates the sums above it.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -30,25 +32,50 @@ REDACTIONS = [
 ]
 
 
+_EMAIL = re.compile(REDACTIONS[0][1])
+# an address begins where its run of characters begins, so a long run is read once
+_ALL = re.compile("|".join((r"(?<![A-Za-z0-9._%+-])" if i == 0 else "") + f"(?P<g{i}>{p})" for i, (_, p) in enumerate(REDACTIONS)))
+
+
 def redactions(text: str) -> list[tuple[int, int, str]]:
     """Edits (start, end, replacement), by start and without overlap."""
-    one = "|".join(f"(?P<g{i}>{p})" for i, (_, p) in enumerate(REDACTIONS))
-    return [(m.start(), m.end(), REDACTIONS[int(m.lastgroup[1:])][0]) for m in re.finditer(one, text)]
+    out, at = [], 0
+    while True:
+        # right after an edit an address may begin inside a run
+        if m := at and _EMAIL.match(text, at):
+            out.append((m.start(), m.end(), REDACTIONS[0][0]))
+        elif m := _ALL.search(text, at):
+            out.append((m.start(), m.end(), REDACTIONS[int(m.lastgroup[1:])][0]))
+        else:
+            return out
+        at = m.end()
+
+
+def _kind(c: str) -> str:
+    """Letter, number, space or other, as SPLIT tells them apart."""
+    if c.isalpha():
+        return "L"
+    if c.isspace() and not "\x1c" <= c <= "\x1f":
+        return "S"
+    return "N" if unicodedata.category(c)[0] == "N" else "P"
 
 
 def _safe(left: str, right: str) -> bool:
-    """Whether a token ends between two strings, whatever else is around them."""
-    return left[-1:].isalnum() and right[:1] == " " and right[1:2].isalnum()
+    """Whether a token ends between two strings, whatever else is around them: every
+    token but white space is of one kind (after one space), or an apostrophe with letters."""
+    if not left or not right:
+        return False
+    a, b = _kind(left[-1]), _kind(right[0])
+    return a != b and a != "S" and not (left[-1] == "'" and b == "L")
 
 
 def leaves(text: str) -> list[str]:
     """The text cut at the first safe place after every LEAF characters."""
     out, at = [], 0
     while at < len(text):
-        cut = text.find(" ", at + LEAF)
-        while cut > 0 and not (text[cut - 1].isalnum() and text[cut + 1:cut + 2].isalnum()):
-            cut = text.find(" ", cut + 1)
-        cut = len(text) if cut < 0 else cut
+        cut = at + LEAF
+        while cut < len(text) and not _safe(text[cut - 1], text[cut]):
+            cut += 1
         out.append(text[at:cut])
         at = cut
     return out or [""]
@@ -117,7 +144,8 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n_chars_again (characters encoded again for the edits).
 
     ``edits`` gives a text's edits as (start, end, replacement), sorted and
-    without overlap.  A null or empty text has no tokens and no edits.  Repeated
+    without overlap.  A null or empty text has no tokens and no edits; a very long
+    one is cut into leaves of about LEAF characters (longer only where one word or run of marks is).  Repeated
     rows give equal rows; other columns are ignored; an empty table gives an
     empty result.  The vocabulary is read on the driver and broadcast (a fixed
     file of about 1 MB)."""
