@@ -101,7 +101,9 @@ _NON_ASCII = r"[^\x00-\x7f]"
 
 def _combining_regex_class() -> str:
     """Java regex class of every code point with a non-zero canonical
-    combining class (built by rule from the Unicode database), as ranges."""
+    combining class (built by rule from the Unicode database), as ranges.  Java tries
+    the ranges one after the other, so the intersection turns away every character
+    that is no mark (or unknown to Java's Unicode) before any of them."""
     cps = [i for i in range(min(sys.maxunicode + 1, 0x20000)) if unicodedata.combining(chr(i))]
     ranges, start, prev = [], cps[0], cps[0]
     for c in cps[1:]:
@@ -110,7 +112,8 @@ def _combining_regex_class() -> str:
             start = c
         prev = c
     ranges.append((start, prev))
-    return "[" + "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
+    members = "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges)
+    return f"[\\x{{{cps[0]:X}}}-\\x{{{cps[-1]:X}}}&&[\\p{{M}}\\p{{Cn}}]&&[{members}]]"
 
 
 COMBINING_CLASS = _combining_regex_class()
