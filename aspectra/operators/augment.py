@@ -56,7 +56,7 @@ def replace_synonyms_from(df: DataFrame, synonyms: DataFrame, id_col: str = "rev
 
     The same draws and the same result as with a literal of the sorted synonyms.
     Only the tokens that are drawn meet the table; the replacements come back as
-    one map per row.  The table is broadcast only below a checked number of words.
+    one sorted array per row.  The table is broadcast only below a checked number of words.
     Null words, null synonyms and a word given as its own synonym are passed over;
     a null text stays null; rows that share an id are told apart by their text."""
     from aspectra.session import broadcast_if_small
@@ -68,8 +68,19 @@ def replace_synonyms_from(df: DataFrame, synonyms: DataFrame, id_col: str = "rev
              .select("__key", "__id", "__lang", "t.i", F.col("t.w").alias("__word"))
              .join(broadcast_if_small(alts), ["__lang", "__word"])
              .select("__key", "i", _pick(F.col("__alts"), "__id", F.col("i"), seed).alias("new")))
-    new = found.groupBy("__key").agg(F.map_from_entries(F.collect_set(F.struct("i", "new"))).alias("__new"))      # bounded by the row's tokens
-    text_out = F.array_join(F.transform(tokens(text), lambda w, i: F.coalesce(F.element_at("__new", i), w)), " ")
+    new = found.groupBy("__key").agg(F.array_sort(F.collect_set(F.struct("i", "new"))).alias("__new"))      # bounded by the row's tokens
+
+    def put(words):
+        """The words between two replacements and the second one, piece by piece: a lookup
+        of every word among all replacements would grow with the square of a text."""
+        def piece(e, j):
+            start = F.when(j == 0, F.lit(0)).otherwise(F.get("__new", j - 1)["i"] + 1)
+            return F.concat(F.slice(words, start + 1, e["i"] - start), F.array(e["new"]))
+
+        rest = F.slice(words, F.get("__new", F.size("__new") - 1)["i"] + 2, F.size(words))
+        return F.array_join(F.concat(F.flatten(F.transform("__new", piece)), rest), " ")
+
+    text_out = F.get(F.transform(F.array(tokens(text)), put), F.lit(0))
     return rows.join(new, "__key", "left").withColumn(out, F.when(F.col("__new").isNull(), F.array_join(tokens(text), " ")).otherwise(text_out)).drop("__key", "__new")
 
 

@@ -123,3 +123,17 @@ def test_full_report_order(spark):
     assert lines[0] == "best_model | emotion | emotion_c_en | en | 0.7000 | 0.0000 | 0.0000 | 0"
     assert "family_mean | svm | - | - | 0.6000 | - | - | 2" in lines
     assert MX.full_report(cmp.limit(0)).count() == 0
+
+
+def test_long_texts_get_their_synonyms_in_linear_time(spark):
+    import time
+    words = [f"w{i % 50}" for i in range(60_000)]
+    df = spark.createDataFrame([(1, "en", " ".join(words))], "review_id long, lang string, text_processed string")
+    table = spark.createDataFrame([("en", f"w{i}", f"{x}{i}") for i in range(49) for x in "ab"], "lang string, word string, synonym string")
+    literal = [("en", f"w{i}", [f"a{i}", f"b{i}"]) for i in range(49)]
+    want = df.select(AU.replace_synonyms("text_processed", "lang", "review_id", literal, prob=0.9)).first()[0]
+    AU.replace_synonyms_from(df, table, prob=0.9).limit(0).collect()
+    begin = time.perf_counter()
+    got = AU.replace_synonyms_from(df, table, prob=0.9).select("text_out").first()[0]
+    assert got == want and got != " ".join(words)
+    assert time.perf_counter() - begin < 12
