@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aspectra import fixtures as fx
-from aspectra.session import scratch_path
+from aspectra.session import scratch_path, spread
 
 
 def opinion_frame(spark: SparkSession, sf: str) -> DataFrame:
     """One sentence per document with two opinions, the second one nested deeper for
     every other document; bucket 4 holds only 'conflict' opinions (its files need the
     whole-text fallback)."""
-    r = fx.reviews(spark, sf)
+    r = fx.reviews(spark, sf, dealt=False)           # dealt over the files by write_xml
     doc = F.col("review_id")
     bucket = (doc % 5).cast("int")
     p1 = F.when(bucket == 4, F.lit("conflict")).otherwise(F.col("polarity_raw"))
@@ -44,7 +44,7 @@ def term_frame(spark: SparkSession, sf: str) -> DataFrame:
     """One sentence per document in the term layout; the source folder name
     carries the language; 'en_conflicts' files hold no valid term; every 7th
     sentence has no aspectTerms block."""
-    r = fx.reviews(spark, sf)
+    r = fx.reviews(spark, sf, dealt=False)           # dealt over the files by write_xml
     doc = F.col("review_id")
     src = F.element_at(F.array(F.lit("fr_reviews"), F.lit("en_laptops"), F.lit("en_conflicts")),
                        (doc % 3 + 1).cast("int"))
@@ -82,7 +82,7 @@ CSV_LABELS = ["positive", " pos ", "negative", "NEG", "neutral", "neu", "other",
 def labelled_csv_frame(spark: SparkSession, sf: str) -> DataFrame:
     """Columns post, id, Text, sentiment, Label: two text candidates and two
     label candidates, the last of each wins."""
-    r = fx.reviews(spark, sf)
+    r = spread(fx.reviews(spark, sf, dealt=False), enough=0.5)
     doc = F.col("review_id")
     return r.select(F.lit("ignored").alias("post"), doc.alias("id"), F.col("text").alias("Text"),
                     F.lit("x").alias("sentiment"),

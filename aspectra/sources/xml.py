@@ -177,7 +177,7 @@ def route_xml(spark: SparkSession, path) -> DataFrame:
     read by a data source of their own; the sentences are parsed once."""
     routing = routes(file_heads(spark, path)).where("format = 'xml'").select("file", "layout", F.col("lang").alias("_to"))
     parsed = scratch_path(spark, "sentences")
-    read_sentences_or_reviews(spark, path).write.parquet(parsed)
+    read_sentences_or_reviews(spark, path).write.option("compression", "zstd").parquet(parsed)
     s = _by_file(spark.read.parquet(parsed), routing, "inner")
     entries = F.when(F.col("layout") == "opinion", opinion_entries()).otherwise(term_entries())
     return _rows(s, entries, F.col("_to"), fallback=True)
