@@ -1,4 +1,5 @@
-"""Suffix arrays of shards by induced sorting, and permuted common prefixes.
+"""Suffix arrays of shards by induced sorting (the substrings' names by doubling), and
+permuted common prefixes.
 
 Small helper that runs inside tasks: Spark cuts the corpus into shards of
 bounded size (see suffix_dedup.py)."""
@@ -72,30 +73,24 @@ def _induce(s, up, lms, k):
     return sa
 
 
-def _induce_one_by_one(s, up, lms, k):
-    """The same for many different values, of which each bucket holds few."""
+def _by_doubling(s):
+    """Suffix array of many different values, of which each bucket would hold few:
+    ranks of prefixes of doubled length; only suffixes that still tie are sorted again."""
     n = len(s)
-    size = np.bincount(s, minlength=k)
-    start = np.concatenate(([0], np.cumsum(size)[:-1]))
-    head, stop = start.tolist(), (start + size).tolist()
-    s, up = s.tolist(), up.tolist()
-    sa, tail = [-1] * n, list(stop)
-    for i in reversed(lms.tolist()):
-        tail[s[i]] -= 1
-        sa[tail[s[i]]] = i
-    for x in range(n):
-        i = sa[x] - 1
-        if i >= 0 and not up[i]:
-            sa[head[s[i]]] = i
-            head[s[i]] += 1
-    tail = stop
-    for x in range(n - 1, -1, -1):
-        i = sa[x] - 1
-        if i >= 0 and up[i]:
-            tail[s[i]] -= 1
-            sa[tail[s[i]]] = i
-    sa[0] = n - 1
-    return np.array(sa, np.int64)
+    sa = np.argsort(s, kind="stable")
+    first = np.concatenate(([True], s[sa[1:]] != s[sa[:-1]]))
+    rank = np.empty(n, np.int64)
+    rank[sa] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    step = 1
+    while len(at := np.flatnonzero(~(first & np.append(first[1:], True)))):
+        i = sa[at]
+        key = rank[i] * n + rank[i + step]           # the last value is unique, so i + step lies within
+        order = np.argsort(key)
+        sa[at], key = i[order], key[order]
+        first[at] = new = np.concatenate(([True], key[1:] != key[:-1]))
+        rank[sa[at]] = np.maximum.accumulate(np.where(new, at, 0))
+        step *= 2
+    return sa
 
 
 def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
@@ -103,12 +98,13 @@ def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
     n = len(s)
     if n == 1:
         return np.zeros(1, np.int64)
+    if k > 1024:
+        return _by_doubling(s)
     up = _types(s)
     lms = np.flatnonzero(up[1:] & ~up[:-1]) + 1
-    induce = _induce if k <= 1024 else _induce_one_by_one
     if len(lms) > 1:
         # names of the substrings from one leftmost-smaller place to the next, by their sorted order
-        sa = induce(s, up, lms, k)
+        sa = _induce(s, up, lms, k)
         number = np.full(n, -1, np.int64)
         number[lms] = np.arange(len(lms))
         order = number[sa]
@@ -131,7 +127,7 @@ def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
             lms = lms[suffix_array(names, int(names.max()) + 1)]
         else:
             lms = lms[order]
-    return induce(s, up, lms, k)
+    return _induce(s, up, lms, k)
 
 
 def permuted_prefixes(s: np.ndarray, sa: np.ndarray, valid: np.ndarray, most: int) -> np.ndarray:

@@ -2,12 +2,13 @@
 
 1. Anchors: of each window of ``width`` bytes the smallest hash of its
    ``GRAM``-byte strings.  Equal windows have equal anchors, so only windows
-   whose anchor occurs in two different texts can repeat.  Anchors are counted
-   in buckets whose number follows the corpus; a task sends each
-   anchor once or twice.
-2. Runs of windows with one such anchor are cut out (strings of about
-   ``width + 16`` bytes), equal ones are merged, and the strings of an anchor go
-   to one shard.
+   whose anchor occurs in two different texts can repeat.  A run of windows with
+   one anchor is a string of about ``width + 16`` bytes.  Its 63-bit print and 32
+   bits of its anchor are counted in buckets whose number follows the corpus; a
+   task sends each string once.  A string that a smaller id also has is removed
+   whole.
+2. Of each other string whose anchor has several strings, the smallest id cuts
+   it out, and the strings of an anchor go to one shard.
 3. A shard gets a suffix array by induced sorting and permuted common prefixes:
    neighbours that share ``width`` bytes give the windows that also occur in a
    document with a smaller id.
@@ -20,48 +21,75 @@ its windows are grouped as rows (``_grouped_windows``).
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aspectra.llm.common import byte_prefix, give_back, mix64, release, text_slices, tidy
+from aspectra.llm.common import SLICE_BYTES, byte_prefix, give_back, mix64, release, text_slices, tidy
 from aspectra.llm.suffix_array import earlier_windows
 from aspectra.session import cut_lineage
 
 WIDTH, GRAM = 50, 20
 BUCKET_BYTES = 16 << 20      # text per bucket of anchors
 FLUSH_BYTES = 48 << 20       # memory of the anchors that a task holds before it sends them
-ANCHOR_BYTES = 96            # of one held anchor: its hash and what sorting and grouping it takes
+ANCHOR_BYTES = 96            # of one held string: its prints and what sorting and grouping them takes
 SHARD_BYTES = 1 << 20
 MANY = 10_000                # strings of one anchor beyond which they are grouped as rows
 
+LONG = 512                   # bytes of a string beyond which its print is a digest
+WHOLE = np.uint64(1)         # last bit of a print: the string is removed whole
+
 _DOC = np.dtype([("id", "<i8"), ("text", "<u8")])
 
 
-def _anchors(texts: list[bytes], width: int, grams: bool = False):
-    """(anchor of each window, its place in the joined texts, bounds by text) of
-    all windows that lie within one text; with ``grams`` also the place of the
-    first string that has the anchor's hash."""
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    at = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
+def _runs(joined: bytes, at: np.ndarray, width: int):
+    """(anchor, print, start, end, text's number, hashes of all strings of GRAM bytes)
+    of all runs of windows with one anchor in the joined texts, whose bounds are
+    ``at``; a run lies within one text."""
+    data = np.frombuffer(joined, np.uint8)
     n = len(data)
     if n < width:
-        return (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64), *[np.zeros(0, np.int64)] * grams)
+        return (np.zeros(0, np.uint64), np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3, np.zeros(0, np.uint64))
     prefix, inverse = byte_prefix(data)
-    low = mix64((prefix[GRAM:] - prefix[:-GRAM]) * inverse[:n - GRAM + 1])
+    grams = low = mix64((prefix[GRAM:] - prefix[:-GRAM]) * inverse[:n - GRAM + 1])
     have, need = 1, width - GRAM + 1                 # minimum over `need` neighbours by doubling
-    gram = np.arange(len(low)) if grams else None
     while have < need:
         step = min(have, need - have)
-        a, b = low[:len(low) - step], low[step:]
-        if grams:
-            gram = np.where(b < a, gram[step:], gram[:-step])
-        low = np.minimum(a, b)
+        low = np.minimum(low[:len(low) - step], low[step:])
         have += step
-    owner = np.repeat(np.arange(len(texts)), np.diff(at))[:len(low)]
-    place = np.flatnonzero(np.arange(len(low)) + width <= at[owner + 1])
-    return (low[place], place, np.searchsorted(place, at), *([gram[place]] if grams else []))
+    valid = np.ones(len(low), bool)                  # windows that lie within one text
+    new = np.ones(len(low), bool)
+    new[1:] = low[1:] != low[:-1]
+    for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        valid[max(x, y - width + 1):y] = False
+        new[x:x + 1] = True
+    start = np.flatnonzero(new & valid)
+    stop = np.ones(len(low), bool)                   # last windows of runs
+    stop[:-1] = new[1:] | ~valid[1:]
+    end = np.flatnonzero(stop & valid) + width
+    prints = mix64((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64))
+    for i in np.flatnonzero(end - start > LONG):
+        prints[i] = int.from_bytes(blake2b(joined[start[i]:end[i]], digest_size=8).digest(), "little")
+    return low[start], prints & ~WHOLE, start, end, np.searchsorted(at, start, "right") - 1, grams
+
+
+def _gram_places(grams, anchor, start, end, width: int):
+    """Place in the string of the anchor's string, -1 if its first and last window
+    have different ones."""
+    out = np.empty(len(start), np.int64)
+    near = np.arange(width - GRAM + 1)
+    for i in range(0, len(start), 4096):             # 31 hashes of each window at once
+        a, x, y = anchor[i:i + 4096, None], start[i:i + 4096], end[i:i + 4096] - width
+        first, last = ((grams[z[:, None] + near] == a).argmax(axis=1) + z for z in (x, y))
+        out[i:i + 4096] = np.where(first == last, first - x, -1)
+    return out
+
+
+def _bounds(texts: list[bytes]) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
 
 
 def _starts(*columns) -> np.ndarray:
@@ -75,107 +103,128 @@ def _starts(*columns) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _repeated(h, doc, ids, text):
-    """The records sorted by anchor, text and id; starts of the anchors; whether an
-    anchor has two different texts."""
-    # documents are numbered by text and id once, so two keys sort the records
-    by = np.lexsort((ids, text))
-    rank = np.empty(len(by), np.int32)
-    rank[by] = np.arange(len(by), dtype=np.int32)
-    order = np.lexsort((rank[doc], h))
-    h, doc = h[order], doc[order]
-    del order
-    first = _starts(h)
-    # sorted by text: the last one differs from the first if any does
-    last = np.append(first[1:], len(h)) - 1
-    return h, doc, first, text[doc[last]] != text[doc[first]]
-
-
-def _per_document(h, doc, ids):
-    """(id, anchors as bytes) of the documents."""
-    if not len(h):
+def _by_document(prints, doc, ids):
+    """(id, prints as bytes) of the documents."""
+    if not len(prints):
         return []
     order = np.argsort(doc, kind="stable")
-    h, doc = h[order], doc[order]
+    prints, doc = prints[order], doc[order]
     cut = _starts(doc)
-    return [(int(ids[doc[i]]), h[i:j].tobytes()) for i, j in zip(cut, np.append(cut[1:], len(doc)), strict=True)]
+    return [(int(ids[doc[i]]), prints[i:j].tobytes()) for i, j in zip(cut, np.append(cut[1:], len(doc)), strict=True)]
 
 
-def _candidate_anchors(texts: DataFrame, buckets: int, width: int) -> DataFrame:
-    """(id, anchor): anchors that occur in two different texts, a row for each document."""
+def _candidates(texts: DataFrame, buckets: int, width: int) -> DataFrame:
+    """(id, print): the strings of a document that a smaller id also has (their prints
+    have the bit WHOLE), and those that it has first and of whose anchor another
+    document has another string."""
     def send(batches):
         import pyarrow as pa
-        schema = pa.schema([("bucket", pa.int32()), ("id", pa.int64()), ("anchors", pa.binary()), ("docs", pa.binary())])
+        schema = pa.schema([("bucket", pa.int32()), ("id", pa.int64()), ("prints", pa.binary()), ("docs", pa.binary())])
         held, docs, size = [], [], 0
 
         def rows():
             table = np.array(docs, _DOC)
-            ids, text = table["id"], table["text"]
-            h, doc, first, several = _repeated(np.concatenate([x for x, _ in held]), np.repeat(
-                np.array([d for _, d in held], np.int32), [len(x) for x, _ in held]), ids, text)
+            order = np.lexsort((table["id"], table["text"]))
+            order = order[_starts(table["text"][order])]     # of copies the smallest id, the one that stays
+            order = order[np.argsort(table["id"][order], kind="stable")]
+            rank = np.full(len(table), -1, np.int32)         # by id
+            rank[order] = np.arange(len(order), dtype=np.int32)
+            table = table[order]
+            anchor, prints, doc = (np.concatenate([x[j] for x in held]) for j in (0, 1, 2))
             held.clear()
-            # known to repeat here: straight to the documents, two of different text speak for all elsewhere
-            known = np.repeat(several, np.diff(np.append(first, len(h))))
-            out = [(d % buckets, d, a, None) for d, a in _per_document(h[known], doc[known], ids)]
-            # else one: the smallest id among copies, the one that stays
-            last = np.append(first[1:], len(h)) - 1
-            pick = np.sort(np.concatenate((first, last[several])))
-            h, doc = h[pick], doc[pick]
-            to = (h % np.uint64(buckets)).astype(np.int32)
+            doc = rank[doc]
+            if len(order) < len(rank):
+                one = np.flatnonzero(doc >= 0)
+                anchor, prints, doc = anchor[one], prints[one], doc[one]
+            order = np.argsort(prints)
+            anchor, prints, doc = anchor[order], prints[order], doc[order]
+            first = _starts(prints)
+            low = np.minimum.reduceat(doc, first)            # the smallest id of a string
+            later = np.flatnonzero(table["id"][doc] > np.repeat(table["id"][low], np.diff(np.append(first, len(doc)))))
+            # known to repeat here: straight to the documents
+            out = [(d % buckets, d, x, None) for d, x in _by_document(prints[later] | WHOLE, doc[later], table["id"])]
+            anchor, prints, doc = anchor[first], prints[first], low
+            del first, later
+            to = (anchor % np.uint64(buckets)).astype(np.int32)
             order = np.lexsort((doc, to))
-            h, doc, to = h[order], doc[order], to[order]
+            anchor, prints, doc, to = (anchor[order] >> np.uint64(32)).astype(np.uint32), prints[order], doc[order], to[order]
             cut = _starts(to)
             for i, j in zip(cut, np.append(cut[1:], len(to)), strict=True):
                 mine, number = np.unique(doc[i:j], return_inverse=True)
                 kind = number.astype(np.uint16 if len(mine) <= 1 << 16 else np.uint32)
-                out.append((int(to[i]), None, h[i:j].tobytes() + kind.tobytes(), table[mine].tobytes()))
+                out.append((int(to[i]), None, prints[i:j].tobytes() + anchor[i:j].tobytes() + kind.tobytes(), table[mine].tobytes()))
             for i in range(0, len(out), 500):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[i:i + 500], strict=True), schema, strict=True)], schema=schema)
 
         for b in batches:
             ids, digest = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
             for first, texts in text_slices(b, "text"):
-                h, _, cut = _anchors(texts, width)
-                for i, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True), first):
-                    if y > x:
-                        held.append((np.unique(h[x:y]), len(docs)))
-                        docs.append((ids[i], int.from_bytes(digest[i][:8], "little")))
-                        size += len(held[-1][0])
+                anchor, prints, _, _, owner, _ = _runs(b"".join(texts), _bounds(texts), width)
+                held.append((anchor, prints, owner.astype(np.int32) + np.int32(len(docs))))
+                docs += [(i, int.from_bytes(d[:8], "little")) for i, d in zip(ids[first:first + len(texts)], digest[first:first + len(texts)], strict=True)]
+                size += len(prints) + len(texts)
                 if size * ANCHOR_BYTES >= FLUSH_BYTES:
                     yield from rows()
                     held, docs, size = [], [], 0
-        if held:
+        if size:
             yield from rows()
 
     def count(table):
         import pyarrow as pa
-        hs, at, docs, n = [], [], [], 0
-        ids, pairs = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        for x, i, d in zip(table.column("anchors").to_pylist(), table.column("id").to_pylist(), table.column("docs").to_pylist(), strict=True):
+        hs, anchors, at, docs, n = [], [], [], [], 0
+        ids, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for x, i, d in zip(table.column("prints").to_pylist(), table.column("id").to_pylist(), table.column("docs").to_pylist(), strict=True):
             if d is None:
-                pairs.append(np.frombuffer(x, np.uint64))
-                ids.append(np.full(len(pairs[-1]), i, np.int64))
+                found.append(np.frombuffer(x, np.uint64))
+                ids.append(np.full(len(found[-1]), i, np.int64))
                 continue
             d = np.frombuffer(d, _DOC)
-            m = len(x) // (10 if len(d) <= 1 << 16 else 12)
+            m = len(x) // (14 if len(d) <= 1 << 16 else 16)
             hs.append(np.frombuffer(x[:8 * m], np.uint64))
-            at.append(np.frombuffer(x[8 * m:], np.uint16 if len(d) <= 1 << 16 else np.uint32).astype(np.int64) + n)
+            anchors.append(np.frombuffer(x[8 * m:12 * m], np.uint32))
+            at.append(np.frombuffer(x[12 * m:], np.uint16 if len(d) <= 1 << 16 else np.uint32).astype(np.int32) + np.int32(n))
             docs.append(d)
             n += len(d)
         if hs:
             docs = np.concatenate(docs)
-            h, doc, first, several = _repeated(np.concatenate(hs), np.concatenate(at), docs["id"], docs["text"])
-            keep = np.repeat(several, np.diff(np.append(first, len(h))))
-            pairs.append(h[keep])
-            ids.append(docs["id"][doc[keep]])
-            del h, doc, keep, hs, at
-        found = pa.table({"id": np.concatenate(ids), "anchor": np.concatenate(pairs).view(np.int64)})
-        del ids, pairs
+            # documents are numbered by id
+            by = np.argsort(docs["id"], kind="stable")
+            rank = np.empty(len(by), np.int32)
+            rank[by] = np.arange(len(by), dtype=np.int32)
+            docs = docs[by]
+            h, anchor, doc = np.concatenate(hs), np.concatenate(anchors), rank[np.concatenate(at)]
+            del hs, anchors, at, rank, by
+            key = anchor.astype(np.uint64) << np.uint64(32) | h >> np.uint64(32)
+            order = np.argsort(key)
+            if (h[order][1:] != h[order][:-1])[key[order][1:] == key[order][:-1]].any():
+                order = np.lexsort((h, anchor))              # strings that differ in the last bits only
+            del key
+            h, anchor, doc = h[order], anchor[order], doc[order]
+            string = _starts(h, anchor)
+            first = np.minimum.reduceat(doc, string)
+            low = docs["id"][first]
+            # strings of one anchor whose smallest ids differ are compared
+            group = _starts(anchor[string])
+            differ = np.minimum.reduceat(low, group) < np.maximum.reduceat(low, group)
+            own = np.flatnonzero(np.repeat(differ, np.diff(np.append(group, len(string)))))
+            found.append(h[string[own]])
+            ids.append(low[own])
+            # what other documents have later goes whole; copies of one text count once
+            number = np.repeat(np.arange(len(string)), np.diff(np.append(string, len(h))))
+            text = docs["text"][doc]
+            later = np.flatnonzero((docs["id"][doc] > low[number]) & (text != docs["text"][first][number]))
+            later = later[np.lexsort((doc[later], text[later], number[later]))]
+            later = later[_starts(number[later], text[later])]
+            found.append(h[later] | WHOLE)
+            ids.append(docs["id"][doc[later]])
+            del h, anchor, doc, later, number, text, order, first, low
+        out = pa.table({"id": np.concatenate(ids), "print": np.concatenate(found).view(np.int64)})
+        del ids, found
         give_back()
-        return found
+        return out
 
-    return (texts.select("id", "digest", "text").mapInArrow(tidy(send), "bucket int, id long, anchors binary, docs binary")
-            .groupBy("bucket").applyInArrow(count, "id long, anchor long"))
+    return (texts.select("id", "digest", "text").mapInArrow(tidy(send), "bucket int, id long, prints binary, docs binary")
+            .groupBy("bucket").applyInArrow(count, "id long, print long"))
 
 
 def _packed(docs: DataFrame, id_col: str, text_col: str, keep=()) -> DataFrame:
@@ -183,14 +232,14 @@ def _packed(docs: DataFrame, id_col: str, text_col: str, keep=()) -> DataFrame:
     part of the text's digest and tells apart rows that share an id."""
     def run(batches):
         import hashlib
-        import zlib
 
         import pyarrow as pa
+        codec = pa.Codec("zstd", compression_level=3)
         for b in batches:
             texts = [t or b"" for t in b.column("text").to_pylist()]
             tags = [int.from_bytes(hashlib.md5(t).digest()[:8], "big", signed=True) for t in texts]
             cols = {n: b.column(n) for n in b.schema.names}
-            cols |= {"tag": pa.array(tags, pa.int64()), "text": pa.array([zlib.compress(t) for t in texts], pa.binary())}
+            cols |= {"tag": pa.array(tags, pa.int64()), "text": pa.array([len(t).to_bytes(8, "little") + codec.compress(t, asbytes=True) for t in texts], pa.binary())}
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     raw = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
@@ -198,58 +247,61 @@ def _packed(docs: DataFrame, id_col: str, text_col: str, keep=()) -> DataFrame:
     return df.mapInArrow(tidy(run), df.schema)
 
 
+def _unpacked(texts: list[bytes]):
+    """Texts that ``_packed`` has compressed, one by one."""
+    import pyarrow as pa
+    codec = pa.Codec("zstd")
+    for t in texts:
+        n = int.from_bytes(t[:8], "little")
+        yield codec.decompress(t[8:], n, asbytes=True) if n else b""
+
+
 def _cut_out(rows: DataFrame, width: int) -> DataFrame:
-    """Runs of windows with a candidate anchor, as (anchor, string, gram, id, tag,
-    at); gram is the anchor's place in the string, -1 if it has several.
-    Of equal strings in one task only that of the smallest id goes on; the others
-    are removed whole and carry their end instead of a string."""
+    """(anchor, string, gram, id, tag, at, to): the strings that are to be compared;
+    gram is the anchor's place in the string, -1 if it has several.  The
+    strings that go whole are merged into runs that carry their end instead."""
     def run(batches):
-        import zlib
-
         import pyarrow as pa
         schema = pa.schema([("anchor", pa.int64()), ("string", pa.binary()), ("gram", pa.int32()), ("id", pa.int64()), ("tag", pa.int64()), ("at", pa.int64()), ("to", pa.int64())])
-        best: dict = {}
-        size = 0
-
-        def table(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        apart = np.uint64(0x9E3779B97F4A7C15)
 
-        def flush():
-            out = [(a, s, v[3], *v[:3], None) for (a, s), v in best.items()]
-            for i in range(0, len(out), 20_000):
-                yield table(out[i:i + 20_000])
+        def slices(b):
+            """(first row, texts) of at most SLICE_BYTES."""
+            first, size, part = 0, 0, []
+            for i, z in enumerate(b.column("text").to_pylist()):
+                n = int.from_bytes(z[:8], "little")
+                if part and size + n > SLICE_BYTES:
+                    yield first, list(_unpacked(part))
+                    first, size, part = i, 0, []
+                part.append(z)
+                size += n
+            if part:
+                yield first, list(_unpacked(part))
 
         for b in batches:
-            ids, tags = (b.column(c).to_pylist() for c in ("id", "tag"))
-            known, ends = b.column("anchors").values.to_numpy().view(np.uint64), b.column("anchors").offsets.to_numpy()
-            for i, z in enumerate(b.column("text").to_pylist()):
-                t, whole = zlib.decompress(z), []
-                h, place, _, gram = _anchors([t], width, True)
-                start = _starts(h)
-                if not len(start):
-                    continue
-                stop = np.append(start[1:], len(h))
-                hit = np.isin(h[start], known[ends[i]:ends[i + 1]])
-                start, stop = start[hit], stop[hit] - 1
-                one = np.where(gram[start] == gram[stop], gram[start] - place[start], -1)
-                for a, x, y, g in zip(h[start].view(np.int64).tolist(), place[start].tolist(), place[stop].tolist(), one.tolist(), strict=True):
-                    key = (a, t[x:y + width])
-                    have = best.get(key)
-                    if have is None or have[0] > ids[i]:
-                        best[key] = (ids[i], tags[i], x, g)
-                        size += have is None and y + width - x + 200
-                        if have is not None:
-                            whole.append((None, None, None, *have[:3], have[2] + y + width - x))
-                    elif have[0] < ids[i]:
-                        whole.append((None, None, None, ids[i], tags[i], x, y + width))
-                    else:                            # once more in the same document
-                        whole.append((a, key[1], g, ids[i], tags[i], x, None))
-                if whole:
-                    yield table(whole)
-                if size > 64 << 20:
-                    yield from flush()
-                    best, size = {}, 0
-        yield from flush()
+            ids, tags = (b.column(c).to_numpy() for c in ("id", "tag"))
+            known, ends = b.column("prints").values.to_numpy().view(np.uint64), b.column("prints").offsets.to_numpy()
+            for first, texts in slices(b):
+                joined, at = b"".join(texts), _bounds(texts)
+                anchor, prints, start, end, owner, grams = _runs(joined, at, width)
+                # a document's number goes into the keys, so that each asks for its own prints
+                mine = known[ends[first]:ends[first + len(texts)]]
+                of = np.repeat(np.arange(len(texts)), np.diff(ends[first:first + len(texts) + 1])).astype(np.uint64)
+                key, salt = mix64(prints + owner.astype(np.uint64) * apart), of * apart
+                whole = np.isin(key, mix64((mine & ~WHOLE) + salt)[mine & WHOLE == WHOLE])
+                own = np.flatnonzero(np.isin(key, mix64(mine + salt)[mine & WHOLE != WHOLE]) & ~whole)
+                if len(own):
+                    row, gram = owner[own], _gram_places(grams, anchor[own], start[own], end[own], width)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(anchor[own].view(np.int64)), pa.array([joined[x:y] for x, y in zip(start[own].tolist(), end[own].tolist(), strict=True)], pa.binary()),
+                        pa.array(gram.astype(np.int32)), pa.array(ids[first + row]), pa.array(tags[first + row]), pa.array(start[own] - at[row]), pa.nulls(len(own), pa.int64())], schema=schema)
+                x, y, row = start[whole], end[whole], owner[whole]
+                if len(x):
+                    new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (x[1:] > y[:-1]))))
+                    y, x, row = y[np.append(new[1:], len(y)) - 1], x[new], row[new]
+                    yield pa.RecordBatch.from_arrays([
+                        *(pa.nulls(len(x), schema.field(c).type) for c in ("anchor", "string", "gram")),
+                        pa.array(ids[first + row]), pa.array(tags[first + row]), pa.array(x - at[row]), pa.array(y - at[row])], schema=schema)
 
     return rows.mapInArrow(tidy(run), "anchor long, string binary, gram int, id long, tag long, at long, to long")
 
@@ -261,8 +313,6 @@ def _sorted_shards(rows: DataFrame, width: int, shard_bytes: int, many: int) ->
     out = "id long, tag long, at long, to long, string binary"
 
     def run(batches):
-        from collections import Counter
-
         import pyarrow as pa
         schema = pa.schema([("id", pa.int64()), ("tag", pa.int64()), ("at", pa.int64()), ("to", pa.int64()), ("string", pa.binary())])
 
@@ -279,12 +329,16 @@ def _sorted_shards(rows: DataFrame, width: int, shard_bytes: int, many: int) ->
             found, strings, owners, places = [], [], [], []
             for by_string in shard:
                 # a common window holds the anchor and half of the rest on one side of it
-                ends = Counter(e for string, (_, g) in by_string.items() for e in sides(string, g)) if len(by_string) > 1 else {}
+                ends, shared = {}, set()
+                if len(by_string) > 1:
+                    for string, (where, g) in by_string.items():
+                        low = min(w[0] for w in where)
+                        shared.update(e for e in sides(string, g) if ends.setdefault(e, low) != low)
                 several = any(g < 0 for _, g in by_string.values())
                 for string, (where, g) in by_string.items():
                     low = min(w[0] for w in where)
                     found += [(i, tag, at, at + len(string), None) for i, tag, at in where if i > low]
-                    if len(by_string) > 1 and (several or any(ends[e] > 1 for e in sides(string, g))):
+                    if len(by_string) > 1 and (several or any(e in shared for e in sides(string, g))):
                         strings.append(string)
                         owners.append(low)
                         places.append([w for w in where if w[0] == low])
@@ -344,12 +398,12 @@ def _spans(docs: DataFrame, id_col: str, text_col: str, width: int, shard_bytes:
     tag = F.conv(F.substring(F.hex("digest"), 1, 16), 16, -10).cast("long")
     prints = cut_lineage(texts.select("id", "digest", tag.alias("tag"), F.octet_length("text").cast("long").alias("n")))
     total = prints.agg(F.sum("n")).first()[0] or 0
-    found = _candidate_anchors(texts, max(1, total // BUCKET_BYTES), width)
-    known = cut_lineage(found.groupBy("id").agg(F.collect_list("anchor").alias("anchors")))          # bounded by the document's size
+    found = _candidates(texts, max(1, total // BUCKET_BYTES), width)
+    known = cut_lineage(found.groupBy("id").agg(F.collect_list("print").alias("prints")))            # bounded by the document's size
     release(docs.sparkSession)
     first = prints.groupBy("digest").agg(F.min("id").alias("first"))
     own = prints.where(F.col("n") >= width).select("id", "tag", "digest").distinct().join(first, "digest").drop("digest")
-    asks = own.where("id = first").join(known, "id").select("id", "tag", "anchors")
+    asks = own.where("id = first").join(known, "id").select("id", "tag", "prints")
     cut = _cut_out(_packed(docs.where(F.col(id_col).isNotNull()), id_col, text_col).join(asks, ["id", "tag"]), width)
     hits = cut_lineage(_sorted_shards(cut, width, shard_bytes, many))
     del cut, asks, known, found
@@ -366,15 +420,13 @@ def _edited(docs: DataFrame, id_col: str, text_col: str, width: int, keep=(), re
     """(id, kept columns, n_bytes, n_removed, n_spans, kept_sha256, kept_text) of each row."""
     def run(batches):
         import hashlib
-        import zlib
 
         import pyarrow as pa
         names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
         types = [pa.int64()] * 3 + [pa.string()] * 2
         for b in batches:
             out = []
-            for z, copy, spans in zip(*(b.column(c).to_pylist() for c in ("text", "copy", "spans")), strict=True):
-                t = zlib.decompress(z)
+            for t, copy, spans in zip(_unpacked(b.column("text").to_pylist()), *(b.column(c).to_pylist() for c in ("copy", "spans")), strict=True):
                 if copy:
                     spans = [{"at": 0, "to": len(t)}]
                 runs: list = []                      # maximal: touching ones are one

@@ -149,6 +149,35 @@ def test_suffix_dedup(docs, rows, empty, many):
     assert repeated_passages(empty).count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_suffix_dedup_cuts_equal_strings_once(spark, monkeypatch, seed):
+    from aspectra.llm import suffix_dedup
+    rnd = random.Random(seed)
+    passages = [" ".join(_words(rnd, 60)) for _ in range(3)] + ["ab" * 400]
+    texts = []
+    for i in range(60):                                      # passages whole and in part, other words around them
+        p = passages[i % 4]
+        a, b = (0, len(p)) if i % 3 else sorted(rnd.sample(range(len(p)), 2))
+        texts.append(f"{' '.join(_words(rnd, 20))} {p[a:b]} {' '.join(_words(rnd, rnd.choice([0, 20])))}")
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[8]), (70, texts[2]), (1, texts[2]), (None, texts[4]), (71, None), (72, passages[3] * 2)]
+    sent = []
+
+    def spy(cut, *args, real=suffix_dedup._sorted_shards):
+        sent.append(cut.where("to is null").groupBy("anchor", "string").count().agg(F.max("count")).first()[0])
+        sent.append(cut.where("to is not null").groupBy("id", "tag").count().agg(F.max("count")).first()[0])
+        return real(cut, *args)
+
+    monkeypatch.setattr(suffix_dedup, "_sorted_shards", spy)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 4000)  # many buckets, many flushes
+    monkeypatch.setattr(suffix_dedup, "FLUSH_BYTES", 20_000)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    want = collections.Counter((d, len(b), len(gone), sum(1 for i in gone if i - 1 not in gone), hashlib.sha256(kept).hexdigest())
+                               for d, b, gone, kept in _removed(rows, 50))
+    assert _multi(suffix_dedup.repeated_passages(df), ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]) == want
+    # a string stands in many documents; one cuts it out, the others hold one run for each passage
+    assert sent[0] <= 2 and sent[1] <= 4
+
+
 def test_without_repeats_keeps_columns(docs, rows, empty):
     from aspectra.llm.suffix_dedup import without_repeats
     got = without_repeats(docs)
